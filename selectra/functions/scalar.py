@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
@@ -96,8 +97,6 @@ def category_code(column, ordered_values) -> Column:
 
 def two_sided_normal_p(z) -> Column:
     """erfc(|z| / sqrt 2) through vectorised Python; meant for one row per scope."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def erfc_of(x: pd.Series) -> pd.Series:
         return x.map(lambda v: None if v is None or v != v else math.erfc(abs(v) / math.sqrt(2.0)))

@@ -12,11 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from selectra.functions.hashing import hash_unit, row_hash
+from selectra.operators import small_graphs as small
 from selectra.operators.ranking import hash_rank
 from selectra.session import materialise
 
 BITS = 60
 MAX_EXACT_NODES = 20
+ROW_NODES = 4096
 
 
 def _one() -> Column:
@@ -33,6 +35,26 @@ def _block(node) -> Column:
     return F.floor(n / BITS).cast("bigint")
 
 
+def by_size(vertices: DataFrame, edges: DataFrame):
+    """(vertices, edges) of the graphs that fit one row, and of the others or None.
+
+    Nodes are numbered from 0, so a node number of 60 or more marks a big graph.
+    """
+    big = vertices.where(F.col("node") >= small.LIMIT).select("graph_id").distinct()
+    if big.isEmpty():
+        return (vertices, edges), None
+    big = materialise(big)
+    split = lambda how: (vertices.join(big, "graph_id", how), edges.join(big, "graph_id", how))
+    return split("left_anti"), split("left_semi")
+
+
+def _both(vertices: DataFrame, edges: DataFrame, of_packed, of_tables) -> DataFrame:
+    """Packed rows for small graphs, joins for big ones."""
+    few, many = by_size(vertices, edges)
+    done = of_packed(small.pack(*few))
+    return done if many is None else done.unionByName(of_tables(*many))
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """Each undirected edge as two arcs, by a generator instead of a union."""
     arcs = F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")),
@@ -100,6 +122,11 @@ def both_with(edges: DataFrame, column: str) -> DataFrame:
 
 
 def clustering(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """Triangles, their density, mean local clustering and transitivity per graph."""
+    return _both(vertices, edges, small.clustering, clustering_by_joins)
+
+
+def clustering_by_joins(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Triangles, their density, mean local clustering and transitivity per graph."""
     d = degrees(vertices, edges)
     t = d.join(node_triangles(edges), ["graph_id", "node"], "left").withColumn(
@@ -116,6 +143,11 @@ def clustering(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def assortativity(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """Correlation of the end degrees over both edge directions, 0 if they do not vary."""
+    return _both(vertices, edges, small.assortativity, assortativity_by_joins)
+
+
+def assortativity_by_joins(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Correlation of the end degrees over both edge directions, 0 if they do not vary.
 
     Moments of the ends follow from the degrees alone; only the product needs
@@ -139,8 +171,13 @@ def assortativity(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 # Reachability -----------------------------------------------------------------------
 
-def connected_components(vertices: DataFrame, edges: DataFrame, rounds_per_checkpoint: int = 3) -> DataFrame:
-    """(graph_id, node, component): the smallest node reachable, for graphs of any size.
+def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, node, component): the smallest node reachable."""
+    return _both(vertices, edges, small.components, components_by_joins)
+
+
+def components_by_joins(vertices: DataFrame, edges: DataFrame, rounds_per_checkpoint: int = 3) -> DataFrame:
+    """The same by label propagation, for graphs of any size.
 
     Each round takes the smallest label among the neighbours and then follows
     the label one step (pointer jumping), so long paths shrink geometrically.
@@ -175,16 +212,27 @@ def component_stats(components: DataFrame) -> DataFrame:
         (-F.max(F.struct("size", (-F.col("component")).alias("_n")))["_n"]).alias("largest_component"))
 
 
-def shortest_paths(vertices: DataFrame, edges: DataFrame, components: DataFrame | None = None,
+def components_summary(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """Component count and share of the largest component per graph."""
+    return _both(vertices, edges, small.component_stats,
+                 lambda v, e: component_stats(components_by_joins(v, e)).drop("largest_component"))
+
+
+def shortest_paths(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """Mean distance and diameter of the largest component of each graph."""
+    return _both(vertices, edges, small.shortest_paths, paths_by_joins)
+
+
+def paths_by_joins(vertices: DataFrame, edges: DataFrame, components: DataFrame | None = None,
                    rounds_per_check: int = 3) -> DataFrame:
-    """Mean distance and diameter of the largest component of each graph.
+    """The same for graphs of any size.
 
     Breadth-first search from 60 sources at a time: a vertex carries one mask of
     the sources that reached it, so a level is one join with the edges and one
     ``bit_or``.  Only counts per level leave the loop.  A component of one
     vertex has no distances and gives nulls.
     """
-    comp = connected_components(vertices, edges) if components is None else components
+    comp = components_by_joins(vertices, edges) if components is None else components
     big = component_stats(comp).select("graph_id", F.col("largest_component").alias("component"))
     inside = comp.join(big, ["graph_id", "component"]).select("graph_id", "node")
     arcs = materialise(both_ways(edges).join(
@@ -227,71 +275,30 @@ def _bfs_level(state: DataFrame, arcs: DataFrame, key: list[str], level: int) ->
 
 # Spectra ------------------------------------------------------------------------------
 
-SPECTRUM = ("graph_id bigint, spectral_radius double, adjacency_spectral_gap double, "
-            "algebraic_connectivity double, laplacian_spectral_radius double")
-
-
-def spectrum(vertices: DataFrame, edges: DataFrame, dense_limit: int = 256) -> DataFrame:
+def spectrum(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Extreme eigenvalues of adjacency and Laplacian, per graph.
 
-    Graphs up to ``dense_limit`` nodes are solved densely, one small group per
-    graph; larger ones by distributed subspace iteration, so that no group ever
-    grows with the data.
+    Small graphs are solved densely, many at a time; big ones by distributed
+    subspace iteration, so that no group ever grows with the data.
     """
-    sizes = vertices.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
-    small = edges.join(sizes.where(F.col("n") <= dense_limit), "graph_id", "right")
-    dense = small.groupBy("graph_id").applyInPandas(_dense_spectrum, SPECTRUM)
-    large = sizes.where(F.col("n") > dense_limit).select("graph_id")
-    if large.isEmpty():
-        return dense
-    return dense.unionByName(iterative_spectrum(
-        vertices.join(large, "graph_id", "left_semi"), edges.join(large, "graph_id", "left_semi")))
+    return _both(vertices, edges, small.spectrum, iterative_spectrum)
 
 
-def eigenvalue_moments(vertices: DataFrame, edges: DataFrame, dense_limit: int = 256) -> DataFrame:
-    """Power sums of all adjacency and Laplacian eigenvalues of each small graph.
+def eigenvalue_moments(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """Power sums of all adjacency and Laplacian eigenvalues of each graph.
 
-    The sums count edges, triangles and squared degrees, which makes them a
-    sharp check of the decomposition.
+    The sums count edges, triangles and squared degrees, which is how big graphs
+    get them, and what checks the decomposition of the small ones.
     """
-    sizes = vertices.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= dense_limit)
-    rows = edges.join(sizes, "graph_id", "right")
-    return rows.groupBy("graph_id").applyInPandas(
-        _dense_moments, "graph_id bigint, a1 double, a2 double, a3 double, l1 double, l2 double")
-
-
-def _matrices(pdf):
-    import numpy as np
-
-    n = int(pdf["n"].iloc[0])
-    a = np.zeros((n, n))
-    known = pdf.dropna(subset=["u", "v"])
-    u, v = known["u"].astype("int64").to_numpy(), known["v"].astype("int64").to_numpy()
-    a[u, v] = a[v, u] = 1.0
-    return a, np.diag(a.sum(axis=1)) - a
-
-
-def _dense_spectrum(pdf):
-    import numpy as np
-    import pandas as pd
-
-    a, lap = _matrices(pdf)
-    ea, el = np.linalg.eigvalsh(a), np.linalg.eigvalsh(lap)
-    gap = ea[-1] - ea[-2] if len(ea) > 1 else None
-    connect = max(0.0, el[1]) if len(el) > 1 else None
-    return pd.DataFrame([[pdf["graph_id"].iloc[0], ea[-1], gap, connect, el[-1]]],
-                        columns=["graph_id", "spectral_radius", "adjacency_spectral_gap",
-                                 "algebraic_connectivity", "laplacian_spectral_radius"])
-
+    return _both(vertices, edges, small.eigenvalue_moments, moments_by_counting)
 
-def _dense_moments(pdf):
-    import numpy as np
-    import pandas as pd
 
-    a, lap = _matrices(pdf)
-    ea, el = np.linalg.eigvalsh(a), np.linalg.eigvalsh(lap)
-    return pd.DataFrame([[pdf["graph_id"].iloc[0], ea.sum(), (ea**2).sum(), (ea**3).sum(), el.sum(), (el**2).sum()]],
-                        columns=["graph_id", "a1", "a2", "a3", "l1", "l2"])
+def moments_by_counting(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    d = degrees(vertices, edges).join(node_triangles(edges), ["graph_id", "node"], "left")
+    x, tri = F.col("degree").cast("double"), F.coalesce("triangles", F.lit(0)).cast("double")
+    return d.groupBy("graph_id").agg(
+        F.lit(0.0).alias("a1"), F.sum(x).alias("a2"), F.sum(2 * tri).alias("a3"), F.sum(x).alias("l1"),
+        F.sum(x * x + x).alias("l2"))
 
 
 def iterative_spectrum(vertices: DataFrame, edges: DataFrame, tolerance: float = 1e-9,
@@ -454,20 +461,51 @@ def regular_edges(specs: DataFrame, degree: int = 4, attempts: int = 24, seed: s
     """A simple ``degree``-regular graph per spec (graph_id, num_nodes, seed), even degree.
 
     Each attempt overlays degree/2 seeded cycles; the first attempt without a
-    repeated edge is kept.  A spec that fails every attempt is absent.
+    repeated edge is kept.  A spec that fails every attempt is absent.  Specs of
+    ordinary size are built inside their row, without any shuffle; very long
+    cycles are ordered by distributed hash ranks.
     """
     if degree % 2:
         raise ValueError("the construction needs an even degree")
     bad = F.concat(F.lit("degree must be below the node count: "), F.col("num_nodes").cast("string"))
     ok = specs.where(F.when(F.col("num_nodes") <= degree, F.raise_error(bad).cast("boolean")).otherwise(True))
+    row_sized = F.col("num_nodes") <= ROW_NODES
+    done = _regular_in_row(ok.where(row_sized), degree, attempts, seed)
+    long = ok.where(~row_sized)
+    return done if long.isEmpty() else done.unionByName(_regular_by_rank(long, degree, attempts, seed))
+
+
+def _regular_in_row(specs: DataFrame, degree: int, attempts: int, seed: str) -> DataFrame:
+    n = F.col("num_nodes")
+
+    def order(attempt, turn):
+        keyed = F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda v: F.struct(F.md5(F.concat_ws(
+            "|", F.col(seed).cast("string"), attempt.cast("string"), F.lit(str(turn)), v.cast("string")).cast("binary")).alias("h"), v.alias("v")))
+        return F.transform(F.array_sort(keyed), lambda s: s["v"])
+
+    def cycle(nodes):
+        after = lambda i: F.get(nodes, ((i + 1) % F.size(nodes)).cast("int"))
+        return F.transform(nodes, lambda v, i: F.struct(F.least(v, after(i)).alias("u"), F.greatest(v, after(i)).alias("v")))
+
+    # the generator keeps each order as a value, so that it is hashed and sorted once
+    tries = specs.select("graph_id", "num_nodes", F.posexplode(F.transform(
+        F.sequence(F.lit(1), F.lit(attempts)),
+        lambda a: F.array(*[order(a, c) for c in range(1, degree // 2 + 1)]))).alias("attempt", "_o"))
+    built = tries.withColumn("_e", F.flatten(F.transform("_o", cycle)))
+    simple = built.where(F.size(F.array_distinct("_e")) == n * (degree // 2))
+    first = simple.groupBy("graph_id").agg(F.min_by("_e", "attempt").alias("_e"))
+    return first.select("graph_id", F.inline("_e"))
+
+
+def _regular_by_rank(specs: DataFrame, degree: int, attempts: int, seed: str) -> DataFrame:
     nodes = (
-        ok.select("graph_id", "num_nodes", F.col(seed).alias("_seed"))
+        specs.select("graph_id", "num_nodes", F.col(seed).alias("_seed"))
         .withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
         .withColumn("cycle", F.explode(F.sequence(F.lit(1), F.lit(degree // 2))))
         .withColumn("node", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("num_nodes") - 1))))
     group = ["graph_id", "attempt", "cycle"]
     per_cycle = F.concat_ws("|", F.col("_seed").cast("string"), F.col("attempt"), F.col("cycle"))
-    placed = hash_rank(nodes, "node", per_cycle, group, "_pos", "_n", prefix=1)
+    placed = hash_rank(nodes, "node", per_cycle, group, "_pos", "_n")
     follow = placed.select(*group, F.col("node").alias("_next"), (F.col("_pos") % F.col("_n")).alias("_at"))
     # position p meets position p+1; the last one meets the first
     edges = placed.withColumn("_at", (F.col("_pos") + 1) % F.col("_n")).join(follow, [*group, "_at"]).select(
@@ -479,16 +517,23 @@ def regular_edges(specs: DataFrame, degree: int = 4, attempts: int = 24, seed: s
 
 
 def graph_features(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """All structural features, one row per graph."""
-    components = connected_components(vertices, edges)
-    return (
-        degree_stats(vertices, edges)
-        .join(clustering(vertices, edges), "graph_id")
-        .join(assortativity(vertices, edges), "graph_id")
-        .join(component_stats(components).drop("largest_component"), "graph_id")
-        .join(shortest_paths(vertices, edges, components), "graph_id")
-        .join(spectrum(vertices, edges), "graph_id")
-    )
+    """All structural features, one row per graph.
+
+    Small graphs are packed once, so the parts meet on one partitioning.
+    """
+    few, many = by_size(vertices, edges)
+    packed = materialise(small.pack(*few))
+    parts = [small.clustering(packed), small.assortativity(packed), small.component_stats(packed),
+             small.shortest_paths(packed), small.spectrum(packed)]
+    if many is not None:
+        labels = components_by_joins(*many)
+        more = [clustering_by_joins(*many), assortativity_by_joins(*many),
+                component_stats(labels).drop("largest_component"), paths_by_joins(*many, labels), iterative_spectrum(*many)]
+        parts = [a.unionByName(b) for a, b in zip(parts, more)]
+    features = degree_stats(vertices, edges)
+    for part in parts:
+        features = features.join(part, "graph_id")
+    return features
 
 
 def edge_count_mismatch(edges: DataFrame, declared: DataFrame, column: str = "num_edges") -> DataFrame:

@@ -6,6 +6,8 @@ for the side-by-side check.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from selectra.operators.aggregates import replicate_means
@@ -13,6 +15,7 @@ from selectra.operators.learning import line_scorer
 from selectra.operators.ranking import running_total
 from selectra.operators.selection import fixed_by_case, score_cases
 from selectra.operators.splits import entity_split
+from selectra.session import materialise
 from selectra.sources.readers import nan_to_null
 from selectra.sources.registries import expand_budgets
 
@@ -81,9 +84,12 @@ class Tables:
     def splits(self) -> DataFrame:
         return entity_split(self.entities, "entity", SEED)
 
-    @property
+    @cached_property
     def perf_split(self) -> DataFrame:
-        return self.perf.join(self.splits, "entity")
+        """Candidates with their split.  This small table is the materialised point
+        of a job: fitting, baselines and scoring all start from it, so that the
+        runs are scanned once."""
+        return materialise(self.perf.join(self.splits, "entity"))
 
     def part(self, *names: str) -> DataFrame:
         return self.perf_split.where(F.col("split").isin(*names))

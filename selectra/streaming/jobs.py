@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from selectra.operators.incremental import upsert_table
 from selectra.operators.rules import evaluate
@@ -48,7 +48,7 @@ def drain_updates(stream: DataFrame, name: str, key: Sequence[str], checkpoint:
         batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     _drain(stream.writeStream.outputMode("update").foreachBatch(write), checkpoint or shared_dir(spark, f"{name}-ckpt"))
-    rows = spark.read.schema(stream.schema.add("batch", "bigint")).parquet(target)
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(target)
     rest = [c for c in stream.columns if c not in key]
     return rows.groupBy(*key).agg(F.max(F.struct("batch", *rest)).alias("_last")).select(
         *key, *[F.col(f"_last.{c}").alias(c) for c in rest])
