@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from selectra.functions.hashing import hash_unit, row_hash
 from selectra.operators import small_graphs as small
 from selectra.operators.ranking import hash_rank
-from selectra.session import materialise
+from selectra.session import materialise, spread
 
 BITS = 60
 MAX_EXACT_NODES = 20
+CHUNK_BITS = 12
 ROW_NODES = 4096
 
 
@@ -305,9 +306,10 @@ def iterative_spectrum(vertices: DataFrame, edges: DataFrame, tolerance: float =
                        max_rounds: int = 5000, rounds_per_check: int = 5) -> DataFrame:
     """The same four values by shifted power iteration in DataFrames.
 
-    Four vectors per vertex advance together: x1, x2 under A + cI (x2 kept
-    orthogonal to x1), y under the Laplacian, z under (2c)I - L kept orthogonal
-    to the constant vector; c is the largest degree of the graph.  A round is
+    Four vectors per vertex advance together: x1, x2 under A + (c/2 + 1)I (x2
+    kept orthogonal to x1), y under the Laplacian, z under (2c)I - L kept
+    orthogonal to the constant vector; c is the largest degree of the graph, and
+    the shifts put the wanted eigenvalues on top.  A round is
     one join with the edges plus two small per-graph sums.
     """
     d = degrees(vertices, edges)
@@ -341,11 +343,12 @@ def _sums_of_neighbours(state: DataFrame, arcs: DataFrame) -> DataFrame:
 
 def _advance(state: DataFrame, arcs: DataFrame) -> DataFrame:
     s = _sums_of_neighbours(state, arcs)
+    shift = F.col("c") / 2 + 1
     lap = lambda v: F.col("degree") * F.col(v) - F.col(f"n_{v}")
     return s.select(
         "graph_id", "node", "degree", "c", "n",
-        (F.col("n_x1") + F.col("c") * F.col("x1")).alias("x1"),
-        (F.col("n_x2") + F.col("c") * F.col("x2")).alias("x2"), lap("y").alias("y"),
+        (F.col("n_x1") + shift * F.col("x1")).alias("x1"),
+        (F.col("n_x2") + shift * F.col("x2")).alias("x2"), lap("y").alias("y"),
         (2 * F.col("c") * F.col("z") - lap("z")).alias("z"))
 
 
@@ -435,9 +438,12 @@ def exact_maxcut(vertices: DataFrame, edges: DataFrame, max_nodes: int = MAX_EXA
     message = F.concat(F.lit("exact cut is limited, found nodes: "), F.col("n").cast("string"))
     guarded = sizes.where(F.when(F.col("n") > max_nodes, F.raise_error(message).cast("boolean")).otherwise(True))
     wide = guarded.join(adjacency_rows(edges, max_nodes), "graph_id", "left").na.fill(0)
-    last = F.call_function("shiftleft", _one(), (F.col("n") - 1).cast("int")) - 1
-    sides = wide.withColumn("_m", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).withColumn(
-        "mask", F.call_function("shiftleft", F.col("_m"), F.lit(1)))
+    # (high bits) spread over the tasks, then (low bits) enumerated where they land
+    low = F.least(F.col("n") - 1, F.lit(CHUNK_BITS)).cast("int")
+    upto = lambda bits: F.sequence(F.lit(0).cast("bigint"), F.call_function("shiftleft", _one(), bits.cast("int")) - 1)
+    chunks = spread(wide.withColumn("_low", low).withColumn("_hi", F.explode(upto(F.col("n") - 1 - F.col("_low")))))
+    sides = chunks.withColumn("_lo", F.explode(upto(F.col("_low")))).withColumn(
+        "mask", F.call_function("shiftleft", F.call_function("shiftleft", F.col("_hi"), F.col("_low")) + F.col("_lo"), F.lit(1)))
     best = F.max(F.struct(_cut_of("mask", max_nodes).alias("cut"), (-F.col("mask")).alias("_neg"))).alias("_best")
     return sides.groupBy("graph_id").agg(best).select(
         "graph_id", F.col("_best.cut").alias("optimum"), (-F.col("_best._neg")).alias("best_mask"))

@@ -14,6 +14,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from selectra.functions.hashing import row_hash
+from selectra.session import materialise
 
 _FIRST = Window.unboundedPreceding
 
@@ -65,9 +66,10 @@ def running_total(counts: DataFrame, group: Sequence[str], value: str, weight: s
     """Weight of all smaller values of the group, for rows unique on (group, value).
 
     The input is aggregated per distinct value first, so that a value shared by
-    a third of all rows is one row here.
+    a third of all rows is one row here.  They are kept once, because the bucket
+    edges need a pass of their own.
     """
-    cut = _value_buckets(counts, value, "_b")
+    cut = _value_buckets(materialise(counts), value, "_b")
     sums = cut.groupBy(*group, "_b").agg(F.sum(weight).cast("bigint").alias("_w"))
     offsets = with_offsets(sums, group, "_b", "_w", "_before", total)
     inner = Window.partitionBy(*group, "_b").orderBy(value).rowsBetween(_FIRST, -1)

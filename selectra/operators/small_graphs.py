@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from selectra.session import spread
+
 LIMIT = 60
 
 
@@ -39,7 +41,9 @@ def pack(vertices: DataFrame, edges: DataFrame) -> DataFrame:
                    F.struct(F.col("v").alias("node"), _bit(F.col("u")).alias("mask")))
     arcs = edges.select("graph_id", F.inline(ends))
     alone = vertices.select("graph_id", "node", _big(0).alias("mask"))
-    nodes = arcs.unionByName(alone).groupBy("graph_id", "node").agg(F.bit_or("mask").alias("mask"))
+    # one shuffle on the graph serves both groupings
+    together = spread(arcs.unionByName(alone), "graph_id")
+    nodes = together.groupBy("graph_id", "node").agg(F.bit_or("mask").alias("mask"))
     rows = nodes.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("node", "mask"))).alias("_m"))
     return rows.select("graph_id", F.size("_m").cast("bigint").alias("n"), F.col("_m.mask").alias("masks"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from selectra.functions.hashing import hash_int, hash_unit, row_hash
 from selectra.operators.ranking import hash_rank
+from selectra.session import materialise
 
 SPLITS = ("train", "validation", "test")
 
@@ -107,7 +108,7 @@ def bootstrap_means(units: DataFrame, scope: Sequence[str], unit: str, value: st
     units are; they meet the drawn unit through a join on its position, and the
     means combine on the map side.
     """
-    placed = hash_rank(units.select(*scope, unit, value), unit, _sub(seed, "unit"), scope, "pos", "n")
+    placed = materialise(hash_rank(units.select(*scope, unit, value), unit, _sub(seed, "unit"), scope, "pos", "n"))
     drawn = placed.select(
         *scope, "pos", "n", F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("repetition"))
     target = hash_int(row_hash(seed, "repetition", "pos")) % F.col("n") + 1

@@ -12,6 +12,7 @@ from selectra.operators.aggregates import explode_scopes, share
 from selectra.operators.joins import one_to_one
 from selectra.operators.ranking import exact_quantiles, running_total
 from selectra.operators.splits import bootstrap_means, percentile_interval
+from selectra.session import materialise
 
 Z95 = 1.96
 EXACT_UNITS = 20
@@ -122,7 +123,8 @@ def clustered_stats(scored: DataFrame, diff: str = "selected_minus_fixed", entit
                     repetitions: int = 10000, sampled: int = 10000, seed=2027, digits: int = 9) -> DataFrame:
     """Per scope, with the entity as the unit: mean, median, bootstrap interval,
     sign-flip p-value, share of better entities, and Holm over the cells."""
-    units = explode_scopes(scored).groupBy("scope", entity).agg(F.round(F.avg(diff), digits).alias("_d"))
+    units = materialise(
+        explode_scopes(scored).groupBy("scope", entity).agg(F.round(F.avg(diff), digits).alias("_d")))
     basic = units.groupBy("scope").agg(
         F.count(F.lit(1)).alias("entities"), F.avg("_d").alias("mean_difference"),
         share(F.col("_d") > 0).alias("better_fraction"))

@@ -53,3 +53,13 @@ def materialise(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_root(spark))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Repartition to the full shuffle width before work that is heavy per row.
+
+    A count given by hand is left alone by adaptive coalescing, which would
+    otherwise pack small rows that mean much work into one task.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(width, *columns)
