@@ -177,29 +177,26 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return _both(vertices, edges, small.components, components_by_joins)
 
 
-def components_by_joins(vertices: DataFrame, edges: DataFrame, rounds_per_checkpoint: int = 3) -> DataFrame:
+def components_by_joins(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """The same by label propagation, for graphs of any size.
 
     Each round takes the smallest label among the neighbours and then follows
     the label one step (pointer jumping), so long paths shrink geometrically.
+    Every step is checkpointed: a frame used twice per round would otherwise
+    double the plan each time.
     """
     arcs = materialise(both_ways(edges))
-    labels = vertices.select("graph_id", "node", F.col("node").alias("component"))
+    labels = materialise(vertices.select("graph_id", "node", F.col("node").alias("component")))
     while True:
-        before = labels = materialise(labels)
-        for _ in range(rounds_per_checkpoint):
-            seen = labels.select("graph_id", F.col("node").alias("b"), F.col("component").alias("_c"))
-            offered = arcs.join(seen, ["graph_id", "b"]).groupBy("graph_id", F.col("a").alias("node")).agg(
-                F.min("_c").alias("_o"))
-            lower = labels.join(offered, ["graph_id", "node"], "left").select(
-                "graph_id", "node", F.least("component", "_o").alias("component"))
-            jump = lower.select("graph_id", F.col("node").alias("component"), F.col("component").alias("_j"))
-            labels = lower.join(jump, ["graph_id", "component"]).select(
-                "graph_id", "node", F.col("_j").alias("component"))
-        labels = materialise(labels)
-        moved = labels.join(before.withColumnRenamed("component", "_old"), ["graph_id", "node"]).where(
-            "component <> _old")
-        if moved.isEmpty():
+        seen = labels.select("graph_id", F.col("node").alias("b"), F.col("component").alias("_c"))
+        offered = arcs.join(seen, ["graph_id", "b"]).groupBy("graph_id", F.col("a").alias("node")).agg(F.min("_c").alias("_o"))
+        lower = materialise(labels.join(offered, ["graph_id", "node"], "left").select(
+            "graph_id", "node", F.least("component", "_o").alias("component"), F.col("component").alias("_old")))
+        jump = lower.select("graph_id", F.col("node").alias("component"), F.col("component").alias("_j"))
+        stepped = materialise(lower.join(jump, ["graph_id", "component"]).select(
+            "graph_id", "node", F.col("_j").alias("component"), (F.col("_j") != F.col("_old")).alias("_moved")))
+        labels = stepped.drop("_moved")
+        if stepped.where("_moved").isEmpty():
             return labels
 
 
@@ -225,7 +222,7 @@ def shortest_paths(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def paths_by_joins(vertices: DataFrame, edges: DataFrame, components: DataFrame | None = None,
-                   rounds_per_check: int = 3) -> DataFrame:
+                   rounds_per_check: int = 2) -> DataFrame:
     """The same for graphs of any size.
 
     Breadth-first search from 60 sources at a time: a vertex carries one mask of
@@ -309,7 +306,8 @@ def iterative_spectrum(vertices: DataFrame, edges: DataFrame, tolerance: float =
     Four vectors per vertex advance together: x1, x2 under A + (c/2 + 1)I (x2
     kept orthogonal to x1), y under the Laplacian, z under (2c)I - L kept
     orthogonal to the constant vector; c is the largest degree of the graph, and
-    the shifts put the wanted eigenvalues on top.  A round is
+    the shifts put the wanted eigenvalues on top.  Vectors are made orthogonal
+    again after every few rounds.  A round is
     one join with the edges plus two small per-graph sums.
     """
     d = degrees(vertices, edges)
@@ -322,8 +320,8 @@ def iterative_spectrum(vertices: DataFrame, edges: DataFrame, tolerance: float =
     last = None
     for _ in range(0, max_rounds, rounds_per_check):
         for _ in range(rounds_per_check):
-            state = _normalised(_advance(state, arcs))
-        state = materialise(state)
+            state = materialise(_advance(state, arcs))
+        state = materialise(_normalised(state))
         values = materialise(_rayleigh(state, arcs))
         if last is not None:
             moved = values.join(last.toDF("graph_id", *[f"_{c}" for c in values.columns[1:]]), "graph_id").where(

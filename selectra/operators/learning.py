@@ -78,12 +78,14 @@ class Averaged:
 def fit_ridge(train: DataFrame, features: FeatureSet, target: str, alpha: float = 1.0) -> Fitted:
     """Scaled, uncentred inputs and an L2 penalty of alpha on the sum of squares.
 
-    The scaler divides by the sample deviation and the solver averages the loss
-    over n rows; the penalty (n-1)/n^2 * alpha undoes both.
+    The scaler divides by the sample deviation, the solver averages the loss over
+    n rows and penalises in units of the target deviation; the factor on alpha
+    undoes all three.
     """
-    n = train.count()
+    size = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(target).alias("s")).first()
+    penalty = alpha * (size["n"] - 1) / size["n"] ** 2 * size["s"]
     stages = [*encode_stages(features, "_raw"), StandardScaler(inputCol="_raw", outputCol="features", withMean=False),
-              LinearRegression(labelCol=target, regParam=alpha * (n - 1) / n**2, elasticNetParam=0.0,
+              LinearRegression(labelCol=target, regParam=penalty, elasticNetParam=0.0,
                                standardization=False, solver="normal")]
     return Fitted(Pipeline(stages=stages).fit(train))
 
