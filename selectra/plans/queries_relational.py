@@ -341,8 +341,9 @@ _ASKED = """asked AS (SELECT CAST(5 - r_regionkey AS BIGINT) AS position, CAST(r
 def _asked(t: Tables):
     regions = t.read("region").select(
         (5 - F.col("r_regionkey")).cast(BIG).alias("position"), (F.col("r_regionkey") * 7 + 1).cast(BIG).alias("c_custkey"))
-    return regions.unionByName(t.spark.range(1).select(
-        F.lit(6).cast(BIG).alias("position"), F.lit(900000000).cast(BIG).alias("c_custkey")))
+    nowhere = t.read("region").where("r_regionkey = 0").select(
+        F.lit(6).cast(BIG).alias("position"), (F.col("r_regionkey") + 900000000).cast(BIG).alias("c_custkey"))
+    return regions.unionByName(nowhere)
 
 
 @query("select_by_id_list", sql("""

@@ -127,14 +127,14 @@ def _(t: Tables):
 
 
 @query("agg_selection_metrics", rounded_sql(sql("""
-    SELECT 'ALL' AS scope, avg(selected_quality) AS selection_mean, avg(oracle_quality) AS oracle_mean, avg(regret) AS mean_regret,
+    SELECT scope, avg(selected_quality) AS selection_mean, avg(oracle_quality) AS oracle_mean, avg(regret) AS mean_regret,
            avg(CAST(selected_is_oracle AS INTEGER)) AS accuracy, avg(CAST(oracle_in_top3 AS INTEGER)) AS top3, count(*) AS cases,
-           median(regret) AS median_regret FROM cases""", "cases"),
+           median(regret) AS median_regret FROM (SELECT *, unnest(['ALL', budget]) AS scope FROM cases) GROUP BY scope""", "cases"),
     "selection_mean oracle_mean mean_regret accuracy top3 median_regret"))
 def _(t: Tables):
     from selectra.operators.ranking import exact_quantiles
 
-    cases = t.cases.withColumn("scope", F.lit("ALL"))
+    cases = t.cases.withColumn("scope", F.explode(F.array(F.lit("ALL"), F.col("budget"))))
     basic = cases.groupBy("scope").agg(
         F.avg("selected_quality").alias("selection_mean"), F.avg("oracle_quality").alias("oracle_mean"),
         F.avg("regret").alias("mean_regret"), aggregates.share(F.col("selected_is_oracle")).alias("accuracy"),

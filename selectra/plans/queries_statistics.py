@@ -121,13 +121,13 @@ def _(t: Tables):
 
 @query("stratified_sign_vectors", rounded_sql(sql("""
     SELECT context, v, sum(CASE WHEN (v >> CAST(unit % 10 AS INTEGER)) & 1 = 1 THEN difference ELSE -difference END) AS total
-    FROM nation_units, (SELECT unnest(range(1024)) AS v) GROUP BY ALL""", "nation_units"), "total"))
+    FROM nation_units, (SELECT unnest(range(1024)) AS v) GROUP BY ALL""", "nation_units"), "total", 9))
 def _(t: Tables):
     """Every sign vector over ten strata of the nations, applied to their differences."""
     strata = t.nation_units.groupBy("context", (F.col("unit") % 10).alias("stratum")).agg(F.sum("difference").alias("d"))
     vectors = strata.withColumn("v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(1023).cast("bigint"))))
     up = F.call_function("shiftright", F.col("v"), F.col("stratum").cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
-    return rounded(vectors.groupBy("context", "v").agg(F.sum(F.when(up, F.col("d")).otherwise(-F.col("d"))).alias("total")))
+    return rounded(vectors.groupBy("context", "v").agg(F.sum(F.when(up, F.col("d")).otherwise(-F.col("d"))).alias("total")), 9)
 
 
 def _boot_sql(units: str, seed: int = SEED) -> str:
