@@ -304,9 +304,10 @@ def iterative_spectrum(vertices: DataFrame, edges: DataFrame, tolerance: float =
     """The same four values by shifted power iteration in DataFrames.
 
     Four vectors per vertex advance together: x1, x2 under A + (c/2 + 1)I (x2
-    kept orthogonal to x1), y under the Laplacian, z under (2c)I - L kept
-    orthogonal to the constant vector; c is the largest degree of the graph, and
-    the shifts put the wanted eigenvalues on top.  Vectors are made orthogonal
+    kept orthogonal to x1), y under L - (c+1)/2 I, z under min(2c, n)I - L kept
+    orthogonal to the constant vector; c is the largest degree of the graph.  As
+    c + 1 <= largest Laplacian eigenvalue <= min(2c, n), the shifts put the wanted
+    eigenvalues on top.  Vectors are made orthogonal
     again after every few rounds.  A round is
     one join with the edges plus two small per-graph sums.
     """
@@ -346,8 +347,9 @@ def _advance(state: DataFrame, arcs: DataFrame) -> DataFrame:
     return s.select(
         "graph_id", "node", "degree", "c", "n",
         (F.col("n_x1") + shift * F.col("x1")).alias("x1"),
-        (F.col("n_x2") + shift * F.col("x2")).alias("x2"), lap("y").alias("y"),
-        (2 * F.col("c") * F.col("z") - lap("z")).alias("z"))
+        (F.col("n_x2") + shift * F.col("x2")).alias("x2"),
+        (lap("y") - (F.col("c") + 1) / 2 * F.col("y")).alias("y"),
+        (F.least(2 * F.col("c"), F.col("n")) * F.col("z") - lap("z")).alias("z"))
 
 
 def _normalised(state: DataFrame) -> DataFrame:

@@ -110,7 +110,7 @@ def test_iterative_spectrum(spark):
     """A dense graph, where the iteration converges quickly; it stops on small steps, so only closeness is asked."""
     draw = random.Random(9)
     made = {1: (30, [p for p in itertools.combinations(range(30), 2) if draw.random() < 0.6])}
-    found = graphs.iterative_spectrum(*frames(spark, made), tolerance=2e-2, max_rounds=80, rounds_per_check=10).first()
+    found = graphs.iterative_spectrum(*frames(spark, made), tolerance=5e-2, max_rounds=150, rounds_per_check=10).first()
     expected = brute(*made[1])
     for name in found.asDict():
         if name != "graph_id":
