@@ -48,12 +48,12 @@ def context_registry(spark: SparkSession, rows: Sequence[tuple] = CONTEXTS) -> D
 
 
 def lookup_candidates(df: DataFrame, registry: DataFrame, key: str = "candidate") -> DataFrame:
-    """Attach the descriptors of the registry, whose size the caller fixes."""
-    return df.join(F.broadcast(registry), key)
+    """Attach the descriptors of the registry."""
+    return df.join(registry, key)
 
 
 def unknown_candidates(df: DataFrame, registry: DataFrame, key: str = "candidate") -> DataFrame:
-    return df.join(F.broadcast(registry), key, "left_anti").select(key).distinct()
+    return df.join(registry, key, "left_anti").select(key).distinct()
 
 
 def entity_manifest(instances: DataFrame, family: str, sizes: Sequence[int], instance: str,
