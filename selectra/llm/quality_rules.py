@@ -13,9 +13,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-GAP = r"[\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
+#: up to so many repeated windows of a text are searched instead of sorted
+SEARCHED = 64
 #: fixed values: frequent function words of the four languages
 STOP_WORDS = (
     "the of and to in that is was for it with as on be at by this had not are but from or have an they which one you "
@@ -48,40 +48,55 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """One row per document with its counts and ratios.
+def _without(text: Column, characters: str, by: str = "") -> Column:
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(by))
+    return text
+
+
+def _covered(grams: Column, twice: Column) -> Column:
+    """The number of words inside windows whose hash is among those found twice.
 
-    A three-word window is compared by the 64-bit hash of its words; equal hashes lie side by side once sorted.
+    A short list of repeated hashes is searched; with a long one the windows are sorted, so that equal hashes lie side
+    by side. Both give the same positions.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    tokens = F.array_remove(F.split(text, GAP), "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != "")
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), tokens.alias("w"), lines.alias("lines"),
-                       F.length(F.translate(text, SPACES, "")).alias("word_chars"),
-                       (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).alias("n_symbols"))
+    searched = F.filter(F.transform(grams, lambda g, i: F.when(F.array_contains(twice, g), i)), lambda i: i.isNotNull())
+    in_order = F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+    neighbours = F.zip_with(in_order, F.slice(in_order, 2, F.greatest(F.size(in_order) - 1, F.lit(1))),
+                            lambda a, b: F.when(a["g"] == b["g"], F.array(a["i"], b["i"])))
+    sorted_out = F.flatten(F.filter(neighbours, lambda x: x.isNotNull()))
+    positions = F.when(F.size(twice) <= SEARCHED, searched).otherwise(sorted_out)
+    words = F.array_distinct(F.flatten(F.transform(positions, lambda i: F.array(i, i + 1, i + 2))))
+    return F.when(F.size(twice) == 0, F.lit(0)).otherwise(F.size(words))
+
+
+def measures(docs: DataFrame) -> DataFrame:
+    """One row per document with its counts and ratios. Three-word windows are compared by their 64-bit hash."""
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
+                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    arrays = source.select(
+        "doc_id", F.array_remove(F.split(_without(F.col("t"), "\t\n\x0b\f\r", " "), " "), "").alias("w"),
+        F.filter(F.split("t", "\n"), lambda x: F.trim(_without(x, "\t\x0b\f\r", " ")) != "").alias("lines"),
+        (F.length("t") - F.length(_without(F.col("t"), SYMBOLS))).alias("n_symbols"))
     n = F.size("w")
     following = lambda by: F.slice("w", by + 1, F.greatest(n - by, F.lit(0)))
-    grams = F.zip_with(F.zip_with("w", following(1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), following(2),
-                       lambda p, c: F.xxhash64(p["a"], p["b"], c))
-    # the last two entries have no third word; they are cut, the others keep their position
-    numbered = F.transform(F.slice(grams, 1, F.greatest(n - 2, F.lit(0))),
-                           lambda g, i: F.struct(g.alias("g"), i.alias("i")))
-    counted = base.select(
-        "doc_id", n.cast("bigint").alias("n_words"), "word_chars", "n_symbols", F.size("lines").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
+    hashed = F.zip_with(F.zip_with("w", following(1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), following(2),
+                        lambda p, c: F.xxhash64(p["a"], p["b"], c))
+    counted = arrays.select(
+        "doc_id", n.cast("bigint").alias("n_words"), F.length(F.array_join("w", "")).alias("word_chars"), "n_symbols",
+        F.size("lines").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         F.size(F.filter("lines", lambda x: F.length(x) < 30)).alias("n_short_lines"),
         F.size(F.filter("w", lambda x: F.lower(x).isin(*STOP_WORDS))).alias("n_stop_words"),
-        F.array_sort(numbered).alias("s"))
-    size = F.size("s")
-    after = F.slice("s", 2, F.greatest(size - 1, F.lit(0)))
-    # positions of windows that equal a neighbour in sorted order, each pair giving both
-    pairs = F.filter(F.zip_with(F.slice("s", 1, F.greatest(size - 1, F.lit(0))), after,
-                                lambda a, b: F.when(a["g"] == b["g"], F.array(a["i"], b["i"]))), lambda x: x.isNotNull())
-    repeated = counted.withColumn("p", F.flatten(pairs)).drop("s")
-    covered = F.array_distinct(F.flatten(F.transform("p", lambda i: F.array(i, i + 1, i + 2))))
-    counts = repeated.select(
+        # the last two windows have no third word
+        F.slice(hashed, 1, F.greatest(n - 2, F.lit(0))).alias("grams"))
+    ordered = counted.withColumn("s", F.sort_array("grams"))
+    after = F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0)))
+    equal = F.filter(F.zip_with("s", after, lambda a, b: F.when(a == b, a)), lambda g: g.isNotNull())
+    found = ordered.withColumn("twice", F.array_distinct(equal))
+    counts = found.select(
         "doc_id", "n_words", *[F.col(c).cast("bigint").alias(c) for c in ("word_chars", "n_symbols", "n_dup_lines")],
-        F.size(covered).cast("bigint").alias("n_repeat_words"), "n_lines", "n_short_lines", "n_stop_words")
+        _covered(F.col("grams"), F.col("twice")).cast("bigint").alias("n_repeat_words"),
+        "n_lines", "n_short_lines", "n_stop_words")
     words, all_lines = F.col("n_words"), F.col("n_lines")
     return counts.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
