@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from selectra.llm import packing, quality_rules, sharding
+from selectra.llm import decontamination, line_dedup, packing, quality_rules, sharding, toxicity
 from selectra.llm.queries_sql import QUALITY_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,22 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
                          "kept")
 
 
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op3_line_dedup")
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = line_dedup.clean(table(spark, folder, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "text", F.col("_deleted").alias("n_deleted"))
+
+
+@query("op7_decontamination")
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op8_sharding")
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     rows = sharding.document_rows(table(spark, folder, "documents"))
