@@ -78,9 +78,7 @@ def patience(later: list, earlier: list) -> list[tuple[int, int]]:
         unique = [(i, place[later[i]]) for i in range(a0, a1) if once_a[later[i]] == 1 and later[i] in place]
         anchors = _rising(unique)
         if not anchors:
-            # no unique anchor: the first entry of the later side that the other side has is aligned with its first place
-            first = next(((i, earlier.index(later[i], b0, b1)) for i in range(a0, a1) if later[i] in once_b), None)
-            anchors = [first] if first else []
+            anchors = _in_turn(later, earlier, a0, a1, b0, b1)
         for i, j in anchors:
             aligned.append((i, j))
         edges = [(a0 - 1, b0 - 1), *anchors, (a1, b1)] if anchors else []
@@ -88,6 +86,21 @@ def patience(later: list, earlier: list) -> list[tuple[int, int]]:
     return sorted(aligned)
 
 
+def _in_turn(later: list, earlier: list, a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
+    """Without a unique entry: each entry with the next place of its equal beyond the last aligned one."""
+    places: dict = {}
+    for j in range(b0, b1):
+        places.setdefault(earlier[j], []).append(j)
+    out, at = [], b0
+    for i in range(a0, a1):
+        own = places.get(later[i], ())
+        n = bisect_left(own, at) if own else 0
+        if n < len(own):
+            out.append((i, own[n]))
+            at = own[n] + 1
+    return out
+
+
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest subsequence whose second parts rise (patience sorting)."""
     tops, at, before = [], [], [-1] * len(pairs)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from selectra.llm import decontamination, line_dedup, packing, quality_rules, sharding, toxicity
+from selectra.llm import decontamination, line_dedup, ngram_join, packing, quality_rules, sharding, toxicity
 from selectra.llm.queries_sql import QUALITY_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,12 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cleaned.select("doc_id", "text", F.col("_deleted").alias("n_deleted"))
 
 
+@query("op4_ngram_join")
+def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    groups = ngram_join.join_groups(table(spark, folder, "documents"), ngram_join.Likeness(n=3, num=9, den=10))
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
 @query("op7_decontamination")
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
