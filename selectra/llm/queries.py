@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from selectra.llm import decontamination, line_dedup, ngram_join, packing, quality_rules, sharding, toxicity
+from selectra.llm import decontamination, line_dedup, ngram_join, packing, quality_rules, sharding, substring_dedup, toxicity
 from selectra.llm.queries_sql import QUALITY_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     return packing.digest(packing.pack_documents(table(spark, folder, "documents"), vocabulary))
+
+
+@query("op10_substring_dedup")
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.passages(table(spark, folder, "documents"))
