@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from selectra.llm import decontamination, line_dedup, ngram_join, packing, quality_rules, sharding, substring_dedup, toxicity
+from selectra.llm import (
+    decontamination, line_dedup, lm_scoring, ngram_join, packing, quality_rules, sharding, substring_dedup, toxicity)
 from selectra.llm.queries_sql import QUALITY_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +53,11 @@ def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", "n_shingles", "component_id")
 
 
+@query("op6_lm_scoring")
+def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring.score(table(spark, folder, "documents"))
+
+
 @query("op7_decontamination")
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
