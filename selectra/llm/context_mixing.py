@@ -15,8 +15,8 @@ import numpy as np
 from selectra.llm.shingles import mixed
 
 #: states of the gate from earlier words; slots of a predictor (as bits); smoothing of its counts
-GATES, SLOTS, PRIOR = 16, 21, 0.05
-ORDERS = ("one byte", "two bytes", "three bytes", "word so far", "gate and word so far")
+GATES, SLOTS, PRIOR = 7, 21, 0.2
+ORDERS = ("gate and two bytes", "gate and three bytes", "gate and five bytes", "word so far", "gate and word so far")
 #: places in a word that have weights of their own, by two states of what is known of the word so far
 PLACES, MAP_CELLS = 4, 32
 SPACE, END = b" ", b"\n"
@@ -58,7 +58,7 @@ def steps(words: list[bytes], gates: np.ndarray) -> Steps:
     first = np.cumsum(lengths) - lengths
     place = np.arange(len(data)) - np.repeat(first, lengths)
     back = []
-    for by in (1, 2, 3):
+    for by in (1, 2, 3, 4, 5):
         shifted = np.zeros(len(data), np.uint64)
         shifted[by:] = data[:-by]
         shifted[place < by] = 0
@@ -71,10 +71,13 @@ def steps(words: list[bytes], gates: np.ndarray) -> Steps:
         gate = np.repeat(gates.astype(np.uint64), lengths)
         key = mixed(so_far + (gate * np.uint64(257) + data) * _K[2])
         _, chosen, taken = np.unique(key, return_index=True, return_inverse=True)
-        one, two, three = (b[chosen] for b in back)
-        pair = one + (two << np.uint64(9))
-        contexts = np.stack([one * _K[1], pair * _K[2], (pair + (three << np.uint64(18))) * _K[3], so_far[chosen],
-                             mixed(so_far[chosen] + gate[chosen] * _K[3] + _K[1])])
+        back = [b[chosen] for b in back]
+        own = gate[chosen] * _K[3]
+        two = back[0] + (back[1] << np.uint64(9))
+        three = two + (back[2] << np.uint64(18))
+        five = three + (back[3] << np.uint64(27)) + (back[4] << np.uint64(36))
+        contexts = np.stack([mixed(two * _K[1] + own), mixed(three * _K[2] + own), mixed(five * _K[3] + own + _K[2]),
+                             so_far[chosen], mixed(so_far[chosen] + own + _K[1])])
     return Steps(contexts, (data[chosen] - np.uint64(1)).astype(np.int64), np.minimum(place[chosen], PLACES - 1), taken,
                  first)
 

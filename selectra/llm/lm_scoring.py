@@ -1,6 +1,7 @@
 """Language-model scoring by online logistic context mixing.
 
-All training documents are counted as (gate, word) pairs, the gate being a hash of the last short word before. The most
+Short words tell languages and kinds of text apart: how often they follow each other gives a few classes. All training
+documents are counted as (gate, word) pairs, the gate being the likeliest class of the last short words. The most
 frequent pairs (a bounded number) fill the tables of the bit predictors; the mixing weights and the adaptive map are
 learned online by every task over its share of all pairs, rare ones included, and averaged. A document's score is the
 sum over its words and its end, so a worker evaluates a pair once and looks it up afterwards.
@@ -28,31 +29,51 @@ from selectra.session import materialise
 
 #: bounds of the model: frequent words sent to every task, frequent pairs behind the predictors
 HEAD_WORDS, HEAD_PAIRS = 1 << 20, 1 << 19
-#: words that a worker keeps values of; words longer than so many bytes never set the gate
-KEPT_WORDS, SHORT = 400_000, 3
-RATE, SMOOTH = 0.02, 0.1
+#: words that a worker keeps values of; bytes of a short word, buckets of short words, and how many set the gate
+KEPT_WORDS, SHORT, SHORT_BUCKETS, MEMORY = 400_000, 3, 256, 6
+RATE, SMOOTH = 0.3, 0.1
 
 
 def fold() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10
 
 
+def classes_of(together: np.ndarray, count: int = GATES - 1, rounds: int = 200) -> np.ndarray:
+    """Log likelihood of each short-word bucket in each class, from how often two follow each other.
+
+    Two short words in a row are drawn from one class; expectation and maximisation find the classes (languages, kinds
+    of text) that explain the table. A row per bucket, relative to the mean of the classes."""
+    pairs = together + together.T
+    draw = np.random.default_rng(3)
+    share, within = np.full(count, 1 / count), draw.dirichlet(np.ones(len(pairs)), count) + 1 / len(pairs)
+    within /= within.sum(1, keepdims=True)
+    for _ in range(rounds if pairs.sum() else 0):
+        joint = share[:, None, None] * within[:, :, None] * within[:, None, :]
+        part = joint * (pairs / np.maximum(joint.sum(0), 1e-300))
+        share = part.sum((1, 2))
+        within = (part.sum(2) + 0.5) / (share[:, None] + 0.5 * len(pairs))
+        share = (share + 1) / (share + 1).sum()
+    logs = np.log(within)
+    return (logs - logs.mean(0)).T
+
+
 class Vocabulary(dict):
-    """Numbers for words in order of appearance, and the gate each short word sets (-1: none)."""
+    """Numbers for words in order of appearance, and the bucket of each short word (-1: it is not short)."""
 
-    def __init__(self):
+    def __init__(self, classes: np.ndarray | None = None):
         super().__init__()
+        self.classes = classes
         self.words: list[bytes] = []
-        self.sets: list[int] = []
+        self.buckets: list[int] = []
 
     def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self.words)
         self.words.append(word)
-        self.sets.append(xxhash.xxh32_intdigest(word) % (GATES - 1) + 1 if len(word) <= SHORT and word != END else -1)
+        self.buckets.append(xxhash.xxh32_intdigest(word) % SHORT_BUCKETS if len(word) <= SHORT and word != END else -1)
         return number
 
-    def pairs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Word * GATES + gate of every token of the texts, and where each text begins."""
+    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of all tokens, where each text begins, and the places of the short words."""
         numbers, starts = [], [0]
         for text in texts:
             words = (text or "").encode().lower().split()
@@ -60,19 +81,49 @@ class Vocabulary(dict):
             numbers.append(np.array([self[END]], np.int64))
             starts.append(starts[-1] + len(words) + 1)
         token = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
-        begins = np.array(starts[:-1], np.int64)
-        gate_of = np.array(self.sets, np.int64)[token] if len(token) else token
-        # the gate before a token: set by the last short word since the text began, else 0
-        last = np.where(gate_of >= 0, np.arange(len(token)), -1)
-        last = np.maximum.accumulate(last) if len(last) else last
-        before = np.concatenate([[-1], last[:-1]]) if len(last) else last
-        since = np.repeat(begins, np.diff(starts)) if len(token) else begins
-        gate = np.where(before >= since, gate_of[np.maximum(before, 0)], 0) if len(token) else token
-        return token * GATES + gate, begins
+        short = np.flatnonzero(np.array(self.buckets, np.int64)[token] >= 0) if len(token) else token
+        return token, np.array(starts[:-1], np.int64), short
+
+    def together(self, texts: list[str | None]) -> np.ndarray:
+        """How often a short word of each bucket is followed by one of each."""
+        token, begins, short = self.tokens(texts)
+        text = np.searchsorted(begins, short, "right")
+        bucket = np.array(self.buckets, np.int64)[token[short]]
+        same = text[1:] == text[:-1]
+        flat = bucket[:-1][same] * SHORT_BUCKETS + bucket[1:][same]
+        return np.bincount(flat, minlength=SHORT_BUCKETS ** 2)
+
+    def pairs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Word * GATES + gate of every token, and where each text begins. The gate is the likeliest class of the last
+        short words before the token in its text, 0 if there are none."""
+        token, begins, short = self.tokens(texts)
+        if not len(short):
+            return token * GATES, begins
+        likely = self.classes[np.array(self.buckets, np.int64)[token[short]]]
+        total = np.concatenate([np.zeros((1, likely.shape[1])), np.cumsum(likely, 0)])
+        text = np.searchsorted(begins, short, "right") - 1
+        opens = np.searchsorted(short, begins)[text]  # the first short word of the same text
+        after = np.arange(len(short)) + 1
+        gate = (total[after] - total[np.maximum(after - MEMORY, opens)]).argmax(1) + 1
+        before = np.searchsorted(short, np.arange(len(token))) - 1
+        owner = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(token))))
+        good = (before >= 0) & (text[np.maximum(before, 0)] == owner)
+        return token * GATES + np.where(good, gate[np.maximum(before, 0)], 0), begins
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    vocabulary, counts = Vocabulary(), np.zeros(SHORT_BUCKETS ** 2, np.int64)
+    for batch in batches:
+        for i in range(0, batch.num_rows, 512):
+            counts += vocabulary.together(batch.column(0)[i:i + 512].to_pylist())
+            if len(vocabulary.words) > 2 * KEPT_WORDS:
+                vocabulary = Vocabulary()
+    used = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], ["cell", "n"])
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    vocabulary, counts = Vocabulary(), np.zeros(0, np.int64)
+def _counted(batches: Iterator[pa.RecordBatch], classes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    vocabulary, counts = Vocabulary(classes), np.zeros(0, np.int64)
 
     def flush():
         used = np.flatnonzero(counts)
@@ -88,7 +139,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = more
             if len(vocabulary.words) > 2 * KEPT_WORDS:
                 yield flush()
-                vocabulary, counts = Vocabulary(), np.zeros(0, np.int64)
+                vocabulary, counts = Vocabulary(classes), np.zeros(0, np.int64)
     yield flush()
 
 
@@ -118,10 +169,15 @@ def _at_most(counted: DataFrame, bound: int) -> int:
     return (1 << 62) if least is None else int(np.ceil(2 ** (least / 16) - 1e-9))
 
 
-def learn(docs: DataFrame) -> tuple[DataFrame, DataFrame, Mixer]:
-    """All (gate, word) counts and word counts of the training documents, and the model."""
+def learn(docs: DataFrame) -> tuple[DataFrame, Mixer, np.ndarray]:
+    """Word counts of all training documents, the model, and the classes of short words."""
     texts = docs.where(fold() != 0).select(F.col("text").cast("string").alias("text"))
-    pairs = materialise(texts.mapInArrow(_counted, "gate int, word binary, n bigint")
+    cells = (texts.mapInArrow(_together, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+             .toArrow())  # at most the square of the buckets
+    together = np.zeros(SHORT_BUCKETS ** 2)
+    together[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    classes = classes_of(together.reshape(SHORT_BUCKETS, SHORT_BUCKETS))
+    pairs = materialise(texts.mapInArrow(lambda b: _counted(b, classes), "gate int, word binary, n bigint")
                         .groupBy("gate", "word").agg(F.sum("n").alias("n")))
     words = materialise(pairs.groupBy("word").agg(F.sum("n").alias("n")))
     head = pairs.where(F.col("n") >= _at_most(pairs, HEAD_PAIRS)).toArrow()
@@ -146,18 +202,18 @@ def learn(docs: DataFrame) -> tuple[DataFrame, DataFrame, Mixer]:
             values[r["pos"]] = r["v"] / r["mass"] if r["pos"] < width else r["v"]
         mixer.weights = values[:width].reshape(mixer.weights.shape)
         refine(mixer, values[width:].reshape(2, -1))
-    return pairs, words, mixer
+    return words, mixer, classes
 
 
 class _Scorer:
     """Values of words met by a task: their count among the frequent ones, and their score after each gate."""
 
-    def __init__(self, mixer: Mixer, hashes: np.ndarray, counts: np.ndarray):
-        self.mixer, self.hashes, self.counts = mixer, hashes, counts
+    def __init__(self, mixer: Mixer, classes: np.ndarray, hashes: np.ndarray, counts: np.ndarray):
+        self.mixer, self.classes, self.hashes, self.counts = mixer, classes, hashes, counts
         self.reset()
 
     def reset(self):
-        self.vocabulary = Vocabulary()
+        self.vocabulary = Vocabulary(self.classes)
         self.scores = np.zeros((0, GATES))
         self.head = np.zeros(0)
 
@@ -209,13 +265,13 @@ def _scored(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
 def score(docs: DataFrame) -> DataFrame:
     """Per document: fold, token counts, the base score from word counts and the model's score (both log10)."""
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    _, words, mixer = learn(source)
+    words, mixer, classes = learn(source)
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     head = words.where(F.col("n") >= _at_most(words, HEAD_WORDS)).toArrow()
     hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in head.column("word").to_pylist()], np.uint64)
     order = np.argsort(hashes)
     counts = head.column("n").to_numpy().astype(np.float64)[order]
-    shared = docs.sparkSession.sparkContext.broadcast((mixer, hashes[order], counts))  # at most HEAD_WORDS entries
+    shared = docs.sparkSession.sparkContext.broadcast((mixer, classes, hashes[order], counts))  # at most HEAD_WORDS entries
     scored = materialise(source.mapInArrow(
         lambda b: _scored(b, shared), "row bigint, doc_id bigint, score double, logs double, known bigint, "
                                       "n_tokens bigint, rare array<binary>"))
