@@ -254,3 +254,30 @@ def join_groups(docs: DataFrame, like: Likeness) -> DataFrame:
     return nodes.join(by_key, "_key", "left").select(
         "doc_id", F.col("_size").alias("n_shingles"), "_key", "_text",
         F.when(F.col("_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, like: Likeness) -> DataFrame:
+    """The documents without those that have a near duplicate of smaller id; rows without words all stay.
+
+    The one kept is the row whose id is the smallest of its group; of several such rows, the one of the smallest text
+    hash, once. Groups of one row are not looked at again."""
+    groups = materialise(join_groups(docs, like))
+    text = F.xxhash64(F.col("text").cast("string"))
+    same_id = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    kept = (groups.where("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("_key")
+                                                                          ).alias("_alone"))
+            .agg(F.min(F.when(same_id, F.col("_text"))).alias("_text")))
+    rows = groups.where("n_shingles > 0").join(
+        kept, [groups["component_id"].eqNullSafe(kept["component_id"]), groups["_text"] == kept["_text"]], "left_semi"
+    ).where(same_id).groupBy("doc_id", "_text").agg(F.count("*").alias("_rows"))
+    chosen = rows.select(F.col("doc_id").alias("_chosen_id"), F.col("_text").alias("_chosen_text"),
+                         (F.col("_rows") > 1).alias("_chosen_twice"))
+    empty = groups.where("n_shingles = 0").select(
+        F.col("doc_id").alias("_chosen_id"), F.coalesce("_text", F.lit(0)).alias("_chosen_text"),
+        F.lit(False).alias("_chosen_twice")).distinct()
+    wanted = chosen.union(empty)
+    found = docs.join(wanted, [F.col("doc_id").cast("bigint").eqNullSafe(F.col("_chosen_id")),
+                               text == F.col("_chosen_text")])
+    once = found.where(~F.col("_chosen_twice")).select(*docs.columns)
+    again = found.where("_chosen_twice").dropDuplicates(["_chosen_id", "_chosen_text"]).select(*docs.columns)
+    return once.union(again)

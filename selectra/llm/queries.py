@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from selectra.llm import (
-    decontamination, line_dedup, lm_scoring, ngram_join, packing, quality_rules, sharding, substring_dedup, toxicity)
+    decontamination, line_dedup, lm_scoring, ngram_join, packing, quality_rules, sharding, substring_dedup, token_counts,
+    toxicity)
 from selectra.llm.queries_sql import QUALITY_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +54,13 @@ def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", "n_shingles", "component_id")
 
 
+@query("op5_token_counts")
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    redacted = token_counts.with_redactions(table(spark, folder, "documents"))
+    counts = token_counts.edited_counts(redacted, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return counts.withColumn("edited_crc32", F.crc32(F.col("edited").cast("binary"))).drop("edited")
+
+
 @query("op6_lm_scoring")
 def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm_scoring.score(table(spark, folder, "documents"))
