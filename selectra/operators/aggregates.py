@@ -34,10 +34,10 @@ def replicate_spread(runs: DataFrame, group: Sequence[str], value: str) -> DataF
 
 
 def describe(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """Mean, sample deviation, exact median and count of big groups."""
+    """Mean, sample deviation, exact median and count of big groups; a group of nulls keeps its row."""
     moments = df.groupBy(*group).agg(
         F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("n"))
-    return moments.join(exact_quantiles(df, group, value, {"median": 0.5}), list(group))
+    return moments.join(exact_quantiles(df, group, value, {"median": 0.5}), list(group), "left")
 
 
 def candidate_coverage(df: DataFrame, entity: str, context: str, candidate: str) -> DataFrame:
@@ -156,7 +156,21 @@ def pivot_matrix(df: DataFrame, row: str, column: str, columns: Sequence, value:
     return wide.na.fill(0.0)
 
 
-def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
-    """Equal-width bins 1..bins; the upper edge belongs to the last bin."""
-    at = F.least(F.lit(bins), F.floor((F.col(value) - low) / ((high - low) / bins)) + 1)
-    return df.groupBy(at.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
+def histogram(df: DataFrame, value: str, bins: int, low: float | None = None, high: float | None = None) -> DataFrame:
+    """Equal-width bins 1..bins over the range of the data, or over a given one.
+
+    The upper edge belongs to the last bin.  Values below a given range are in
+    bin 0, those above it in bin bins + 1; nulls are not counted.  A range of
+    one value is bin 1.
+    """
+    rows = df.where(F.col(value).isNotNull())
+    if low is None or high is None:
+        least, most = rows.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
+        low, high = (least if low is None else low), (most if high is None else high)
+    x = F.col(value).cast("double")
+    if low is None or high <= low:
+        inside = F.lit(1)
+    else:
+        inside = F.least(F.lit(bins), F.floor((x - low) / ((high - low) / bins)) + 1)
+    at = F.when(x < F.lit(low), 0).when(x > F.lit(high), bins + 1).otherwise(inside)
+    return rows.groupBy(at.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("rows"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from selectra.functions.hashing import hash_unit, row_hash
+from selectra.functions.hashing import hash_int, hash_unit, row_hash
 from selectra.operators import small_graphs as small
 from selectra.operators.ranking import hash_rank
 from selectra.session import materialise, spread
@@ -19,7 +19,6 @@ from selectra.session import materialise, spread
 BITS = 60
 MAX_EXACT_NODES = 20
 CHUNK_BITS = 12
-ROW_NODES = 4096
 
 
 def _one() -> Column:
@@ -383,29 +382,41 @@ def _rayleigh(state: DataFrame, arcs: DataFrame) -> DataFrame:
 
 # Cuts -----------------------------------------------------------------------------------
 
-def cut_value(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Crossing edges per (graph, labelling) for explicit labels (graph_id, node, side).
+def cut_value(vertices: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Crossing edges per graph for explicit labels (graph_id, node, side).
 
-    An edge whose end has no label, or a label outside 0/1, is reported.
+    Every graph with a vertex has a row, without edges as well.  Edges and
+    nodes without a label, or with one outside 0/1, are reported.
     """
     u = labels.select("graph_id", F.col("node").alias("u"), F.col("side").alias("_a"))
     v = labels.select("graph_id", F.col("node").alias("v"), F.col("side").alias("_b"))
     joined = edges.join(u, ["graph_id", "u"], "left").join(v, ["graph_id", "v"], "left")
     good = lambda c: F.coalesce(F.col(c).isin(0, 1), F.lit(False))
-    return joined.groupBy("graph_id").agg(
+    crossing = joined.groupBy("graph_id").agg(
         F.count_if(F.col("_a") != F.col("_b")).alias("cut"),
         F.count_if(~(good("_a") & good("_b"))).alias("invalid_edges"))
+    nodes = vertices.join(labels.select("graph_id", "node", "side"), ["graph_id", "node"], "left").groupBy(
+        "graph_id").agg(F.count_if(~good("side")).alias("invalid_nodes"))
+    return nodes.join(crossing, "graph_id", "left").select(
+        "graph_id", F.coalesce("cut", F.lit(0)).alias("cut"),
+        F.coalesce("invalid_edges", F.lit(0)).alias("invalid_edges"), "invalid_nodes")
 
 
 def mask_cut(edges: DataFrame, masks: DataFrame) -> DataFrame:
     """Crossing edges of many labellings given as masks (graph_id, mask, ...).
 
-    The edge end bits are compared inside the scan; the neighbour masks of a
-    small graph ride along as one wide row per graph.
+    The edges of a graph ride along as one array, which is short because a mask
+    labels 63 nodes at most; an edge beyond them is an error.  A graph without
+    edges has cut 0.
     """
-    wide = adjacency_rows(edges)
+    beyond = F.concat(F.lit("a mask labels nodes 0 to 62, found "), F.col("v").cast("string"))
+    checked = F.when((F.col("u") < 0) | (F.col("v") > 62), F.raise_error(beyond).cast("int")).otherwise(F.col("v").cast("int"))
+    lists = edges.groupBy("graph_id").agg(F.collect_list(F.struct(F.col("u").cast("int").alias("u"), checked.alias("v"))).alias("_edges"))
     rest = [c for c in masks.columns if c != "graph_id"]
-    return masks.join(wide, "graph_id").select("graph_id", *rest, _cut_of("mask").alias("cut"))
+    bit = lambda end: F.call_function("shiftright", F.col("mask"), end).bitwiseAND(_one())
+    crossing = F.size(F.filter("_edges", lambda e: bit(e["u"]) != bit(e["v"])))
+    return masks.join(lists, "graph_id", "left").select(
+        "graph_id", *rest, F.when(F.col("_edges").isNull(), F.lit(0)).otherwise(crossing).cast("bigint").alias("cut"))
 
 
 def adjacency_rows(edges: DataFrame, nodes: int = MAX_EXACT_NODES) -> DataFrame:
@@ -454,72 +465,42 @@ def exact_maxcut(vertices: DataFrame, edges: DataFrame, max_nodes: int = MAX_EXA
 def random_edges(specs: DataFrame, probability: str = "probability", seed: str = "seed") -> DataFrame:
     """Independent edges for specs (graph_id, num_nodes, probability, seed).
 
-    Each pair draws its own hash; only accepted partners leave the row.
+    Each pair draws its own hash; only accepted partners leave the row.  A graph
+    of one node has no pairs.
     """
-    rows = specs.withColumn("u", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("num_nodes") - 2)))
+    rows = specs.where(F.col("num_nodes") >= 2).withColumn(
+        "u", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("num_nodes") - 2)))
     later = F.sequence(F.col("u") + 1, F.col("num_nodes") - 1)
     hit = F.filter(later, lambda v: hash_unit(F.md5(F.concat_ws(
         "|", F.col(seed).cast("string"), F.col("u").cast("string"), v.cast("string")).cast("binary"))) < F.col(probability))
     return rows.select("graph_id", "u", F.explode(hit).alias("v"))
 
 
-def regular_edges(specs: DataFrame, degree: int = 4, attempts: int = 24, seed: str = "seed") -> DataFrame:
-    """A simple ``degree``-regular graph per spec (graph_id, num_nodes, seed), even degree.
+def regular_edges(specs: DataFrame, degree: int = 4, seed: str = "seed") -> DataFrame:
+    """A simple ``degree``-regular graph per spec (graph_id, num_nodes, seed).
 
-    Each attempt overlays degree/2 seeded cycles; the first attempt without a
-    repeated edge is kept.  A spec that fails every attempt is absent.  Specs of
-    ordinary size are built inside their row, without any shuffle; very long
-    cycles are ordered by distributed hash ranks.
+    The nodes stand on a circle in seeded order; each meets those at degree/2
+    consecutive distances from a seeded one on, and the opposite one when the
+    degree is odd.  This works for every degree below the node count with an
+    even product of both; other specs are an error.
     """
-    if degree % 2:
-        raise ValueError("the construction needs an even degree")
-    bad = F.concat(F.lit("degree must be below the node count: "), F.col("num_nodes").cast("string"))
-    ok = specs.where(F.when(F.col("num_nodes") <= degree, F.raise_error(bad).cast("boolean")).otherwise(True))
-    row_sized = F.col("num_nodes") <= ROW_NODES
-    done = _regular_in_row(ok.where(row_sized), degree, attempts, seed)
-    long = ok.where(~row_sized)
-    return done if long.isEmpty() else done.unionByName(_regular_by_rank(long, degree, attempts, seed))
-
-
-def _regular_in_row(specs: DataFrame, degree: int, attempts: int, seed: str) -> DataFrame:
     n = F.col("num_nodes")
-
-    def order(attempt, turn):
-        keyed = F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda v: F.struct(F.md5(F.concat_ws(
-            "|", F.col(seed).cast("string"), attempt.cast("string"), F.lit(str(turn)), v.cast("string")).cast("binary")).alias("h"), v.alias("v")))
-        return F.transform(F.array_sort(keyed), lambda s: s["v"])
-
-    def cycle(nodes):
-        after = lambda i: F.get(nodes, ((i + 1) % F.size(nodes)).cast("int"))
-        return F.transform(nodes, lambda v, i: F.struct(F.least(v, after(i)).alias("u"), F.greatest(v, after(i)).alias("v")))
-
-    # the generator keeps each order as a value, so that it is hashed and sorted once
-    tries = specs.select("graph_id", "num_nodes", F.posexplode(F.transform(
-        F.sequence(F.lit(1), F.lit(attempts)),
-        lambda a: F.array(*[order(a, c) for c in range(1, degree // 2 + 1)]))).alias("attempt", "_o"))
-    built = tries.withColumn("_e", F.flatten(F.transform("_o", cycle)))
-    simple = built.where(F.size(F.array_distinct("_e")) == n * (degree // 2))
-    first = simple.groupBy("graph_id").agg(F.min_by("_e", "attempt").alias("_e"))
-    return first.select("graph_id", F.inline("_e"))
-
-
-def _regular_by_rank(specs: DataFrame, degree: int, attempts: int, seed: str) -> DataFrame:
-    nodes = (
-        specs.select("graph_id", "num_nodes", F.col(seed).alias("_seed"))
-        .withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
-        .withColumn("cycle", F.explode(F.sequence(F.lit(1), F.lit(degree // 2))))
-        .withColumn("node", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("num_nodes") - 1))))
-    group = ["graph_id", "attempt", "cycle"]
-    per_cycle = F.concat_ws("|", F.col("_seed").cast("string"), F.col("attempt"), F.col("cycle"))
-    placed = hash_rank(nodes, "node", per_cycle, group, "_pos", "_n")
-    follow = placed.select(*group, F.col("node").alias("_next"), (F.col("_pos") % F.col("_n")).alias("_at"))
-    # position p meets position p+1; the last one meets the first
-    edges = placed.withColumn("_at", (F.col("_pos") + 1) % F.col("_n")).join(follow, [*group, "_at"]).select(
-        "graph_id", "attempt", F.least("node", "_next").alias("u"), F.greatest("node", "_next").alias("v"), "num_nodes").distinct()
-    simple = edges.groupBy("graph_id", "attempt", "num_nodes").agg(F.count(F.lit(1)).alias("_m")).where(
-        F.col("_m") == F.col("num_nodes") * (degree // 2))
-    first = simple.groupBy("graph_id").agg(F.min("attempt").alias("attempt"))
-    return edges.join(first, ["graph_id", "attempt"]).select("graph_id", "u", "v")
+    wrong = F.concat(F.lit(f"no graph of degree {degree} has this many nodes: "), n.cast("string"))
+    fits = (n > degree) & (n * degree % 2 == 0)
+    ok = specs.select("graph_id", "num_nodes", F.col(seed).alias("_seed")).where(
+        F.when(~fits, F.raise_error(wrong).cast("boolean")).otherwise(True))
+    nodes = ok.withColumn("node", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
+    placed = hash_rank(nodes, "node", F.col("_seed"), ["graph_id"], "_pos", "_n")
+    distances = F.floor((n - 1) / 2).cast("bigint")
+    first = hash_int(row_hash(F.col("_seed"), F.lit("distance")))
+    steps = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(max(degree // 2 - 1, 0)).cast("bigint")),
+                        lambda j: 1 + (first + j) % distances) if degree > 1 else F.array().cast("array<bigint>")
+    if degree % 2:  # each pair of opposite nodes once
+        steps = F.when(F.col("_pos") <= n / 2, F.concat(steps, F.array((n / 2).cast("bigint")))).otherwise(steps)
+    arcs = placed.withColumn("_step", F.explode(steps)).withColumn("_at", (F.col("_pos") - 1 + F.col("_step")) % n)
+    ends = placed.select("graph_id", F.col("node").alias("_other"), (F.col("_pos") - 1).alias("_at"))
+    return arcs.join(ends, ["graph_id", "_at"]).select(
+        "graph_id", F.least("node", "_other").alias("u"), F.greatest("node", "_other").alias("v"))
 
 
 def graph_features(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def signed_rank(df: DataFrame, scope: Sequence[str], diff: str) -> DataFrame:
     """Wilcoxon signed ranks: zeros dropped, average ranks, normal approximation.
 
     Works on distinct absolute differences, so heavily tied data shrinks before
-    anything is ordered.  Scopes with zeros only are absent.
+    anything is ordered.  A scope with zeros only has n = 0 and no z.
     """
     by_size = df.where(F.col(diff) != 0).groupBy(*scope, F.abs(F.col(diff)).alias("_size")).agg(
         F.count(F.lit(1)).alias("_t"), F.count_if(F.col(diff) > 0).alias("_pos"))
@@ -57,8 +57,10 @@ def signed_rank(df: DataFrame, scope: Sequence[str], diff: str) -> DataFrame:
         F.sum(t * t * t - t).alias("_ties"))
     n = F.col("n").cast("double")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("_ties") / 48.0)
-    return sums.withColumn("statistic", F.least("w_plus", "w_minus")).withColumn(
-        "z", F.try_divide(F.col("statistic") - n * (n + 1) / 4.0, spread)).drop("_ties")
+    every = df.select(*scope).distinct().join(sums, list(scope), "left").na.fill(0, ["n"]).na.fill(
+        0.0, ["w_plus", "w_minus", "_ties"])
+    return every.withColumn("statistic", F.least("w_plus", "w_minus")).withColumn(
+        "z", F.try_divide(F.col("statistic") - n * (n + 1) / 4.0, F.nullif(spread, F.lit(0.0)))).drop("_ties")
 
 
 def with_pvalue(df: DataFrame, z: str = "z", out: str = "pvalue") -> DataFrame:

@@ -142,11 +142,12 @@ _SIDES = "sides AS (SELECT graph_id, node, CAST((node + graph_id) // 3 % 2 AS IN
 
 
 @query("cut_value", sql("""
-    SELECT e.graph_id, count(*) FILTER (a.side <> b.side) AS cut, CAST(0 AS BIGINT) AS invalid_edges FROM edges e
-    JOIN sides a ON a.graph_id = e.graph_id AND a.node = e.u JOIN sides b ON b.graph_id = e.graph_id AND b.node = e.v GROUP BY ALL""",
+    SELECT g.graph_id, count(*) FILTER (a.side <> b.side) AS cut, CAST(0 AS BIGINT) AS invalid_edges, CAST(0 AS BIGINT) AS invalid_nodes
+    FROM (SELECT DISTINCT graph_id FROM vertices) g LEFT JOIN edges e ON e.graph_id = g.graph_id
+    LEFT JOIN sides a ON a.graph_id = e.graph_id AND a.node = e.u LEFT JOIN sides b ON b.graph_id = e.graph_id AND b.node = e.v GROUP BY ALL""",
     "edges", "vertices", extra=_SIDES))
 def _(t: Tables):
-    return graphs.cut_value(t.edges(), _sides(t))
+    return graphs.cut_value(t.vertices(), t.edges(), _sides(t))
 
 
 @query("join_edge_attrs", sql("""
@@ -162,7 +163,7 @@ def _(t: Tables):
 
 _CUTS = """cuts AS (SELECT c.graph_id, c.mask, c.freq, count(e.u) FILTER (
       ((c.mask >> CAST(e.u AS INTEGER)) & 1) <> ((c.mask >> CAST(e.v AS INTEGER)) & 1)) AS cut
-    FROM counts10 c JOIN edges10 e USING (graph_id) GROUP BY ALL)"""
+    FROM counts10 c LEFT JOIN edges10 e USING (graph_id) GROUP BY ALL)"""
 
 
 @query("agg_weighted_counts", rounded_sql(sql("""
@@ -196,23 +197,35 @@ def _(t: Tables):
     return graphs.random_edges(t.customer_specs)
 
 
-_CYCLES = _PAIRS + """,
-    turns AS (SELECT n.*, attempt, cycle, row_number() OVER w AS pos FROM nodes n, (SELECT unnest(range(1, 25)) AS attempt),
-        (SELECT unnest(range(1, 3)) AS cycle) WINDOW w AS (PARTITION BY graph_id, attempt, cycle ORDER BY
-        md5(CAST(seed AS VARCHAR) || '|' || CAST(attempt AS VARCHAR) || '|' || CAST(cycle AS VARCHAR) || '|' || CAST(node AS VARCHAR)), node)),
-    steps AS (SELECT DISTINCT a.graph_id, a.attempt, a.num_nodes, least(a.node, b.node) AS u, greatest(a.node, b.node) AS v
-      FROM turns a JOIN turns b ON a.graph_id = b.graph_id AND a.attempt = b.attempt AND a.cycle = b.cycle
-       AND b.pos % b.num_nodes = (a.pos + 1) % a.num_nodes),
-    firsts AS (SELECT graph_id, min(attempt) AS attempt FROM (SELECT graph_id, attempt FROM steps
-      GROUP BY graph_id, attempt, num_nodes HAVING count(*) = 2 * num_nodes) GROUP BY ALL)"""
+_CIRCLES = _PAIRS + """,
+    placed AS (SELECT n.*, row_number() OVER (PARTITION BY graph_id
+        ORDER BY md5(CAST(seed AS VARCHAR) || '|' || CAST(node AS VARCHAR)), node) - 1 AS pos FROM nodes n),
+    steps AS (SELECT graph_id, 1 + (CAST('0x' || substr(md5(CAST(seed AS VARCHAR) || '|distance'), 1, 8) AS BIGINT) + j)
+        % ((num_nodes - 1) // 2) AS step FROM customer_specs, (SELECT unnest(range(2)) AS j))"""
 
 
 @query("random_regular_edges", sql("""
-    SELECT graph_id, u, v FROM steps JOIN firsts USING (graph_id, attempt)""", "customer_specs", extra=_CYCLES))
+    SELECT a.graph_id, least(a.node, b.node) AS u, greatest(a.node, b.node) AS v FROM placed a JOIN steps s ON s.graph_id = a.graph_id
+    JOIN placed b ON b.graph_id = a.graph_id AND b.pos = (a.pos + s.step) % a.num_nodes""", "customer_specs", extra=_CIRCLES))
 def _(t: Tables):
     return graphs.regular_edges(t.customer_specs)
 
 
+@query("random_regular_degrees", sql("""
+    SELECT graph_id, num_nodes * degree // 2 AS edges, degree AS least, degree AS most
+    FROM customer_specs, (SELECT unnest([CAST(3 AS BIGINT), 4, 5]) AS degree) WHERE num_nodes * degree % 2 = 0""", "customer_specs"))
+def _(t: Tables):
+    """Every spec has its graph: as many edges as its size and degree ask for, and that degree at every node."""
+    parts = []
+    for degree in (3, 4, 5):
+        specs = t.customer_specs.where(F.col("num_nodes") * degree % 2 == 0)
+        nodes = specs.select("graph_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("num_nodes") - 1)).alias("node"))
+        stats = graphs.degree_stats(nodes, graphs.regular_edges(specs, degree))
+        parts.append(stats.select("graph_id", F.col("num_edges").alias("edges"), F.col("min_degree").alias("least"),
+                                  F.col("max_degree").alias("most")))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @query("agg_entity_overview", sql("""
     SELECT r.n_regionkey AS region, count(DISTINCT s_nationkey) AS families, min(g.num_nodes) AS fewest, max(g.num_nodes) AS most,
            CAST(sum(g.cases) AS BIGINT) AS cases FROM supplier
@@ -228,11 +241,12 @@ def _(t: Tables):
 
 
 @query("agg_histogram", sql("""
-    SELECT CAST(least(8, floor((m - 0) / 8.0) + 1) AS BIGINT) AS bin, count(*) AS rows
-    FROM (SELECT graph_id, count(*) AS m FROM edges GROUP BY ALL) GROUP BY ALL""", "edges"))
+    SELECT CAST(least(8, floor((m - low) / ((high - low) / 8.0::DOUBLE)) + 1) AS BIGINT) AS bin, count(*) AS rows FROM (
+      SELECT m, min(m) OVER () AS low, max(m) OVER () AS high
+      FROM (SELECT v.graph_id, count(e.u) AS m FROM (SELECT DISTINCT graph_id FROM vertices) v LEFT JOIN edges e USING (graph_id) GROUP BY ALL))
+    GROUP BY ALL""", "edges", "vertices"))
 def _(t: Tables):
-    sizes = t.edges().groupBy("graph_id").agg(n_rows().alias("m"))
-    return aggregates.histogram(sizes, "m", 0.0, 64.0, 8)
+    return aggregates.histogram(graphs.degree_stats(t.vertices(), t.edges()), "num_edges", 8)
 
 
 @query("graph_features")

@@ -141,9 +141,10 @@ def _(t: Tables):
     return registries.entity_manifest(placed, "c_mktsegment", (10, 12, 15, 18, 20), "position", random_family="BUILDING")
 
 
-@query("sink_csv")
+@query("sink_csv", sql("""
+    SELECT 'csv' AS kind, count(*) AS n FROM perf UNION ALL SELECT 'parquet', count(*) FROM perf""", "perf"))
 def _(t: Tables):
-    """Write a bundle and read it back; rows-only, because the sink has no SQL form."""
+    """Write a bundle and read it back: no row is lost."""
     folder = shared_dir(t.spark, "bundle")
     sinks.write_tables({"candidates": t.perf, "splits": t.splits}, folder, "csv")
     sinks.write_tables({"candidates_by_context": t.perf}, folder, "parquet", {"candidates_by_context": ["context"]})
@@ -160,21 +161,28 @@ def _(t: Tables):
                           {"test_data_used": False})
 
 
-@query("sink_manifest_json")
+@query("sink_manifest_json", sql("""
+    SELECT '{"rows":' || CAST(count(*) AS VARCHAR) || ',"entities":' || CAST(count(DISTINCT entity) AS VARCHAR) || ',"contexts":"'
+           || string_agg(DISTINCT context, ',' ORDER BY context) || '"}' AS manifest FROM perf""", "perf"))
 def _(t: Tables):
     return sinks.as_json(sinks.manifest(t.perf, {"entities": "entity"}, {"contexts": "context"}))
 
 
-_CELLS = "l_orderkey l_partkey l_suppkey l_linenumber l_returnflag l_linestatus".split()
-_HASHED = "sha256(concat_ws(chr(31), {}))".format(", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in _CELLS))
+_TEXTS = "l_orderkey l_partkey l_suppkey l_linenumber l_returnflag l_linestatus".split()
+_NUMBERS = "l_quantity l_extendedprice l_discount l_tax".split()  # as hundredths, which both engines spell alike
+_CELLS = [f"CAST({c} AS VARCHAR)" for c in _TEXTS] + [f"CAST(CAST(round({c} * 100) AS BIGINT) AS VARCHAR)" for c in _NUMBERS] + [
+    "CAST(epoch_us(l_shipdate) AS VARCHAR)"]
+_HASHED = "sha256(concat_ws(chr(31), {}))".format(", ".join(f"coalesce({c}, chr(0))" for c in _CELLS))
 
 
 @query("content_fingerprint", sql(f"""
     SELECT count(*) AS rows, sha256(CAST(count(*) AS VARCHAR) || {" || ".join(
-        f"'|' || CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS VARCHAR)" for i in range(4))}) AS content_sha256
+        f"'|' || CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8))}) AS content_sha256
     FROM (SELECT {_HASHED} AS h FROM lineitem)"""))
 def _(t: Tables):
-    return sinks.fingerprint(t.read("lineitem"), _CELLS)
+    """All columns: a change of any cell is seen."""
+    hundredths = [F.round(F.col(c) * 100).cast("bigint").alias(c) for c in _NUMBERS]
+    return sinks.fingerprint(t.read("lineitem").select(*_TEXTS, *hundredths, F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("at")))
 
 
 # B. Predicates and rules ------------------------------------------------------------------
@@ -568,10 +576,14 @@ def _(t: Tables):
 
 
 @query("graph_density", rounded_sql(sql("""
-    SELECT graph_id, 2.0::DOUBLE * count(*) / (12 * 11) AS density FROM edges GROUP BY ALL""", "edges"), "density"))
+    SELECT graph_id, 2.0::DOUBLE * m / (n * (n - 1)) AS density FROM (SELECT graph_id, count(*) AS n FROM vertices GROUP BY ALL)
+    JOIN (SELECT v.graph_id, count(e.u) AS m FROM (SELECT DISTINCT graph_id FROM vertices) v LEFT JOIN edges e USING (graph_id) GROUP BY ALL)
+    USING (graph_id)""", "edges", "vertices"), "density"))
 def _(t: Tables):
+    """Of every graph, without edges as well."""
     counted = t.edges().groupBy("graph_id").agg(n_rows().alias("m"))
-    return rounded(counted.select("graph_id", scalar.density(F.lit(12), "m").alias("density")))
+    sizes = t.vertices().groupBy("graph_id").agg(n_rows().alias("n")).join(counted, "graph_id", "left").na.fill(0, ["m"])
+    return rounded(sizes.select("graph_id", scalar.density("n", "m").alias("density")))
 
 
 @query("clip_bounds", rounded_sql(sql("""

@@ -74,10 +74,11 @@ def _(t: Tables):
 
 
 @query("wilcoxon_signed_rank", rounded_sql(sql("""
-    SELECT context, n, w_plus, w_minus, least(w_plus, w_minus) AS statistic,
+    SELECT context, coalesce(n, 0) AS n, coalesce(w_plus, 0) AS w_plus, coalesce(w_minus, 0) AS w_minus, coalesce(least(w_plus, w_minus), 0) AS statistic,
            (least(w_plus, w_minus) - n * (n + 1) / 4.0::DOUBLE) / sqrt(n * (n + 1.0::DOUBLE) * (2 * n + 1) / 24 - tie / 48.0::DOUBLE) AS z
     FROM (SELECT context, count(*) AS n, coalesce(sum(r) FILTER (up), 0) AS w_plus, coalesce(sum(r) FILTER (NOT up), 0) AS w_minus,
-                 sum(CAST(t AS DOUBLE) * t - 1) AS tie FROM ranks GROUP BY context)""", "scored", extra=_RANKED),
+                 sum(CAST(t AS DOUBLE) * t - 1) AS tie FROM ranks GROUP BY context)
+    RIGHT JOIN (SELECT DISTINCT context FROM pairs) USING (context)""", "scored", extra=_RANKED),
     "w_plus w_minus statistic z"))
 def _(t: Tables):
     return rounded(statistics.signed_rank(pairs(t), ["context"], "difference"))

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 # The raw run contract (name, type), 26 columns.
@@ -65,24 +65,17 @@ def union_tagged(frames: Mapping[str, DataFrame], tag: str = "source_file") -> D
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
-def first_existing(columns: Sequence[str], candidates: Sequence[str], required: bool = True) -> str | None:
-    for name in candidates:
-        if name in columns:
-            return name
-    if required:
-        raise ValueError(f"none of {list(candidates)} is present; available: {list(columns)}")
-    return None
-
-
 def resolve_aliases(df: DataFrame, wanted: Mapping[str, Sequence[str]],
                     optional: Sequence[str] = ()) -> DataFrame:
-    """Rename the first alias that exists of every wanted column; drop the rest."""
-    picks: list[Column] = []
-    for target, candidates in wanted.items():
-        found = first_existing(df.columns, candidates, required=target not in optional)
-        if found is not None:
-            picks.append(F.col(found).alias(target))
-    return df.select(*picks)
+    """Rename the first alias that exists of every wanted column; drop the rest.
+
+    Required columns without an alias are reported together.
+    """
+    present = {target: [a for a in aliases if a in df.columns] for target, aliases in wanted.items()}
+    absent = {t: list(wanted[t]) for t, found in present.items() if not found and t not in optional}
+    if absent:
+        raise ValueError(f"no alias is present for {absent}; available: {df.columns}")
+    return df.select(*[F.col(found[0]).alias(target) for target, found in present.items() if found])
 
 
 def scan_manifest(df: DataFrame, required: Sequence[str]) -> DataFrame:

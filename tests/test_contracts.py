@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from selectra.operators import incremental, joins, rules
+from selectra.operators import aggregates, incremental, joins, rules, statistics
 from selectra.operators.rules import ContractViolation
 from selectra.session import shared_dir
 from selectra.sources import readers, sinks
@@ -96,3 +96,38 @@ def test_missing_work_and_reuse(spark):
     todo = incremental.missing_work(runs, runs.select("entity"), {"context": ["N0", "N1"], "candidate": ["C1"]}, "entity",
                                     F.col("status") == "success")
     assert sorted((r["entity"], r["context"]) for r in todo.collect()) == [(2, "N0"), (2, "N1")]
+
+
+def test_histogram_takes_the_range_of_the_data_and_keeps_outer_values_apart(spark):
+    df = spark.createDataFrame([(-9.0,), (0.0,), (10.0,), (500.0,), (None,)], "x double")
+    rows = lambda **k: {r["bin"]: r["rows"] for r in aggregates.histogram(df, "x", 8, **k).collect()}
+    assert rows() == {1: 3, 8: 1}
+    assert rows(low=0.0, high=64.0) == {0: 1, 1: 1, 2: 1, 9: 1}
+    one = spark.createDataFrame([(3.0,), (3.0,)], "x double")
+    assert {r["bin"]: r["rows"] for r in aggregates.histogram(one, "x", 8).collect()} == {1: 2}
+
+
+def test_groups_of_nulls_and_scopes_of_zeros_keep_their_row(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", None)], "g string, x double")
+    rows = {r["g"]: r for r in aggregates.describe(df, ["g"], "x").collect()}
+    assert rows["a"]["median"] == 2.0 and rows["b"]["n"] == 0 and rows["b"]["median"] is None
+    zeros = spark.createDataFrame([("z", 0.0), ("z", 0.0), ("y", 1.0)], "g string, d double")
+    ranks = {r["g"]: r for r in statistics.signed_rank(zeros, ["g"], "d").collect()}
+    assert ranks["z"]["n"] == 0 and ranks["z"]["z"] is None and ranks["y"]["n"] == 1
+
+
+def test_aliases_that_are_missing_are_reported_together(spark):
+    df = spark.createDataFrame([(1, 2)], "a bigint, b bigint")
+    assert readers.resolve_aliases(df, {"x": ["q", "b"], "y": ["r"]}, optional=["y"]).columns == ["x"]
+    with pytest.raises(ValueError, match="x.*y"):
+        readers.resolve_aliases(df, {"x": ["q"], "y": ["r"]})
+
+
+def test_a_cluster_must_name_its_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from selectra.session import shared_root
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="yarn", applicationId="a"))
+    with pytest.raises(ValueError, match="share"):
+        shared_root(far)

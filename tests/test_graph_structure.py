@@ -125,23 +125,37 @@ def test_component_labels(spark):
 
 
 def test_cut_value_reports_bad_labels(spark):
-    _, e = frames(spark, {1: (3, [(0, 1), (1, 2)])})
-    labels = spark.createDataFrame([(1, 0, 0), (1, 1, 1), (1, 2, 7)], "graph_id bigint, node bigint, side int")
-    row = graphs.cut_value(e, labels).first()
-    assert row["invalid_edges"] == 1
+    v, e = frames(spark, {1: (4, [(0, 1), (1, 2)]), 2: (2, [])})
+    labels = spark.createDataFrame([(1, 0, 0), (1, 1, 1), (1, 2, 7), (2, 0, 1), (2, 1, 0)],
+                                   "graph_id bigint, node bigint, side int")
+    rows = {r["graph_id"]: r for r in graphs.cut_value(v, e, labels).collect()}
+    # node 2 has a label outside 0/1, the isolated node 3 has none; graph 2 has no edges
+    assert (rows[1]["cut"], rows[1]["invalid_edges"], rows[1]["invalid_nodes"]) == (2, 1, 2)
+    assert (rows[2]["cut"], rows[2]["invalid_edges"], rows[2]["invalid_nodes"]) == (0, 0, 0)
+
+
+def test_mask_cut_of_high_nodes_and_edgeless_graphs(spark):
+    edges = spark.createDataFrame([(1, 0, 25), (1, 25, 62), (1, 3, 4)], "graph_id bigint, u bigint, v bigint")
+    masks = spark.createDataFrame([(1, 1 << 25 | 1 << 3, 5), (1, 0, 2), (2, 7, 1)], "graph_id bigint, mask bigint, freq bigint")
+    got = {(r["graph_id"], r["mask"]): r["cut"] for r in graphs.mask_cut(edges, masks).collect()}
+    assert got == {(1, 1 << 25 | 1 << 3): 3, (1, 0): 0, (2, 7): 0}
+    with pytest.raises(Exception, match="0 to 62"):
+        graphs.mask_cut(edges.selectExpr("graph_id", "u", "v + 1 AS v"), masks).collect()
 
 
 def test_random_regular(spark):
-    specs = spark.createDataFrame([(1, 15, 7), (2, 20, 8), (3, 5, 9)], "graph_id bigint, num_nodes bigint, seed bigint")
-    plain = sorted(map(tuple, graphs.regular_edges(specs).collect()))
-    ranked = sorted(map(tuple, graphs._regular_by_rank(specs, 4, 24, "seed").select("graph_id", "u", "v").collect()))
-    assert plain == ranked
-    for g, n in ((1, 15), (2, 20), (3, 5)):
-        ends = [x for h, u, v in plain if h == g for x in (u, v)]
-        if ends:  # K5 may have no edge-disjoint attempt
-            assert all(ends.count(i) == 4 for i in range(n))
-    with pytest.raises(Exception, match="below the node count"):
-        graphs.regular_edges(spark.createDataFrame([(1, 4, 7)], "graph_id bigint, num_nodes bigint, seed bigint")).collect()
+    schema = "graph_id bigint, num_nodes bigint, seed bigint"
+    for degree in (1, 2, 3, 4, 5):
+        sizes = [n for n in range(degree + 1, 24) if n * degree % 2 == 0]
+        specs = spark.createDataFrame([(n, n, 7 + n) for n in sizes], schema)
+        rows = graphs.regular_edges(specs, degree).collect()
+        assert len({tuple(r) for r in rows}) == len(rows) and all(r["u"] < r["v"] for r in rows)
+        for n in sizes:
+            ends = [x for r in rows if r["graph_id"] == n for x in (r["u"], r["v"])]
+            assert all(ends.count(i) == degree for i in range(n)) and len(ends) == n * degree
+    for nodes, degree in ((4, 4), (5, 3)):
+        with pytest.raises(Exception, match="no graph of degree"):
+            graphs.regular_edges(spark.createDataFrame([(1, nodes, 7)], schema), degree).collect()
 
 
 def test_random_edges_density(spark):
@@ -150,3 +164,9 @@ def test_random_edges_density(spark):
     edges = graphs.random_edges(specs).collect()
     assert all(r["u"] < r["v"] < 20 for r in edges)
     assert abs(len(edges) / (50 * 190) - 0.35) < 0.02
+
+
+def test_random_edges_of_tiny_graphs(spark):
+    specs = spark.createDataFrame([(1, 1, 1.0, 3), (2, 2, 1.0, 3), (3, 0, 1.0, 3)],
+                                  "graph_id bigint, num_nodes bigint, probability double, seed bigint")
+    assert [tuple(r) for r in graphs.random_edges(specs).collect()] == [(2, 0, 1)]
