@@ -7,8 +7,9 @@ fragment is counted separately and summed per pair, which decides the link exact
 
 Sizes fall into classes of a constant ratio that fix the number of fragments; a set signs for its own class and, if a
 smaller partner may lie there, for the class below. A set with so many empty fragments that only those might agree
-signs under further orders too. Equal sets are one node. In a group of sets that share a fragment, all are compared
-with one of them; once components are known, only pairs between different components are compared further.
+signs under further orders too. Equal sets are one node. An n-gram that no other set found has adds to no overlap, so
+sets with too many of those are sifted out. In a group of sets that share a fragment, all are compared with one of them;
+once components are known, only pairs between different components are compared further.
 
 Cases: texts without words (null, empty, blank) have the empty set and link with nothing: they are their own component;
 fewer than n words are one n-gram; repeated rows and equal texts are one node with all their ids; a null id is never
@@ -32,6 +33,8 @@ from selectra.session import materialise
 RATIO, ORDERS, FRAGMENTS = 1.5, 8, 8
 #: rounds in which a group is compared with a single member, before all that is left is compared
 STAR_ROUNDS = 4
+#: times that sets with too many n-grams of their own are taken out
+SIFTINGS = 2
 
 
 @dataclass(frozen=True)
@@ -161,15 +164,15 @@ def _cut(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
             seen.add(key)
             part = (grams >> np.uint64(61)).astype(np.int64)
             cuts = np.searchsorted(part, np.arange(FRAGMENTS + 1))
-            rows += [(_number(key), key, len(grams), f, grams[cuts[f]:cuts[f + 1]].tobytes()) for f in range(FRAGMENTS)]
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
+            rows += [(_number(key), key, len(grams), f, grams[cuts[f]:cuts[f + 1]].view(np.int64)) for f in range(FRAGMENTS)]
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 5, kinds)],
                                          ["node", "key", "size", "fragment", "grams"])
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        shared = [len(np.intersect1d(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), True))
+        shared = [len(np.intersect1d(a.values.to_numpy(), b.values.to_numpy(), True))
                   for a, b in zip(batch.column(4), batch.column(5))]
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(shared, pa.int64())],
                                          ["a", "b", "a_size", "b_size", "shared"])
@@ -188,6 +191,20 @@ def verified(pairs: DataFrame, parts: DataFrame, like: Likeness) -> DataFrame:
     return summed.where(like.den * F.col("shared") >= like.num * union).select("a", "b")
 
 
+def sifted(parts: DataFrame, like: Likeness) -> DataFrame:
+    """The parts without the sets that can link with none of the others: an overlap holds only n-grams that occur in
+    two sets at least, and a link needs num / den of the larger union, so of the set itself."""
+    for _ in range(SIFTINGS):
+        single = (parts.select("key", F.explode("grams").alias("gram")).groupBy("gram")
+                  .agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1")
+                  .groupBy("key").agg(F.count("*").alias("single")))
+        sizes = parts.select("key", "size").distinct()
+        hopeless = sizes.join(single, "key").where(
+            like.den * (F.col("size") - F.col("single")) < like.num * F.col("size")).select("key")
+        parts = materialise(parts.join(hopeless, "key", "left_anti"))
+    return parts
+
+
 def node_components(texts: DataFrame, nodes: DataFrame, like: Likeness) -> DataFrame:
     """(node, component) of the nodes that link with another one. ``texts`` has doc_id and text, ``nodes`` has
     doc_id, _text (a hash of the text), _key and _node of the same rows."""
@@ -205,9 +222,11 @@ def node_components(texts: DataFrame, nodes: DataFrame, like: Likeness) -> DataF
                       "left_semi")
     parts = materialise(
         sets.select("text").mapInArrow(lambda b: _cut(b, like.n),
-                                       "node bigint, key binary, size bigint, fragment int, grams binary")
+                                       "node bigint, key binary, size bigint, fragment int, grams array<bigint>")
         .groupBy("key", "fragment").agg(F.first("node").alias("node"), F.first("size").alias("size"),
                                         F.first("grams").alias("grams")))
+    parts = sifted(parts, like)
+    members = materialise(members.join(parts.select("node").distinct(), "node", "left_semi").select("sign", "node"))
     links = parts.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     found, done = links, None
     for turn in range(STAR_ROUNDS + 1):
