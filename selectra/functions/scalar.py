@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
@@ -95,10 +93,16 @@ def category_code(column, ordered_values) -> Column:
     return code
 
 
-def two_sided_normal_p(z) -> Column:
-    """erfc(|z| / sqrt 2) through vectorised Python; meant for one row per scope."""
-    @F.pandas_udf("double")
-    def erfc_of(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None or v != v else math.erfc(abs(v) / math.sqrt(2.0)))
+#: fixed values: a published Chebyshev fit of the complementary error function, relative error below 1.2e-7
+ERFC_FIT = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587,
+            -0.82215223, 0.17087277)
+
 
-    return erfc_of(_c(z))
+def two_sided_normal_p(z) -> Column:
+    """erfc(|z| / sqrt 2), the p-value of a normal score on both sides, as a column expression."""
+    x = F.abs(_c(z)) / F.sqrt(F.lit(2.0))
+    t = 1 / (1 + x / 2)
+    fit = F.lit(0.0)
+    for c in reversed(ERFC_FIT):
+        fit = fit * t + c
+    return F.least(F.lit(1.0), t * F.exp(fit - x * x))

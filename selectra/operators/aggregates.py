@@ -89,9 +89,12 @@ def rollup_summary(df: DataFrame, dim: str, aggs: Mapping[str, Column]) -> DataF
 
 
 def explode_scopes(df: DataFrame, budget: str = "budget", context: str = "context") -> DataFrame:
-    """One copy per scope; for summaries that first reduce within (scope, entity)."""
-    labels = F.array(F.lit("ALL"), F.col(budget), F.col(context), F.concat_ws("_", budget, context))
-    return df.withColumn("scope", F.explode(labels))
+    """One copy per scope, and whether it is a cell (not a margin); for summaries
+    that first reduce within (scope, entity)."""
+    named = lambda label, cell: F.struct(label.alias("scope"), F.lit(cell).alias("is_cell"))
+    scopes = F.array(named(F.lit("ALL"), False), named(F.col(budget), False), named(F.col(context), False),
+                     named(F.concat_ws("_", budget, context), True))
+    return df.select("*", F.inline(scopes))
 
 
 def share(predicate: Column) -> Column:

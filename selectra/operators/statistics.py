@@ -71,18 +71,31 @@ def sign_flip(units: DataFrame, scope: Sequence[str], unit: str, value: str, sam
               seed=2027, tolerance: float = 1e-15) -> DataFrame:
     """Two-sided randomisation p-value of the mean over sign flips of the units.
 
-    Up to 20 units every sign vector is enumerated.  Larger scopes are an error,
-    or use ``sampled`` seeded sign vectors when that is given.
+    Without ``sampled`` every sign vector is enumerated, and a scope of more than
+    20 units is an error.  With it, every scope is tested with so many seeded
+    sign vectors, whatever its size.
     """
     rows = units.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*scope, unit, value)
     sizes = rows.groupBy(*scope).agg(F.count(F.lit(1)).alias("units"), F.abs(F.avg(value)).alias("observed"))
-    if sampled is None:
-        too_big = F.concat(F.lit("exact enumeration is limited to 20 units, found "), F.col("units").cast("string"))
-        sizes = sizes.where(F.when(F.col("units") > EXACT_UNITS, F.raise_error(too_big).cast("boolean")).otherwise(True))
-        return _exact(rows, sizes, scope, unit, value, tolerance)
-    small = _exact(rows, sizes.where(F.col("units") <= EXACT_UNITS), scope, unit, value, tolerance)
-    large = _sampled(rows, sizes.where(F.col("units") > EXACT_UNITS), scope, unit, value, sampled, seed, tolerance)
-    return small.unionByName(large)
+    if sampled is not None:
+        return _sampled(rows, sizes, scope, unit, value, sampled, seed, tolerance)
+    too_big = F.concat(F.lit("exact enumeration is limited to 20 units, found "), F.col("units").cast("string"))
+    sizes = sizes.where(F.when(F.col("units") > EXACT_UNITS, F.raise_error(too_big).cast("boolean")).otherwise(True))
+    return _exact(rows, sizes, scope, unit, value, tolerance)
+
+
+def sign_vectors(units: DataFrame, scope: Sequence[str], unit: str, value: str) -> DataFrame:
+    """The sum of every scope under each of its 2^n sign vectors v: bit i is the sign
+    of its i-th unit, 1 for a plus.  More than 20 units are an error."""
+    numbered = units.withColumn("_i", F.row_number().over(Window.partitionBy(*scope).orderBy(unit)) - 1)
+    sized = numbered.join(units.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n")), list(scope))
+    too_big = F.concat(F.lit("exact enumeration is limited to 20 units, found "), F.col("_n").cast("string"))
+    guarded = sized.where(F.when(F.col("_n") > EXACT_UNITS, F.raise_error(too_big).cast("boolean")).otherwise(True))
+    one = F.lit(1).cast("bigint")
+    last = F.call_function("shiftleft", one, F.col("_n").cast("int")) - 1
+    vectors = guarded.withColumn("v", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    plus = F.call_function("shiftright", F.col("v"), F.col("_i")).bitwiseAND(one) == 1
+    return vectors.groupBy(*scope, "v").agg(F.sum(F.when(plus, F.col(value)).otherwise(-F.col(value))).alias("total"))
 
 
 def _exact(rows, sizes, scope, unit, value, tolerance):
@@ -122,21 +135,24 @@ def holm(tests: DataFrame, p: str, family: Sequence[str] = (), order: Sequence[s
 
 
 def clustered_stats(scored: DataFrame, diff: str = "selected_minus_fixed", entity: str = "entity",
-                    repetitions: int = 10000, sampled: int = 10000, seed=2027, digits: int = 9) -> DataFrame:
+                    repetitions: int = 10000, sampled: int | None = 10000, seed=2027, digits: int = 9) -> DataFrame:
     """Per scope, with the entity as the unit: mean, median, bootstrap interval,
-    sign-flip p-value, share of better entities, and Holm over the cells."""
+    sign-flip p-value, share of better entities, and Holm over the cells.
+
+    The sign flips are sampled in every scope; ``sampled=None`` enumerates them
+    in every scope and is an error above 20 entities.
+    """
     units = materialise(
-        explode_scopes(scored).groupBy("scope", entity).agg(F.round(F.avg(diff), digits).alias("_d")))
-    basic = units.groupBy("scope").agg(
+        explode_scopes(scored).groupBy("scope", "is_cell", entity).agg(F.round(F.avg(diff), digits).alias("_d")))
+    basic = units.groupBy("scope", "is_cell").agg(
         F.count(F.lit(1)).alias("entities"), F.avg("_d").alias("mean_difference"),
         share(F.col("_d") > 0).alias("better_fraction"))
     median = exact_quantiles(units, ["scope"], "_d", {"median_difference": 0.5})
     interval = percentile_interval(bootstrap_means(units, ["scope"], entity, "_d", repetitions, seed), ["scope"])
     flips = sign_flip(units, ["scope"], entity, "_d", sampled, seed).select("scope", "pvalue")
     joined = basic.join(median, "scope").join(interval, "scope").join(flips, "scope")
-    cell = F.col("scope").contains("_")
-    tests = holm(joined.withColumn("_cell", cell), "pvalue", ["_cell"])
-    return tests.withColumn("holm_pvalue", F.when(F.col("_cell"), F.col("holm_pvalue"))).drop("_cell")
+    tests = holm(joined, "pvalue", ["is_cell"])
+    return tests.withColumn("holm_pvalue", F.when(F.col("is_cell"), F.col("holm_pvalue"))).drop("is_cell")
 
 
 def paired_report(pairs: DataFrame, scope: str, left: str, right: str, diff: str = "difference") -> DataFrame:
@@ -148,7 +164,7 @@ def paired_report(pairs: DataFrame, scope: str, left: str, right: str, diff: str
         cohens_d(diff).alias("cohens_d"), share(F.col(diff) > 0).alias("better_fraction"))
     median = exact_quantiles(pairs, [scope], diff, {"median_difference": 0.5})
     ranks = signed_rank(pairs, [scope], diff).select(scope, "statistic", "z")
-    return with_pvalue(basic.join(median, scope).join(ranks, scope, "left"))
+    return with_pvalue(basic.join(median, scope, "left").join(ranks, scope, "left"))
 
 
 def method_comparison(selected: DataFrame, baseline: DataFrame, key: str, value: str,

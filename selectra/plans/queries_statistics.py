@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from selectra.functions.scalar import ERFC_FIT
 from selectra.operators import aggregates, splits, statistics
 from selectra.operators.ranking import average_ranks
 from selectra.operators.selection import fixed_global
@@ -11,8 +12,9 @@ from selectra.plans.bindings import SEED, Tables, sql
 from selectra.plans.catalog import query
 from selectra.plans.shaping import rounded, rounded_sql
 
-REPETITIONS = 200
-DRAWS = 500
+# the published numbers of resamples and of sign vectors
+REPETITIONS = 10_000
+DRAWS = 10_000
 
 
 def n_rows():
@@ -84,12 +86,46 @@ def _(t: Tables):
     return rounded(statistics.signed_rank(pairs(t), ["context"], "difference"))
 
 
-@query("wilcoxon_pvalue")
+def _p_sql(z: str) -> str:
+    """The p-value of a normal score, by the fit that the column expression uses."""
+    x = f"(abs({z}) / sqrt(2.0::DOUBLE))"
+    t = f"(1 / (1 + {x} / 2))"
+    fit = "0.0::DOUBLE"
+    for c in reversed(ERFC_FIT):
+        fit = f"({fit} * {t} + {c!r}::DOUBLE)"
+    return f"least(1.0::DOUBLE, {t} * exp({fit} - {x} * {x}))"
+
+
+def _rank_sql(scopes: str) -> str:
+    return f"""scoped AS (SELECT unnest({scopes}) AS scope, selected, fixed, difference FROM pairs),
+    sizes AS (SELECT scope, abs(difference) AS size, difference > 0 AS up FROM scoped WHERE difference <> 0),
+    placed AS (SELECT *, rank() OVER (PARTITION BY scope ORDER BY size) + (count(*) OVER (PARTITION BY scope, size) - 1) / 2.0::DOUBLE AS r,
+      count(*) OVER (PARTITION BY scope, size) AS t FROM sizes),
+    ranked AS (SELECT scope, coalesce(n, 0) AS n, coalesce(w_plus, 0) AS w_plus, coalesce(w_minus, 0) AS w_minus,
+        coalesce(least(w_plus, w_minus), 0) AS statistic,
+        (least(w_plus, w_minus) - n * (n + 1) / 4.0::DOUBLE) / sqrt(n * (n + 1.0::DOUBLE) * (2 * n + 1) / 24 - tie / 48.0::DOUBLE) AS z
+      FROM (SELECT scope, count(*) AS n, coalesce(sum(r) FILTER (up), 0) AS w_plus, coalesce(sum(r) FILTER (NOT up), 0) AS w_minus,
+            sum(CAST(t AS DOUBLE) * t - 1) AS tie FROM placed GROUP BY scope)
+      RIGHT JOIN (SELECT DISTINCT scope FROM scoped) USING (scope))"""
+
+
+@query("wilcoxon_pvalue", rounded_sql(sql(f"""
+    SELECT scope AS context, n, w_plus, w_minus, statistic, z, {_p_sql("z")} AS pvalue FROM ranked""",
+    "scored", extra=_PAIRS + ",\n    " + _rank_sql("[context]")), "w_plus w_minus statistic z pvalue"))
 def _(t: Tables):
     return rounded(statistics.with_pvalue(statistics.signed_rank(pairs(t), ["context"], "difference")))
 
 
-@query("paired_report")
+@query("paired_report", rounded_sql(sql(f"""
+    SELECT scope, pairs, left_mean, right_mean, mean_difference, std_difference,
+           CASE WHEN pairs > 1 THEN mean_difference - 1.96 * std_difference / sqrt(pairs) END AS ci95_low,
+           CASE WHEN pairs > 1 THEN mean_difference + 1.96 * std_difference / sqrt(pairs) END AS ci95_high,
+           mean_difference / nullif(std_difference, 0) AS cohens_d, better_fraction, median_difference, statistic, z, {_p_sql("z")} AS pvalue
+    FROM (SELECT scope, count(*) AS pairs, avg(selected) AS left_mean, avg(fixed) AS right_mean, avg(difference) AS mean_difference,
+                 stddev_samp(difference) AS std_difference, avg(CAST(difference > 0 AS INTEGER)) AS better_fraction,
+                 median(difference) AS median_difference FROM scoped GROUP BY scope) JOIN ranked USING (scope)""",
+    "scored", extra=_PAIRS + ",\n    " + _rank_sql("['ALL', context]")),
+    "left_mean right_mean mean_difference std_difference ci95_low ci95_high cohens_d better_fraction median_difference statistic z pvalue"))
 def _(t: Tables):
     scoped = pairs(t).withColumn("scope", F.explode(F.array(F.lit("ALL"), F.col("context"))))
     return rounded(statistics.paired_report(scoped, "scope", "selected", "fixed"))
@@ -118,17 +154,14 @@ def _(t: Tables):
     return rounded(statistics.holm(tests, "pvalue").drop("units"), 9)
 
 
-
-
 @query("stratified_sign_vectors", rounded_sql(sql("""
-    SELECT context, v, sum(CASE WHEN (v >> CAST(unit % 10 AS INTEGER)) & 1 = 1 THEN difference ELSE -difference END) AS total
-    FROM nation_units, (SELECT unnest(range(1024)) AS v) GROUP BY ALL""", "nation_units"), "total", 9))
+    SELECT scope, v, sum(CASE WHEN (v >> CAST(i AS INTEGER)) & 1 = 1 THEN x ELSE -x END) AS total
+    FROM (SELECT scope, difference AS x, row_number() OVER (PARTITION BY scope ORDER BY unit) - 1 AS i,
+                 count(*) OVER (PARTITION BY scope) AS n FROM nation_units), (SELECT unnest(range(1 << 20)) AS v)
+    WHERE v < (CAST(1 AS BIGINT) << CAST(n AS INTEGER)) GROUP BY ALL""", "nation_units"), "total", 9))
 def _(t: Tables):
-    """Every sign vector over ten strata of the nations, applied to their differences."""
-    strata = t.nation_units.groupBy("context", (F.col("unit") % 10).alias("stratum")).agg(F.sum("difference").alias("d"))
-    vectors = strata.withColumn("v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(1023).cast("bigint"))))
-    up = F.call_function("shiftright", F.col("v"), F.col("stratum").cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
-    return rounded(vectors.groupBy("context", "v").agg(F.sum(F.when(up, F.col("d")).otherwise(-F.col("d"))).alias("total")), 9)
+    """Every sign vector over the nations of each context and region."""
+    return rounded(statistics.sign_vectors(t.nation_units, ["scope"], "unit", "difference"), 9)
 
 
 def _boot_sql(units: str, seed: int = SEED) -> str:
@@ -182,13 +215,10 @@ _CLUSTER = """units AS (SELECT scope, entity, round(avg(selected_minus_fixed), 9
     """ + _boot_sql("units") + f""",
     sized AS (SELECT scope, entity, d, row_number() OVER (PARTITION BY scope ORDER BY entity) - 1 AS i,
       count(*) OVER (PARTITION BY scope) AS n, abs(avg(d) OVER (PARTITION BY scope)) AS observed FROM units),
-    exact AS (SELECT scope, avg(CAST(m >= o - 1e-15 AS INTEGER)) AS p FROM (
-      SELECT scope, v, abs(sum(CASE WHEN (v >> CAST(i AS INTEGER)) & 1 = 1 THEN -d ELSE d END) / max(n)) AS m, max(observed) AS o
-      FROM sized, (SELECT unnest(range(1 << 20)) AS v) WHERE n <= 20 AND v < (CAST(1 AS BIGINT) << CAST(n AS INTEGER)) GROUP BY scope, v) GROUP BY scope),
     sampled AS (SELECT scope, (count(*) FILTER (m >= o - 1e-15) + 1) / {DRAWS + 1}.0::DOUBLE AS p FROM (
       SELECT scope, r, max(observed) AS o, abs(sum(CASE WHEN CAST('0x' || substr(md5('2027|' || CAST(r AS VARCHAR) || '|' || CAST(entity AS VARCHAR)), 1, 8) AS BIGINT) % 2 = 1
-        THEN -d ELSE d END) / max(n)) AS m FROM sized, (SELECT unnest(range(1, {DRAWS + 1})) AS r) WHERE n > 20 GROUP BY scope, r) GROUP BY scope),
-    flips AS (SELECT * FROM exact UNION ALL SELECT * FROM sampled),
+        THEN -d ELSE d END) / max(n)) AS m FROM sized, (SELECT unnest(range(1, {DRAWS + 1})) AS r) GROUP BY scope, r) GROUP BY scope),
+    flips AS (SELECT * FROM sampled),
     holm AS (SELECT scope, max(least(1.0::DOUBLE, (m - k + 1) * p)) OVER (ORDER BY k) AS holm_pvalue FROM (
       SELECT *, row_number() OVER (ORDER BY p, scope) AS k, count(*) OVER () AS m FROM flips WHERE scope LIKE '%\\_%' ESCAPE '\\'))"""
 
