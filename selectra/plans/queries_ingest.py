@@ -96,18 +96,15 @@ def event_stream(t: Tables):
 
 @query("stream_dedupe", sql("SELECT DISTINCT user_id, event_type FROM events"))
 def _(t: Tables):
-    unique = jobs.dedupe(event_stream(t), ["user_id", "event_type"], "ts", "40 days")
-    return jobs.drain_append(unique, "dedupe")
+    return jobs.distinct_keys(event_stream(t), ["user_id", "event_type"], "dedupe")
 
 
 @query("stream_replicate_agg", rounded_sql(sql("""
     SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, user_id, event_type, count(*) AS n, avg(value) AS mean
     FROM events GROUP BY ALL"""), "mean"))
 def _(t: Tables):
-    """Daily means per user and type; update mode, so that open days are there too."""
-    key = ["window_start", "user_id", "event_type"]
-    means = jobs.windowed_means(event_stream(t), ["user_id", "event_type"], "value", "ts", "1 day")
-    table = jobs.drain_updates(means, "means", key)
+    """Daily means per user and type, whenever the events arrive."""
+    table = jobs.window_means(event_stream(t), ["user_id", "event_type"], "value", "ts", "means")
     return rounded(table.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "user_id", "event_type", "n", "mean"))
 
 
@@ -115,8 +112,7 @@ def _(t: Tables):
     SELECT user_id, count(DISTINCT event_type) AS items FROM events WHERE event_type IN (SELECT DISTINCT event_type FROM events)
     GROUP BY user_id HAVING count(DISTINCT event_type) = 5"""))
 def _(t: Tables):
-    done = jobs.completeness(event_stream(t), "user_id", "event_type", EVENT_TYPES)
-    return jobs.drain_updates(done, "complete", ["user_id"])
+    return jobs.completeness(event_stream(t), "user_id", "event_type", EVENT_TYPES, "complete")
 
 
 @query("stream_rule_monitor", sql("""

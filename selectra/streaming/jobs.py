@@ -1,7 +1,14 @@
 """Structured Streaming forms of the incremental operators.
 
-Every job reads a file stream, keeps bounded state, checkpoints below the shared
-folder and drains what is there (``availableNow``); results land in parquet.
+Every job reads a file stream, checkpoints below the shared folder and drains
+what is there (``availableNow``); results land in parquet.
+
+Totals over all that has arrived (``distinct_keys``, ``window_means``,
+``completeness``) keep no state in the stream: each micro-batch leaves its own
+partial result, overwritten when it is retried, and the partial results are
+merged when they are read.  So they equal the batch result in any order of
+arrival.  ``dedupe`` and ``windowed_means`` emit while the stream runs, with
+state that expires by a watermark; rows later than that are not in their result.
 """
 
 from __future__ import annotations
@@ -14,6 +21,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from selectra.operators.incremental import upsert_table
 from selectra.operators.rules import evaluate
 from selectra.session import shared_dir
+from selectra.sources.readers import scan_or_empty
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 100) -> DataFrame:
@@ -67,20 +75,43 @@ def windowed_means(stream: DataFrame, key: Sequence[str], value: str, time: str,
             .select(F.col("window.start").alias("window_start"), *key, "n", "mean"))
 
 
-def completeness(stream: DataFrame, entity: str, item: str, expected: Sequence) -> DataFrame:
-    """Entities for which every expected item was seen.
-
-    The state is one bit per expected item (up to 63), merged by ``bit_or`` with
-    map-side combination, so an entity with very many events costs one row.
-    """
-    if len(expected) > 63:
-        raise ValueError("at most 63 expected items per entity")
-    bit = F.lit(0).cast("bigint")
-    for i, v in enumerate(expected):
-        bit = F.when(F.col(item) == F.lit(v), F.lit(1 << i).cast("bigint")).otherwise(bit)
-    seen = stream.groupBy(entity).agg(F.bit_or(bit).alias("_seen"), F.count(F.lit(1)).alias("events"))
-    return seen.where(F.col("_seen") == F.lit((1 << len(expected)) - 1)).select(
-        entity, F.bit_count("_seen").cast("bigint").alias("items"))
+def drain_partials(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], name: str,
+                   checkpoint: str | None = None, target: str | None = None) -> DataFrame:
+    """The partial results of all micro-batches so far, a folder per batch."""
+    spark = stream.sparkSession
+    target = target or shared_dir(spark, f"{name}-out")
+    schema = partial(spark.createDataFrame([], stream.schema)).schema
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        partial(batch).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    _drain(stream.writeStream.foreachBatch(write), checkpoint or shared_dir(spark, f"{name}-ckpt"))
+    return scan_or_empty(spark, target, schema).select(*schema.names)
+
+
+def distinct_keys(stream: DataFrame, key: Sequence[str], name: str, **folders: str) -> DataFrame:
+    """Each key that has arrived, once."""
+    return drain_partials(stream, lambda rows: rows.select(*key).distinct(), name, **folders).distinct()
+
+
+def window_means(stream: DataFrame, key: Sequence[str], value: str, time: str, name: str, window: str = "1 day",
+                 **folders: str) -> DataFrame:
+    """Count and mean per key and tumbling window over all that has arrived, late or not."""
+    def sums(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.window(time, window).alias("_window"), *key).agg(
+            F.count(F.lit(1)).alias("_rows"), F.count(value).alias("_values"), F.sum(value).alias("_sum")).select(
+            F.col("_window.start").alias("window_start"), *key, "_rows", "_values", "_sum")
+
+    merged = drain_partials(stream, sums, name, **folders).groupBy("window_start", *key).agg(
+        F.sum("_rows").alias("n"), F.try_divide(F.sum("_sum"), F.sum("_values")).alias("mean"))
+    return merged.select("window_start", *key, "n", "mean")
+
+
+def completeness(stream: DataFrame, entity: str, item: str, expected: Sequence, name: str, **folders: str) -> DataFrame:
+    """Entities for which every expected item has arrived, and the number of items."""
+    seen = drain_partials(stream, lambda rows: rows.where(F.col(item).isin(*expected)).select(entity, item).distinct(),
+                          name, **folders)
+    return seen.groupBy(entity).agg(F.countDistinct(item).alias("items")).where(F.col("items") == len(set(expected)))
 
 
 def monitor_rules(stream: DataFrame, rules: Mapping[str, Column], name: str, checkpoint: str | None = None,

@@ -84,7 +84,7 @@ def test_streams_equal_batch_over_several_files(spark):
         F.count("*").alias("n"), F.avg("value").alias("mean"))
     assert sorted(map(str, means.collect())) == sorted(map(str, expected.select(*means.columns).collect()))
 
-    done = jobs.drain_updates(jobs.completeness(stream(), "user", "kind", ("a", "b", "c")), "t3", ["user"])
+    done = jobs.completeness(stream(), "user", "kind", ("a", "b", "c"), "t3")
     assert sorted(r["user"] for r in done.collect()) == [1, 2, 3]
     checked = jobs.monitor_rules(stream(), {"high": F.col("value") > 90}, "t4")
     assert checked.agg(F.sum("violations")).first()[0] == 5
@@ -131,3 +131,22 @@ def test_a_cluster_must_name_its_shared_folder(spark):
     far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="yarn", applicationId="a"))
     with pytest.raises(ValueError, match="share"):
         shared_root(far)
+
+
+def test_stream_totals_equal_the_batch_with_a_late_file(spark, tmp_path):
+    day = lambda n: dt.datetime(2024, 1, 1 + n)
+    files = [[(1, day(0), "a", 1.0)], [(1, day(20), "b", 2.0), (2, day(20), "a", 3.0)],
+             [(1, day(0), "c", 5.0), (1, day(0), "a", None)], [(2, day(20), "a", 7.0)]]  # the third comes 20 days late
+    schema = "user bigint, ts timestamp, kind string, value double"
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    batch = spark.read.parquet(str(tmp_path / "in"))
+    stream = lambda: jobs.file_stream(spark, str(tmp_path / "in"), batch.schema, files_per_trigger=1)
+    assert set(jobs.distinct_keys(stream(), ["user", "kind"], "d").collect()) == set(
+        batch.select("user", "kind").distinct().collect())
+    means = {(r["window_start"], r["user"]): (r["n"], r["mean"]) for r in jobs.window_means(
+        stream(), ["user"], "value", "ts", "m").collect()}
+    assert means == {(day(0), 1): (3, 3.0), (day(20), 1): (1, 2.0), (day(20), 2): (2, 5.0)}
+    many = [str(i) for i in range(70)]  # more items than the bits of a mask
+    assert jobs.completeness(stream(), "user", "kind", many, "c").count() == 0
+    assert [r["user"] for r in jobs.completeness(stream(), "user", "kind", ["a", "b", "c"], "e").collect()] == [1]
