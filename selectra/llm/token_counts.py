@@ -25,9 +25,11 @@ from pyspark.sql import DataFrame, functions as F
 
 #: pre-tokens of a leaf, distinct pre-tokens whose count a worker keeps
 LEAF, KEPT = 64, 500_000
-_SPACE = regex.compile(r"\s")
 #: fixed value: the splitting pattern of the vocabulary
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: the same for Python, whose \s has more characters
+SPLIT = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+_SPACE = regex.compile(r"\p{White_Space}")
 #: what the production query redacts: mail addresses, and runs of four digits or more
 NUMBER = r"\d(?:[ -]?\d){3,}"
 REDACTED = regex.compile(r"(?<![\w.+-])[\w.+-]{1,64}@[\w-]{1,64}(?:\.[\w-]{1,64})+|" + NUMBER)
@@ -55,7 +57,7 @@ def counter(path: str) -> tuple[Callable[[str], list[str]], _Counts]:
     with open(path, "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
     encoding = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return regex.compile(PATTERN).findall, _Counts(encoding)
+    return SPLIT.findall, _Counts(encoding)
 
 
 class CountTree:

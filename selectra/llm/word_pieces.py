@@ -15,8 +15,10 @@ import regex
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 KEPT_WORDS = 1_000_000
-#: fixed value: the splitting pattern of the vocabulary file
-PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: from here on the tokenizer itself splits; below are the Latin letters
+BEYOND = "\u0250"
+#: fixed value: the splitting pattern of the vocabulary file; white space is spelled out, because Python's \s has more
+PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 
 
 class _Kept(dict):
@@ -42,7 +44,10 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
     composed = normalizers.NFC()
 
     def of_part(part: str) -> bytes:
-        spelled = part if part.isascii() else to_bytes.pre_tokenize_str(part)[0][0]
+        plain = part.isascii() and part.isprintable()
+        return of_spelled(part if plain else to_bytes.pre_tokenize_str(part)[0][0])
+
+    def of_spelled(spelled: str) -> bytes:
         return np.array([t.id for t in model.tokenize(spelled)], dtype="<u4").tobytes()
 
     parts = _Kept(of_part, KEPT_WORDS)
@@ -52,6 +57,9 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
         word = raw.decode()
         if any(s in word for s in specials):
             return np.array(tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if max(word) >= BEYOND:  # letters on which two libraries' tables may differ
+            pieces = tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(word))
+            return b"".join(of_spelled(spelled) for spelled, _ in pieces)
         word = word.lower() if word.isascii() else lower.normalize_str(composed.normalize_str(word))
         return b"".join(map(parts.__getitem__, PRE_TOKENS.findall(word)))
 
