@@ -159,8 +159,8 @@ def fit(documents: list[np.ndarray], labels: np.ndarray, languages: list[str]) -
         for i in range(0, len(train), BATCH):
             batch = train[i:i + BATCH]
             # a long training text is seen through one segment at a time, another one in each epoch
-            seen = [documents[b] if len(documents[b]) <= SEGMENT else draw.choice(segment(documents[b])) for b in batch
-                    ] if any(len(documents[b]) > SEGMENT for b in batch) else [documents[b] for b in batch]
+            pieces = [segment(documents[i]) if len(documents[i]) > SEGMENT else [documents[i]] for i in batch]
+            seen = [p[draw.integers(len(p))] for p in pieces]
             _step(model, seen, labels[batch], memory)
     model.words[memory["words"] == 0] = 0  # words never learned from are neutral
     check = np.flatnonzero(held)
@@ -199,10 +199,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Convoluti
     """Fit on at most ``rows`` labelled documents outside fold 2 of 4; their hashed words go to the driver."""
     marked = (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
               .where(F.col("toxic").isNotNull() & (fold(4) != 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    # at most FIT_ROWS ids go to the tasks, so that no text is shuffled to find the sample
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
                         F.col("text").cast("string").alias("text"))
-    sample = texts.join(chosen, "doc_id").groupBy("doc_id").agg(
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
         F.min(F.struct("toxic", "lang", "text")).alias("row")).select("doc_id", "row.*")
     hashed = (sample.select("toxic", "lang", "text").mapInArrow(_hashed, "toxic int, lang string, words binary")
               .toArrow().to_pydict())
