@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from selectra.llm.shingles import components, mixed, rolled, word_hashes
 from selectra.session import materialise
@@ -191,18 +191,24 @@ def verified(pairs: DataFrame, parts: DataFrame, like: Likeness) -> DataFrame:
     return summed.where(like.den * F.col("shared") >= like.num * union).select("a", "b")
 
 
-def sifted(parts: DataFrame, like: Likeness) -> DataFrame:
-    """The parts without the sets that can link with none of the others: an overlap holds only n-grams that occur in
-    two sets at least, and a link needs num / den of the larger union, so of the set itself."""
+def sifted(parts: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
+    """The parts without the sets that can link with none of the others, and (node, size, met) of the rest: an overlap
+    holds only the ``met`` n-grams that occur in two sets at least, and a link needs num / den of the union."""
+    met = None
     for _ in range(SIFTINGS):
         single = (parts.select("key", F.explode("grams").alias("gram")).groupBy("gram")
                   .agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1")
                   .groupBy("key").agg(F.count("*").alias("single")))
-        sizes = parts.select("key", "size").distinct()
-        hopeless = sizes.join(single, "key").where(
-            like.den * (F.col("size") - F.col("single")) < like.num * F.col("size")).select("key")
-        parts = materialise(parts.join(hopeless, "key", "left_anti"))
-    return parts
+        met = materialise(parts.select("key", "node", "size").distinct().join(single, "key", "left").select(
+            "key", "node", "size", (F.col("size") - F.coalesce("single", F.lit(0))).alias("met"))
+            .where(like.den * F.col("met") >= like.num * F.col("size")))
+        parts = materialise(parts.join(met.select("key"), "key", "left_semi"))
+    return parts, met.groupBy("node").agg(F.min("size").alias("size"), F.max("met").alias("met"))
+
+
+def can_link(like: Likeness, met: Column, both_sizes: Column) -> Column:
+    """Whether an overlap of at most ``met`` is enough for two sets of these sizes together."""
+    return (like.num + like.den) * met >= like.num * both_sizes
 
 
 def node_components(texts: DataFrame, nodes: DataFrame, like: Likeness) -> DataFrame:
@@ -225,8 +231,12 @@ def node_components(texts: DataFrame, nodes: DataFrame, like: Likeness) -> DataF
                                        "node bigint, key binary, size bigint, fragment int, grams array<bigint>")
         .groupBy("key", "fragment").agg(F.first("node").alias("node"), F.first("size").alias("size"),
                                         F.first("grams").alias("grams")))
-    parts = sifted(parts, like)
-    members = materialise(members.join(parts.select("node").distinct(), "node", "left_semi").select("sign", "node"))
+    parts, known = sifted(parts, like)
+    members = members.join(known, "node").select("sign", "node", "size", "met")
+    # in a group, a set needs enough n-grams met elsewhere for a partner of the smallest size there
+    smallest = members.groupBy("sign").agg(F.min("size").alias("least"))
+    members = materialise(members.join(smallest, "sign").where(
+        can_link(like, F.col("met"), F.col("size") + F.col("least"))).drop("least"))
     links = parts.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     found, done = links, None
     for turn in range(STAR_ROUNDS + 1):
@@ -237,15 +247,20 @@ def node_components(texts: DataFrame, nodes: DataFrame, like: Likeness) -> DataF
                         .withColumn("component", F.coalesce("component", F.col("node"))))
         open_groups = labelled.groupBy("sign").agg(
             F.min("component").alias("low"), F.max("component").alias("high"),
-            F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "component")).alias("centre")).where("low <> high")
+            # first the set with the fewest n-grams of its own, which is likest to all others, then any
+            F.min(F.struct((F.col("size") - F.col("met") if turn == 0 else F.xxhash64("node", F.lit(turn))).alias("by"),
+                           "node", "component", "size", "met")).alias("centre")).where("low <> high")
         rest = labelled.join(open_groups.select("sign", "centre"), "sign")
         if turn < STAR_ROUNDS:
-            pairs = rest.where("component <> centre.component").select(
+            pairs = rest.where("component <> centre.component").where(can_link(
+                like, F.least("met", "centre.met"), F.col("size") + F.col("centre.size"))).select(
                 F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"))
         else:
-            own = rest.select("sign", F.col("node").alias("a"), F.col("component").alias("ca"))
-            other = rest.select("sign", F.col("node").alias("b"), F.col("component").alias("cb"))
-            pairs = own.join(other, "sign").where("a < b AND ca <> cb").select("a", "b")
+            side = lambda s: rest.select(
+                "sign", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "component", "size", "met")])
+            pairs = side("a").join(side("b"), "sign").where("a_node < b_node AND a_component <> b_component").where(
+                can_link(like, F.least("a_met", "b_met"), F.col("a_size") + F.col("b_size"))).select(
+                F.col("a_node").alias("a"), F.col("b_node").alias("b"))
         pairs = materialise(pairs.distinct())
         if pairs.isEmpty():
             break
