@@ -503,24 +503,42 @@ def regular_edges(specs: DataFrame, degree: int = 4, seed: str = "seed") -> Data
         "graph_id", F.least("node", "_other").alias("u"), F.greatest("node", "_other").alias("v"))
 
 
-def graph_features(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """All structural features, one row per graph.
+def _joined_features(vertices: DataFrame, edges: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    features = degree_stats(vertices, edges)
+    for part in parts:
+        features = features.join(part, "graph_id")
+    return features
+
+
+def structure_by_joins(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """All structural features without spectra by the joins that any graph size allows."""
+    labels = components_by_joins(vertices, edges)
+    return _joined_features(vertices, edges, [
+        clustering_by_joins(vertices, edges), assortativity_by_joins(vertices, edges),
+        component_stats(labels).drop("largest_component"), paths_by_joins(vertices, edges, labels)])
+
+
+def graph_structure(vertices: DataFrame, edges: DataFrame, spectra: bool = False) -> DataFrame:
+    """All structural features, one row per graph, with the spectral ones on request.
 
     Small graphs are packed once, so the parts meet on one partitioning.
     """
     few, many = by_size(vertices, edges)
     packed = materialise(small.pack(*few))
     parts = [small.clustering(packed), small.assortativity(packed), small.component_stats(packed),
-             small.shortest_paths(packed), small.spectrum(packed)]
+             small.shortest_paths(packed)] + ([small.spectrum(packed)] if spectra else [])
     if many is not None:
         labels = components_by_joins(*many)
         more = [clustering_by_joins(*many), assortativity_by_joins(*many),
-                component_stats(labels).drop("largest_component"), paths_by_joins(*many, labels), iterative_spectrum(*many)]
+                component_stats(labels).drop("largest_component"), paths_by_joins(*many, labels)]
+        more += [iterative_spectrum(*many)] if spectra else []
         parts = [a.unionByName(b) for a, b in zip(parts, more)]
-    features = degree_stats(vertices, edges)
-    for part in parts:
-        features = features.join(part, "graph_id")
-    return features
+    return _joined_features(vertices, edges, parts)
+
+
+def graph_features(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """All structural features and the spectral ones."""
+    return graph_structure(vertices, edges, spectra=True)
 
 
 def edge_count_mismatch(edges: DataFrame, declared: DataFrame, column: str = "num_edges") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from selectra.operators import aggregates, graphs
 from selectra.plans.bindings import CUT_NODES, Tables, sql
-from selectra.plans.catalog import query
+from selectra.plans.catalog import SQL, query
 from selectra.plans.shaping import rounded, rounded_sql
 
 
@@ -249,6 +249,23 @@ def _(t: Tables):
     return aggregates.histogram(graphs.degree_stats(t.vertices(), t.edges()), "num_edges", 8)
 
 
+# every part is a checked query of its own; the whole is their join
+_STRUCTURE = f"SELECT * FROM ({SQL['agg_degree_stats']})" + "".join(f" JOIN ({SQL[name]}) USING (graph_id)" for name in (
+    "triangle_count", "triangle_density", "local_clustering_avg", "transitivity", "degree_assortativity",
+    "connected_components", "shortest_paths"))
+
+
+@query("graph_structure", _STRUCTURE)
+def _(t: Tables):
+    return rounded(graphs.graph_structure(t.vertices(), t.edges()))
+
+
+@query("graph_structure_by_joins", _STRUCTURE)
+def _(t: Tables):
+    """The form for graphs of any size, on the same graphs."""
+    return rounded(graphs.structure_by_joins(t.vertices(), t.edges()))
+
+
 @query("graph_features")
 def _(t: Tables):
     """All structural features together; each has its own checked query."""
