@@ -7,9 +7,9 @@ fragment is counted separately and summed per pair, which decides the link exact
 
 Sizes fall into classes of a constant ratio that fix the number of fragments; a set signs for its own class and, if a
 smaller partner may lie there, for the class below. A set with so many empty fragments that only those might agree
-signs under further orders too. Equal sets are one node. An n-gram that no other set found has adds to no overlap, so
-sets with too many of those are sifted out. In a group of sets that share a fragment, all are compared with one of them;
-once components are known, only pairs between different components are compared further.
+signs under further orders too. Equal sets are one node. Sets that share a fragment are compared with one of them; once
+components are known, only pairs between different components are compared further. Where many share a fragment, sets
+that cannot link are taken out first: an n-gram that no other set of such a crowd has adds to no overlap there.
 
 Cases: texts without words (null, empty, blank) have the empty set and link with nothing: they are their own component;
 fewer than n words are one n-gram; repeated rows and equal texts are one node with all their ids; a null id is never
@@ -33,8 +33,8 @@ from selectra.session import materialise
 RATIO, ORDERS, FRAGMENTS = 1.5, 8, 8
 #: rounds in which a group is compared with a single member, before all that is left is compared
 STAR_ROUNDS = 4
-#: times that sets with too many n-grams of their own are taken out
-SIFTINGS = 2
+#: sets with a common fragment are a crowd above so many; times that sets which cannot link are taken out of crowds
+CROWD, SIFTINGS = 8, 2
 
 
 @dataclass(frozen=True)
@@ -191,19 +191,18 @@ def verified(pairs: DataFrame, parts: DataFrame, like: Likeness) -> DataFrame:
     return summed.where(like.den * F.col("shared") >= like.num * union).select("a", "b")
 
 
-def sifted(parts: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
-    """The parts without the sets that can link with none of the others, and (node, size, met) of the rest: an overlap
-    holds only the ``met`` n-grams that occur in two sets at least, and a link needs num / den of the union."""
-    met = None
+def sifted(parts: DataFrame, like: Likeness) -> DataFrame:
+    """(node, size, met) of the sets that may link with one of the others given: an overlap holds only the ``met``
+    n-grams that occur in two of them at least, and a link needs num / den of the union."""
     for _ in range(SIFTINGS):
-        single = (parts.select("key", F.explode("grams").alias("gram")).groupBy("gram")
-                  .agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1")
-                  .groupBy("key").agg(F.count("*").alias("single")))
-        met = materialise(parts.select("key", "node", "size").distinct().join(single, "key", "left").select(
-            "key", "node", "size", (F.col("size") - F.coalesce("single", F.lit(0))).alias("met"))
+        single = (parts.select("node", F.explode("grams").alias("gram")).groupBy("gram")
+                  .agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+                  .groupBy("node").agg(F.count("*").alias("single")))
+        met = materialise(parts.groupBy("node").agg(F.min("size").alias("size")).join(single, "node", "left").select(
+            "node", "size", (F.col("size") - F.coalesce("single", F.lit(0))).alias("met"))
             .where(like.den * F.col("met") >= like.num * F.col("size")))
-        parts = materialise(parts.join(met.select("key"), "key", "left_semi"))
-    return parts, met.groupBy("node").agg(F.min("size").alias("size"), F.max("met").alias("met"))
+        parts = parts.join(met.select("node"), "node", "left_semi")
+    return met
 
 
 def can_link(like: Likeness, met: Column, both_sizes: Column) -> Column:
@@ -231,12 +230,17 @@ def node_components(texts: DataFrame, nodes: DataFrame, like: Likeness) -> DataF
                                        "node bigint, key binary, size bigint, fragment int, grams array<bigint>")
         .groupBy("key", "fragment").agg(F.first("node").alias("node"), F.first("size").alias("size"),
                                         F.first("grams").alias("grams")))
-    parts, known = sifted(parts, like)
-    members = members.join(known, "node").select("sign", "node", "size", "met")
-    # in a group, a set needs enough n-grams met elsewhere for a partner of the smallest size there
-    smallest = members.groupBy("sign").agg(F.min("size").alias("least"))
-    members = materialise(members.join(smallest, "sign").where(
-        can_link(like, F.col("met"), F.col("size") + F.col("least"))).drop("least"))
+    crowds = members.groupBy("sign").agg((F.count("*") > CROWD).alias("crowded"))
+    placed = materialise(members.join(crowds, "sign"))
+    # partners in a crowd are all in crowds, so what those share bounds the overlap there
+    crowd = placed.where("crowded").select("sign", "node")
+    known = sifted(parts.join(crowd.select("node").distinct(), "node", "left_semi"), like)
+    crowd = crowd.join(known, "node").select("sign", "node", "size", "met")
+    smallest = crowd.groupBy("sign").agg(F.min("size").alias("least"))
+    crowd = crowd.join(smallest, "sign").where(can_link(like, F.col("met"), F.col("size") + F.col("least")))
+    sizes = parts.groupBy("node").agg(F.min("size").alias("size"))
+    few = placed.where("NOT crowded").join(sizes, "node").select("sign", "node", "size", F.col("size").alias("met"))
+    members = materialise(crowd.select("sign", "node", "size", "met").union(few))
     links = parts.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     found, done = links, None
     for turn in range(STAR_ROUNDS + 1):

@@ -43,6 +43,8 @@ def test_join_equals_brute_force(spark, n, num, den):
     for i in range(12):
         own = prose(100 + i, draw.choice([1, 2, 4, 9, 14, 30, 80, 300]))
         texts += [own, own] + [near(own, draw.choice([7, 20, 45, 70, 150])) for _ in range(6)]
+    crowd = prose(99, 200)  # many that share fragments, some of which link and some of which cannot
+    texts += [near(crowd, draw.randint(12, 190)) for _ in range(40)] + [crowd]
     draw.shuffle(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
     rows = ngram_join.join_groups(docs, ngram_join.Likeness(n, num, den)).collect()
