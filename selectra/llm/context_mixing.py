@@ -1,21 +1,26 @@
 """Logistic mixing of hashed-context bit predictors: the part of the language model that works on arrays.
 
 A word is spelled as its bytes and an end mark, each byte as the bits of a prefix code. A predictor keeps, for each
-hashed pair of context and place in the code, the log odds of a set bit. The log odds are added with weights out of the
-set that the gate names, and the sum is refined by an adaptive map from coarse to observed odds.
+hashed pair of context and place in the code, how often the bit was unset and set, which gives the log odds of a set
+bit. The log odds are added with weights out of the set that the gate names, and the sum is refined by an adaptive map
+from coarse to observed odds. The tables hold every training pair, so an occurrence is left out of the counts that
+predict it while weights and map are learned.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
 from selectra.llm.shingles import mixed
 
-#: states of the gate from earlier words; slots of a predictor (as bits); smoothing of its counts
-GATES, SLOTS, PRIOR = 7, 21, 0.2
+#: states of the gate from earlier words; least slots of a predictor (as bits); smoothing of its counts
+GATES, SLOTS, PRIOR = 7, 16, 0.2
+#: counts that a slot's byte stands for: exact up to 15, then by sevenths of a doubling, up to 3e11
+LEVELS = np.concatenate([np.arange(16.0), 15 * 2 ** (np.arange(1, 241) / 7)])
 ORDERS = ("gate and two bytes", "gate and three bytes", "gate and five bytes", "word so far", "gate and word so far")
 #: places in a word that have weights of their own, by two states of what is known of the word so far
 PLACES, MAP_CELLS = 4, 32
@@ -23,6 +28,12 @@ SPACE, END = b" ", b"\n"
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
+def levels(counts: np.ndarray) -> np.ndarray:
+    """The nearest level of each count, by ratio."""
+    edges = np.concatenate([np.arange(15) + 0.5, np.sqrt(LEVELS[15:-1] * LEVELS[16:])])
+    return np.searchsorted(edges, counts).astype(np.uint8)
+
+
 def prefix_code(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lengths and values of a prefix code (Huffman) over the 256 bytes."""
     heap = [(int(c) + 1, b, (b,)) for b, c in enumerate(counts)]
@@ -84,18 +95,18 @@ def steps(words: list[bytes], gates: np.ndarray) -> Steps:
 
 @dataclass
 class Mixer:
-    """The prefix code, a table of log odds per predictor, gated weights, and the adaptive map."""
+    """The prefix code, a table of counts (as levels) per predictor and bit, gated weights, and the adaptive map."""
 
     lengths: np.ndarray
     values: np.ndarray
-    odds: np.ndarray
+    counted: np.ndarray
     weights: np.ndarray
     refined: np.ndarray
 
     @staticmethod
-    def start(byte_counts: np.ndarray) -> Mixer:
+    def start(byte_counts: np.ndarray, slots: int = SLOTS) -> Mixer:
         lengths, values = prefix_code(byte_counts)
-        return Mixer(lengths, values, np.zeros((len(ORDERS), 1 << SLOTS), np.float32),
+        return Mixer(lengths, values, np.zeros((2, len(ORDERS), 1 << slots), np.uint8),
                      np.full((PLACES * 2, len(ORDERS)), 0.3), np.zeros((PLACES, MAP_CELLS)))
 
     def bits(self, s: Steps) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,27 +119,38 @@ class Mixer:
         bit = (code >> (left - np.uint64(1))) & np.uint64(1)
         return step, node, bit.astype(np.float64)
 
-    @staticmethod
-    def slots(contexts: np.ndarray, step: np.ndarray, node: np.ndarray) -> np.ndarray:
+    def slots(self, contexts: np.ndarray, step: np.ndarray, node: np.ndarray) -> np.ndarray:
+        bits = self.counted.shape[2].bit_length() - 1
         with np.errstate(over="ignore"):
-            return (mixed(contexts[step] + node * _K[0]) >> np.uint64(64 - SLOTS)).astype(np.int64)
+            return (mixed(contexts[step] + node * _K[0]) >> np.uint64(64 - bits)).astype(np.int64)
 
-    def learn_odds(self, words: list[bytes], gates: np.ndarray, times: np.ndarray, chunk: int = 50_000) -> None:
-        """Set the tables from counted (gate, word) pairs; all slots are counted before odds are taken."""
+    def tallies(self, words: list[bytes], gates: np.ndarray, times: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each predictor the slots of counted (gate, word) pairs in order, and how often each was (unset, set)."""
+        s = steps(words, gates)
+        step, node, bit = self.bits(s)
+        n = np.bincount(s.taken, np.repeat(times, np.diff(np.append(s.first, len(s.taken)))))[step]
+        for contexts in s.contexts:
+            slot, at = np.unique(self.slots(contexts, step, node), return_inverse=True)
+            ones = np.bincount(at, n * bit, len(slot))
+            yield slot, np.stack([np.bincount(at, n, len(slot)) - ones, ones])
+
+    def learn_odds(self, words: list[bytes], gates: np.ndarray, times: np.ndarray) -> None:
+        """Set the tables from counted (gate, word) pairs."""
+        for k, (slot, counts) in enumerate(self.tallies(words, gates, times)):
+            self.counted[:, k, slot] = levels(counts)
+
+    def inputs(self, s: Steps, step: np.ndarray, node: np.ndarray, own: np.ndarray | None = None
+               ) -> tuple[np.ndarray, np.ndarray]:
+        """The log odds of each predictor and the set of weights; ``own`` are bits to be left out of the counts once."""
+        odds = np.zeros((len(ORDERS), len(step)))
         for k in range(len(ORDERS)):
-            ones, all_ = np.zeros(1 << SLOTS), np.zeros(1 << SLOTS)
-            for at in range(0, len(words), chunk):
-                s = steps(words[at:at + chunk], gates[at:at + chunk])
-                step, node, bit = self.bits(s)
-                n = np.bincount(s.taken, np.repeat(times[at:at + chunk], np.diff(np.append(s.first, len(s.taken)))))[step]
-                slot = self.slots(s.contexts[k], step, node)
-                np.add.at(ones, slot, n * bit)
-                np.add.at(all_, slot, n)
-            self.odds[k] = np.log((ones + PRIOR) / (all_ - ones + PRIOR))
-
-    def inputs(self, s: Steps, step: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        odds = np.stack([self.odds[k][self.slots(s.contexts[k], step, node)] for k in range(len(ORDERS))])
-        known = (odds[3] != 0).astype(np.int64)
+            slot = self.slots(s.contexts[k], step, node)
+            unset, ones = LEVELS[self.counted[0, k, slot]], LEVELS[self.counted[1, k, slot]]
+            if own is not None:
+                unset, ones = np.maximum(unset - (1 - own), 0), np.maximum(ones - own, 0)
+            odds[k] = np.log((ones + PRIOR) / (unset + PRIOR))
+            if k == 3:
+                known = (unset + ones > 0).astype(np.int64)
         return odds, s.place[step] * 2 + known
 
     def cells(self, mix: np.ndarray) -> np.ndarray:
@@ -139,7 +161,7 @@ class Mixer:
         s = steps(words, gates)
         step, node, bit = self.bits(s)
         n = np.bincount(s.taken, np.repeat(times, np.diff(np.append(s.first, len(s.taken)))))[step]
-        odds, gate = self.inputs(s, step, node)
+        odds, gate = self.inputs(s, step, node, bit)
         for at in range(0, len(bit), 16_384):
             part = slice(at, at + 16_384)
             mix = (self.weights[gate[part]].T * odds[:, part]).sum(0)

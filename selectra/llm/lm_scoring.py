@@ -1,10 +1,11 @@
 """Language-model scoring by online logistic context mixing.
 
 Short words tell languages and kinds of text apart: how often they follow each other gives a few classes. All training
-documents are counted as (gate, word) pairs, the gate being the likeliest class of the last short words. The most
-frequent pairs (a bounded number) fill the tables of the bit predictors; the mixing weights and the adaptive map are
-learned online by every task over its share of all pairs, rare ones included, and averaged. A document's score is the
-sum over its words and its end, so a worker evaluates a pair once and looks it up afterwards.
+documents are counted as (gate, word) pairs, the gate being the likeliest class of the last short words. All pairs fill
+the tables of the bit predictors, whose size follows the number of pairs: tasks count their pairs by slot, the counts
+are summed by blocks of slots, and only the summed tables are sent. The mixing weights and the adaptive map are learned
+online by every task over its share of all pairs, and averaged. A document's score is the sum over its words and its
+end, so a worker evaluates a pair once and looks it up afterwards.
 
 The word counts also give a base score. Frequent words, a bounded number, go to every task; the words of a document
 beyond them are joined with the table of all counts.
@@ -24,11 +25,11 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from selectra.llm.context_mixing import END, GATES, MAP_CELLS, PLACES, Mixer, refine
+from selectra.llm.context_mixing import END, GATES, MAP_CELLS, PLACES, SLOTS, Mixer, levels, refine
 from selectra.session import materialise
 
-#: bounds of the model: frequent words sent to every task, frequent pairs behind the predictors
-HEAD_WORDS, HEAD_PAIRS = 1 << 20, 1 << 19
+#: frequent words sent to every task; slots of a predictor for each pair at least; slots of a summed block
+HEAD_WORDS, SLOTS_PER_PAIR, BLOCK = 1 << 20, 2, 1 << 14
 #: words that a worker keeps values of; bytes of a short word, buckets of short words, and how many set the gate
 KEPT_WORDS, SHORT, SHORT_BUCKETS, MEMORY = 400_000, 3, 256, 6
 RATE, SMOOTH = 0.3, 0.1
@@ -143,6 +144,73 @@ def _counted(batches: Iterator[pa.RecordBatch], classes: np.ndarray) -> Iterator
     yield flush()
 
 
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each byte is written, by counted words; a blank after each."""
+    counts = np.zeros(256, np.int64)
+    for batch in batches:
+        words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+        data = np.frombuffer(b"".join(words), np.uint8)
+        each = np.repeat(n, np.fromiter(map(len, words), np.int64, len(words)))
+        counts += np.bincount(data, each, 256).astype(np.int64)
+        counts[32] += n.sum()
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array(counts)], ["byte", "n"])
+
+
+_PACKER = pa.Codec("zstd", 1)
+
+
+def _packed(slots: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rising slots of a block and (unset, set) counts by planes of bytes, compressed: most counts are small."""
+    planes = [np.diff(slots, prepend=0).astype(np.uint16).view(np.uint8).reshape(-1, 2).T,
+              *(c.astype(np.int64).view(np.uint8).reshape(-1, 8).T for c in counts)]
+    return _PACKER.compress(b"".join(x.tobytes() for x in planes), asbytes=True)
+
+
+def _unpacked(packed: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(_PACKER.decompress(packed, 18 * n, asbytes=True), np.uint8).reshape(18, n)
+    slots, unset, ones = (np.ascontiguousarray(x.T).view(kind).ravel()
+                          for x, kind in ((planes[:2], np.uint16), (planes[2:10], np.int64), (planes[10:], np.int64)))
+    return np.cumsum(slots, dtype=np.int64), np.stack([unset, ones])
+
+
+def _slotted(batches: Iterator[pa.RecordBatch], mixer: Mixer) -> Iterator[pa.RecordBatch]:
+    """Counts of (unset, set) bits by slot, in blocks of slots of a predictor."""
+    words, gates, times = [], [], []
+
+    def flush():
+        order = sorted(range(len(words)), key=words.__getitem__)  # neighbours share their first steps
+        found = mixer.tallies([words[i] for i in order], np.concatenate(gates)[order],
+                              np.concatenate(times)[order].astype(np.float64))
+        for k, (slot, counts) in enumerate(found):
+            block, first = np.unique(slot // BLOCK, return_index=True)
+            parts = np.append(first, len(slot))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(block), k, np.int32)), pa.array(block.astype(np.int32)),
+                 pa.array(np.diff(parts).astype(np.int32)),
+                 pa.array([_packed(slot[i:j] % BLOCK, counts[:, i:j]) for i, j in zip(parts, parts[1:])], pa.binary())],
+                ["predictor", "block", "n", "packed"])
+
+    for batch in batches:
+        words += batch.column(1).to_pylist()
+        gates.append(batch.column(0).to_numpy())
+        times.append(batch.column(2).to_numpy())
+        if len(words) >= 100_000:
+            yield from flush()
+            words, gates, times = [], [], []
+    if words:
+        yield from flush()
+
+
+def _summed(block: pa.Table) -> pa.Table:
+    total = np.zeros((2, BLOCK), np.int64)
+    for n, packed in zip(block.column("n").to_pylist(), block.column("packed").to_pylist()):
+        slots, counts = _unpacked(packed, n)
+        total[:, slots] += counts
+    unset, ones = levels(total)
+    return pa.table({"predictor": block.column("predictor")[:1], "block": block.column("block")[:1],
+                     "unset": pa.array([unset.tobytes()], pa.binary()), "ones": pa.array([ones.tobytes()], pa.binary())})
+
+
 def _weighed(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     mixer, seen, mass = shared.value, np.zeros((2, PLACES * MAP_CELLS)), 0.0
     mixer.weights = mixer.weights.copy()
@@ -180,19 +248,21 @@ def learn(docs: DataFrame) -> tuple[DataFrame, Mixer, np.ndarray]:
     pairs = materialise(texts.mapInArrow(lambda b: _counted(b, classes), "gate int, word binary, n bigint")
                         .groupBy("gate", "word").agg(F.sum("n").alias("n")))
     words = materialise(pairs.groupBy("word").agg(F.sum("n").alias("n")))
-    head = pairs.where(F.col("n") >= _at_most(pairs, HEAD_PAIRS)).toArrow()
-    spelled, gates = head.column("word").to_pylist(), head.column("gate").to_numpy()
-    times = head.column("n").to_numpy().astype(np.float64)
     counts = np.zeros(256)
-    for word, n in zip(spelled, times):
-        for b in word:
-            counts[b] += n
-        counts[32] += n
-    mixer = Mixer.start(counts)
-    if len(spelled):
-        order = sorted(range(len(spelled)), key=lambda i: spelled[i])  # neighbours share their first steps
-        mixer.learn_odds([spelled[i] for i in order], gates[order], times[order])
-        shared = docs.sparkSession.sparkContext.broadcast(mixer)  # a fixed size: the tables of the model
+    for r in words.mapInArrow(_spelled, "byte int, n bigint").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+        counts[r["byte"]] = r["n"]
+    distinct = pairs.count()
+    bits = max(SLOTS, int(np.ceil(np.log2(max(distinct, 1) * SLOTS_PER_PAIR))))
+    mixer = Mixer.start(counts, bits)
+    if distinct:
+        tables = pairs.mapInArrow(lambda b: _slotted(b, Mixer.start(counts, bits)),
+                                  "predictor int, block int, n int, packed binary")
+        for r in tables.groupBy("predictor", "block").applyInArrow(
+                _summed, "predictor int, block int, unset binary, ones binary").toLocalIterator():
+            at = slice(r["block"] * BLOCK, (r["block"] + 1) * BLOCK)
+            for bit in (0, 1):
+                mixer.counted[bit, r["predictor"], at] = np.frombuffer(r[("unset", "ones")[bit]], np.uint8)
+        shared = docs.sparkSession.sparkContext.broadcast(mixer)  # the summed tables: some bytes a pair
         width = len(mixer.weights.ravel())
         tasks = pairs.mapInArrow(lambda b: _weighed(b, shared), "mass double, weights array<double>, seen array<double>")
         summed = tasks.select("mass", F.posexplode(F.concat(F.transform("weights", lambda w: w * F.col("mass")), "seen"))

@@ -255,3 +255,22 @@ def test_model_beats_a_uniform_byte_model(spark):
     chars = {i: t for i, t in docs.collect()}
     bits = sum(-r.score / math.log10(2) for r in held) / sum(len(chars[r.doc_id]) + 1 for r in held)
     assert bits < 2
+
+
+def test_every_training_pair_reaches_a_predictor(spark):
+    # so many words seen once that a bound on the pairs of the model would drop them; they begin alike
+    words, own = [f"qzqz{i * 7919 % (1 << 24):06x}" for i in range(620_000)], 10_000
+    docs = spark.createDataFrame([(i, " ".join(words[i * own:(i + 1) * own])) for i in range(62)], "doc_id bigint, text string")
+    rows = lm_scoring.score(docs.repartition(4)).collect()
+    assert any(r.held_out for r in rows) and all(r.score / r.n_tokens > -10 for r in rows)  # -26.5 where all bits are even
+
+
+def test_an_occurrence_is_left_out_of_the_counts_that_predict_it():
+    mixer = Mixer.start(np.ones(256))
+    mixer.learn_odds([b"once", b"twice"], np.zeros(2, np.int64), np.array([1.0, 2.0]))
+    for word, known in ((b"once", False), (b"twice", True)):
+        s = steps([word], np.zeros(1, np.int64))
+        step, node, bit = mixer.bits(s)
+        last = step == s.taken[len(word)]
+        assert (mixer.inputs(s, step, node, bit)[0][3][last] != 0).all() == known
+        assert (mixer.inputs(s, step, node)[0][3][last] != 0).all()
