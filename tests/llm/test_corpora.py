@@ -274,3 +274,16 @@ def test_an_occurrence_is_left_out_of_the_counts_that_predict_it():
         last = step == s.taken[len(word)]
         assert (mixer.inputs(s, step, node, bit)[0][3][last] != 0).all() == known
         assert (mixer.inputs(s, step, node)[0][3][last] != 0).all()
+
+
+def test_passages_near_another_shared_run_are_found(spark):
+    draw, rows, shapes = random.Random(12), [], [(55, 22, 19), (60, 25, 30), (55, 22, 12)]
+    own = lambda n: [f"w{draw.random()}" for _ in range(n)]
+    for n in range(30):
+        head, gap, tail = shapes[n % 3]
+        same, also = own(head), own(tail)
+        rows += [(2 * n + i, " ".join(own(40) + same + own(gap) + also + own(40))) for i in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {min(r.doc_id, r.other_id) // 2: (r.first_word, r.end_word, r.equal_words)
+             for r in substring_dedup.passages(docs).collect()}
+    assert found == {n: (40, 40 + shapes[n % 3][0], shapes[n % 3][0]) for n in range(30)}
