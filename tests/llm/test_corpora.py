@@ -287,3 +287,18 @@ def test_passages_near_another_shared_run_are_found(spark):
     found = {min(r.doc_id, r.other_id) // 2: (r.first_word, r.end_word, r.equal_words)
              for r in substring_dedup.passages(docs).collect()}
     assert found == {n: (40, 40 + shapes[n % 3][0], shapes[n % 3][0]) for n in range(30)}
+
+
+def test_a_passage_that_stands_twice_is_found_twice(spark):
+    draw = random.Random(13)
+    own = lambda n: [f"w{draw.random()}" for _ in range(n)]
+    rows = []
+    for n in range(4):  # whichever of the two has the smaller key
+        same, other = own(70), own(70)
+        rows += [(2 * n, " ".join(own(20) + same + own(30) + same + own(50) + other)), (2 * n + 1, " ".join(own(10) + same + own(10)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = set()
+    for r in substring_dedup.passages(docs).collect():
+        sides = (r.doc_id, r.first_word, r.end_word), (r.other_id, r.other_first_word, r.other_end_word)
+        found |= {side for side in sides if side[0] % 2 == 0}
+    assert found == {(2 * n, first, first + 70) for n in range(4) for first in (20, 120)}
