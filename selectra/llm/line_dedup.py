@@ -1,9 +1,9 @@
 """Line dedup by pairwise alignment: patience diff between documents that share lines.
 
 Lines are compared by a hash. A line that several documents share links each of them to the earliest one that has it,
-so links grow with the lines, not with the square of a group. A rare line (held by few documents) links its holders in
-order as well, so that two late documents meet even where the earliest holder has only part of what they share. Each
-linked pair is aligned by patience diff over its shared lines, and the aligned common blocks are deleted from the later
+so links grow with the lines, not with the square of a group. So does the shortest run of lines from each line on, and
+up to each line, that is long enough to be deleted: two late documents with a block in common may have no line whose
+earliest holder has the block. Each linked pair is aligned by patience diff over its shared lines, and the aligned common blocks are deleted from the later
 document. The earliest document of a line always keeps it.
 
 The order of documents is that of their ids (null last), then of their texts; rows equal in both count as one document
@@ -20,14 +20,15 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from selectra.session import materialise
 
-#: a line is rare while at most so many documents hold it; a block is deleted from so many non-blank characters on
-RARE, LEAST_CHARS = 8, 30
+#: a block is deleted from so many non-blank characters on
+LEAST_CHARS = 30
 
 
 def document_key() -> Column:
@@ -53,12 +54,37 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(keys, numbers, hashes, sizes)
 
 
+def runs(lines: list[tuple[bytes, int]], least: int) -> set[bytes]:
+    """Hashes of the shortest runs of (hash, characters) that reach ``least``: from each line on, and up to each line."""
+    reach = np.concatenate([[0], np.cumsum([size for _, size in lines], dtype=np.int64)])
+    ends = np.searchsorted(reach, reach[:-1] + least)  # of the run from each line on
+    begins = np.searchsorted(reach, reach[1:] - least, "right") - 1  # of the run up to each line
+    pairs = {(i, j) for i, j in enumerate(ends.tolist()) if j <= len(lines)}
+    pairs |= {(i, j + 1) for j, i in enumerate(begins.tolist()) if i >= 0}
+    found = {xxhash.xxh3_128_digest(b"".join(h for h, _ in lines[i:j])) for i, j in pairs}
+    return found
+
+
 def _batch(keys, numbers, hashes, sizes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(numbers, pa.int32()),
                                        pa.array(hashes, pa.binary()), pa.array(sizes, pa.int32())],
                                       ["key", "number", "line", "chars"])
 
 
+def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, found = [], []
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            bare = ((line.strip(), len("".join(line.split()))) for line in (text.as_py() or "").split("\n"))
+            own = runs([(xxhash.xxh3_128_digest(line), size) for line, size in bare if size], least)
+            keys += [key] * len(own)
+            found += own
+            if len(keys) >= 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(found, pa.binary())], ["key", "run"])
+                keys, found = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(found, pa.binary())], ["key", "run"])
+
+
 def patience(later: list, earlier: list) -> list[tuple[int, int]]:
     """Aligned positions of equal entries: unique common entries in their longest common order, the runs around them,
     and the same again between two anchors."""
@@ -147,7 +173,7 @@ def _aligned(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(blocks, kind)], ["key", "blocks"])
 
 
-def deletions(docs: DataFrame, rare: int = RARE, least: int = LEAST_CHARS) -> DataFrame:
+def deletions(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     """Per document key (see ``document_key``) the blocks of line numbers to delete."""
     texts = docs.select(document_key().alias("key"), F.col("text").cast("string").alias("text"))
     lines = texts.mapInArrow(_lines, "key string, number int, line binary, chars int")
@@ -158,12 +184,11 @@ def deletions(docs: DataFrame, rare: int = RARE, least: int = LEAST_CHARS) -> Da
     placed = lines.dropDuplicates(["key", "number"]).withColumn("place", F.row_number().over(in_document))
     held = materialise(placed.join(shared, "line").select("key", "number", "place", "line", "chars", "owner", "holders"))
     owned = held.where(F.col("owner") != F.col("key")).select(F.col("key").alias("later"), F.col("owner").alias("earlier"))
-    # a rare line has at most ``rare`` holders: the one before in order is its second link
-    in_order = Window.partitionBy("line").orderBy("key")
-    chained = (held.where(F.col("holders") <= rare).select("line", "key").distinct()
-               .withColumn("earlier", F.lag("key").over(in_order)).where(F.col("earlier").isNotNull())
-               .select(F.col("key").alias("later"), "earlier"))
-    pairs = owned.union(chained).distinct()
+    begun = texts.mapInArrow(lambda b: _runs(b, least), "key string, run binary")
+    first = (begun.groupBy("run").agg(F.min("key").alias("earlier"), F.max("key").alias("latest"))
+             .where("earlier <> latest").select("run", "earlier"))
+    blocks = begun.join(first, "run").where("key <> earlier").select(F.col("key").alias("later"), "earlier")
+    pairs = owned.union(blocks).distinct()
     listed = held.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("number", "place", "line", "chars"))).alias("all"))
     joined = (pairs.join(listed.select(F.col("key").alias("later"), F.col("all").alias("later_lines")), "later")
               .join(listed.select(F.col("key").alias("earlier"), F.col("all").alias("earlier_lines")), "earlier")
@@ -172,9 +197,9 @@ def deletions(docs: DataFrame, rare: int = RARE, least: int = LEAST_CHARS) -> Da
     return found.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))
 
 
-def clean(docs: DataFrame, rare: int = RARE, least: int = LEAST_CHARS) -> DataFrame:
+def clean(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     """The rows of ``docs`` with their text after deletion, and _deleted: the number of lines deleted."""
-    blocks = deletions(docs, rare, least).select(F.col("key").alias("_key"), F.col("blocks").alias("_blocks"))
+    blocks = deletions(docs, least).select(F.col("key").alias("_key"), F.col("blocks").alias("_blocks"))
     lines = F.split(F.col("text").cast("string"), "\n")
     kept = F.filter(lines, lambda line, i: ~F.exists("_blocks", lambda b: (b["first"] <= i) & (i <= b["last"])))
     marked = docs.withColumn("_key", document_key()).join(blocks, "_key", "left")

@@ -302,3 +302,20 @@ def test_a_passage_that_stands_twice_is_found_twice(spark):
         sides = (r.doc_id, r.first_word, r.end_word), (r.other_id, r.other_first_word, r.other_end_word)
         found |= {side for side in sides if side[0] % 2 == 0}
     assert found == {(2 * n, first, first + 70) for n in range(4) for first in (20, 120)}
+
+
+def test_line_dedup_finds_blocks_that_no_earliest_holder_of_a_line_has(spark):
+    a, b, c = "first short line", "second short line", "third"
+    texts = {1: a, 2: b, 3: c} | {i: f"{prose(60 + i, 30)}\n{a}\n{b}\n{c}" for i in range(4, 16)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in line_dedup.clean(docs).collect()}
+    assert got == {i: t if i < 5 else prose(60 + i, 30) for i, t in texts.items()}
+
+
+def test_shortest_runs_cover_every_long_enough_block():
+    draw = random.Random(14)
+    for _ in range(50):
+        block = [(b"s%d" % i, draw.randint(1, 14)) for i in range(draw.randint(3, 9))]
+        sides = [[(b"%d" % draw.getrandbits(60), 9) for _ in range(4)] + block + [(b"%d" % draw.getrandbits(60), 9)] for _ in (0, 1)]
+        shared = line_dedup.runs(sides[0], 30) & line_dedup.runs(sides[1], 30)
+        assert bool(shared) == (sum(n for _, n in block) >= 30)
