@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from selectra.llm import (
-    decontamination, line_dedup, lm_scoring, ngram_join, packing, quality_rules, sharding, substring_dedup, token_counts,
-    toxicity)
+    decontamination, line_dedup, lm_scoring, ngram_join, packing, piece_encoding, quality_rules, sharding, substring_dedup,
+    token_counts, toxicity)
 from selectra.llm.queries_sql import QUALITY_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,9 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_substring_dedup")
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.passages(table(spark, folder, "documents"))
+
+
+@query("op12_piece_encoding")
+def op12_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    return piece_encoding.digest_documents(table(spark, folder, "documents"), vocabulary)
