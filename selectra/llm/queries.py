@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from selectra.llm import (
-    decontamination, line_dedup, lm_scoring, ngram_join, packing, piece_encoding, quality_rules, sharding, substring_dedup,
-    token_counts, toxicity)
-from selectra.llm.queries_sql import QUALITY_SQL
+    decontamination, hard_negatives, line_dedup, lm_scoring, ngram_join, packing, piece_encoding, quality_rules, sharding,
+    substring_dedup, token_counts, toxicity, vector_codes)
+from selectra.llm.queries_sql import CODES_SQL, NEGATIVES_SQL, QUALITY_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -89,7 +89,19 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.passages(table(spark, folder, "documents"))
 
 
+@query("op11_hard_negatives", NEGATIVES_SQL)
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    relabelled = table(spark, folder, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(hard_negatives.whole_rows(relabelled))
+
+
 @query("op12_piece_encoding")
 def op12_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = public_tokenizers.path("piece_bpe_32k.model")
     return piece_encoding.digest_documents(table(spark, folder, "documents"), vocabulary)
+
+
+@query("op13_vector_codes", CODES_SQL)
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.coded_rows(table(spark, folder, "embeddings"))
