@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import math
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from selectra.functions.hashing import hash_int, hash_unit, row_hash
+from selectra.functions.draws import PRIME, draws, number_of, repetition_keys
 from selectra.operators.ranking import hash_rank
-from selectra.session import materialise
+from selectra.session import materialise, spread
 
 SPLITS = ("train", "validation", "test")
 
@@ -99,41 +100,152 @@ def permute_descriptors(df: DataFrame, columns: Sequence[str], seed, candidate:
 
 
 # Resampling -----------------------------------------------------------------------
+# Only sums per (scope, repetition) are shuffled, never units x repetitions rows: the draws of a repetition are dealt to
+# buckets of units first, and each task resamples its own bucket.
+
+#: units of a bucket (about), repetitions that a task works out at once, and units whose weights it draws at once
+BUCKET_UNITS, REPETITION_BLOCK, UNIT_BLOCK = 4_096, 1_000, 512
+
 
 def bootstrap_means(units: DataFrame, scope: Sequence[str], unit: str, value: str, repetitions: int,
-                    seed) -> DataFrame:
-    """Mean of each resample (n draws with replacement out of n units) per scope.
+                    seed: int) -> DataFrame:
+    """Mean of each resample (n draws with replacement out of the n units of a scope).
 
-    Draw ``i`` of a repetition is a hash, so the draws are generated where the
-    units are; they meet the drawn unit through a join on its position, and the
-    means combine on the map side.
+    A scope lies in 2^k buckets. How many of a repetition's n draws fall into a bucket is split from the whole scope
+    downwards, half by half, by seeded binomials; each task that meets a node draws the same numbers there. Inside its
+    bucket a task draws places by hash. A scope of one bucket needs no binomials.
     """
-    placed = materialise(hash_rank(units.select(*scope, unit, value), unit, _sub(seed, "unit"), scope, "pos", "n"))
-    drawn = placed.select(
-        *scope, "pos", "n", F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("repetition"))
-    target = hash_int(row_hash(seed, "repetition", "pos")) % F.col("n") + 1
-    picks = drawn.select(*scope, "repetition", target.alias("pos"))
-    return picks.join(placed.select(*scope, "pos", value), [*scope, "pos"]).groupBy(
-        *scope, "repetition").agg(F.avg(value).alias("resampled_mean"))
+    if not scope:
+        one = units.withColumn("_every", F.lit(0))
+        return bootstrap_means(one, ["_every"], unit, value, repetitions, seed).drop("_every")
+    rows = materialise(units.select(*scope, F.col(unit).alias("_unit"), F.col(value).cast("double").alias("_x")))
+    sizes = rows.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n"))
+    most = sizes.agg(F.max("_n").alias("n")).first()["n"] or 0
+    depth = F.greatest(F.lit(0), F.ceil(F.log2(F.col("_n") / F.lit(float(BUCKET_UNITS))))).cast("int")
+    placed = rows.join(sizes.withColumn("_depth", depth), list(scope))
+    bucket = F.pmod(F.xxhash64("_unit"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_depth")))
+    buckets = placed.groupBy(*scope, bucket.alias("_bucket")).agg(
+        F.first("_n").alias("_n"), F.first("_depth").alias("_depth"),
+        F.transform(F.array_sort(F.collect_list(F.struct("_unit", "_x"))), lambda u: u["_x"]).alias("_values"))
+    for level in range(max(0, math.ceil(math.log2(max(most, 1) / BUCKET_UNITS)))):
+        down = F.col("_depth") - level
+        node = F.when(down > 0, F.call_function("shiftright", F.col("_bucket"), F.greatest(down, F.lit(0))))
+        right = F.call_function("shiftright", F.col("_bucket"), F.greatest(down - 1, F.lit(0))).bitwiseAND(F.lit(1).cast("bigint"))
+        whole = Window.partitionBy(*scope, f"_node{level}")
+        inside = F.size("_values").cast("bigint")
+        buckets = buckets.withColumn(f"_node{level}", node).withColumn(f"_right{level}", right)
+        buckets = buckets.withColumn(f"_all{level}", F.sum(inside).over(whole)).withColumn(
+            f"_left{level}", F.sum(F.when(F.col(f"_right{level}") == 0, inside).otherwise(0)).over(whole))
+    levels = sum(c.startswith("_node") for c in buckets.columns)
+    path = F.filter(F.array(*[F.struct(*[F.col(f"_{c}{i}").alias(c) for c in ("node", "right", "all", "left")])
+                              for i in range(levels)]), lambda s: s["node"].isNotNull()) if levels else F.lit(None)
+    blocks = -(-repetitions // REPETITION_BLOCK)
+    work = spread(buckets.select(
+        F.xxhash64(*scope).alias("_key"), "_bucket", "_n", "_values",
+        path.cast("array<struct<node: bigint, right: bigint, all: bigint, left: bigint>>").alias("_path"), *scope,
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")))
+    schema = T.StructType([*[units.schema[c] for c in scope], T.StructField("repetition", T.IntegerType()),
+                           T.StructField("_total", T.DoubleType()), T.StructField("_n", T.LongType())])
+    sums = work.mapInArrow(lambda b: _resampled(b, len(scope), repetitions, seed), schema)
+    return sums.groupBy(*scope, "repetition").agg((F.sum("_total") / F.first("_n")).alias("resampled_mean"))
+
+
+def _resampled(batches: Iterator[pa.RecordBatch], scopes: int, repetitions: int, seed: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            key, bucket, n, values, path = (batch.column(c)[i].as_py() for c in range(5))
+            block = batch.column(batch.num_columns - 1)[i].as_py()
+            first = block * REPETITION_BLOCK + 1
+            numbers = np.arange(first, min(first + REPETITION_BLOCK, repetitions + 1))
+            drawn = np.full(len(numbers), n)
+            for level, step in enumerate(path or []):
+                dice = np.random.default_rng([seed, key & (1 << 64) - 1, level, step["node"], block])
+                to_left = dice.binomial(drawn, step["left"] / step["all"])
+                drawn = drawn - to_left if step["right"] else to_left
+            keys, here = repetition_keys(numbers, seed), np.array(values)
+            total, most = np.zeros(len(numbers)), int(drawn.max())
+            for start in range(0, most, UNIT_BLOCK):
+                place = np.arange(start, min(start + UNIT_BLOCK, most))
+                picked = here[(draws(keys, (bucket << 21) + 1 + place) % np.uint64(len(here))).astype(np.int64)]
+                total += np.where(place[None, :] < drawn[:, None], picked, 0.0).sum(1)
+            same = pa.array(np.full(len(numbers), i))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(5 + c).take(same) for c in range(scopes)], pa.array(numbers.astype(np.int32)),
+                 pa.array(total), pa.array(np.full(len(numbers), n, np.int64))],
+                [*batch.schema.names[5:5 + scopes], "repetition", "_total", "_n"])
+
+
+def _signs(drawn: np.ndarray) -> np.ndarray:
+    return 1.0 - 2.0 * (drawn & np.uint64(1)).astype(np.float64)
+
+
+#: P(X <= k) of a Poisson count of mean 1, up to where 31 bits see no more
+POISSON_CDF = tuple(math.exp(-1.0) * sum(1.0 / math.factorial(j) for j in range(k + 1)) for k in range(13))
+
+
+def _poisson(drawn: np.ndarray) -> np.ndarray:
+    return np.searchsorted(np.array(POISSON_CDF), drawn / float(PRIME), side="right").astype(np.float64)
+
+
+WEIGHTS = {"sign": _signs, "poisson": _poisson}
+
+
+def weighted_sums(units: DataFrame, scope: Sequence[str], unit: str, value: str, repetitions: int, seed: int,
+                  weight: str) -> DataFrame:
+    """Per scope and repetition: the sum of the values under independent weights of the units ("sign": plus or minus
+    one, "poisson": a count of mean one) as ``total``, and of the weights as ``weight``.
+
+    A task keeps the sums of the scopes it meets, so that one row per task, scope and repetition is shuffled.
+    """
+    number = number_of(units.schema[unit].dataType, F.col(unit))
+    rows = spread(units.select(number.alias("_unit"), F.col(value).cast("double").alias("_x"), *scope), "_unit")
+    schema = T.StructType([*[units.schema[c] for c in scope], T.StructField("repetition", T.IntegerType()),
+                           T.StructField("_total", T.DoubleType()), T.StructField("_weight", T.DoubleType())])
+    sums = rows.mapInArrow(lambda b: _weighted(b, repetitions, seed, WEIGHTS[weight]), schema)
+    return sums.groupBy(*scope, "repetition").agg(F.sum("_total").alias("total"), F.sum("_weight").alias("weight"))
+
+
+def _weighted(batches: Iterator[pa.RecordBatch], repetitions: int, seed: int, weigh) -> Iterator[pa.RecordBatch]:
+    kept: dict[tuple, np.ndarray] = {}
+    names = []
+
+    def flush():
+        for key, sums in kept.items():
+            columns = [pa.array([v] * repetitions, kind) for v, kind in zip(key, kinds)]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(np.arange(1, repetitions + 1, dtype=np.int32)), pa.array(sums[0]), pa.array(sums[1])],
+                [*names, "repetition", "_total", "_weight"])
+        kept.clear()
+
+    for batch in batches:
+        names, kinds = batch.schema.names[2:], [f.type for f in batch.schema][2:]
+        for start in range(0, batch.num_rows, UNIT_BLOCK):
+            part = batch.slice(start, UNIT_BLOCK)
+            numbers, values = part.column(0).to_numpy(), part.column(1).to_numpy(zero_copy_only=False)
+            keys = list(zip(*[part.column(2 + c).to_pylist() for c in range(len(names))])) or [()] * len(numbers)
+            places: dict[tuple, list[int]] = {}
+            for i, key in enumerate(keys):
+                places.setdefault(key, []).append(i)
+            distinct, which = np.unique(numbers, return_inverse=True)
+            for first in range(0, repetitions, REPETITION_BLOCK):
+                last = min(first + REPETITION_BLOCK, repetitions)
+                weights = weigh(draws(repetition_keys(np.arange(first + 1, last + 1), seed), distinct))
+                for key, here in places.items():
+                    mine = weights[:, which[here]]
+                    sums = kept.setdefault(key, np.zeros((2, repetitions)))
+                    sums[0, first:last] += mine @ values[here]
+                    sums[1, first:last] += mine.sum(1)
+            if len(kept) > 64:
+                yield from flush()
+    yield from flush()
 
 
 def poisson_bootstrap_means(units: DataFrame, scope: Sequence[str], unit: str, value: str,
-                            repetitions: int, seed) -> DataFrame:
-    """Streaming-friendly variant: every unit gets an independent Poisson(1) weight.
-
-    No positions and no join: one pass with map-side sums, for very many units.
-    """
-    copies = units.select(
-        *scope, unit, value, F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("repetition"))
-    u = hash_unit(row_hash(seed, "repetition", unit))
-    weight, cdf, term = F.lit(0), 0.0, math.exp(-1.0)
-    for k in range(10):
-        cdf += term
-        term /= k + 1
-        weight = weight + F.when(u >= F.lit(cdf), 1).otherwise(0)
-    weighed = copies.withColumn("_w", weight)
-    return weighed.groupBy(*scope, "repetition").agg(
-        F.try_divide(F.sum(F.col("_w") * F.col(value)), F.sum("_w")).alias("resampled_mean"))
+                            repetitions: int, seed: int) -> DataFrame:
+    """Streaming-friendly variant: every unit gets an independent Poisson(1) weight, one pass without positions."""
+    sums = weighted_sums(units, scope, unit, value, repetitions, seed, "poisson")
+    return sums.select(*scope, "repetition", F.try_divide(
+        F.col("total"), F.nullif(F.col("weight"), F.lit(0.0))).alias("resampled_mean"))
 
 
 def percentile_interval(means: DataFrame, scope: Sequence[str], low: float = 0.025, high: float = 0.975) -> DataFrame:

@@ -6,13 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from selectra.functions.hashing import hash_int, row_hash
 from selectra.functions.scalar import two_sided_normal_p
 from selectra.operators.aggregates import explode_scopes, share
 from selectra.operators.joins import one_to_one
 from selectra.operators.ranking import exact_quantiles, running_total
-from selectra.operators.splits import bootstrap_means, percentile_interval
-from selectra.session import materialise
+from selectra.operators.splits import bootstrap_means, percentile_interval, weighted_sums
+from selectra.session import materialise, spread
 
 Z95 = 1.96
 EXACT_UNITS = 20
@@ -103,8 +102,14 @@ def _exact(rows, sizes, scope, unit, value, tolerance):
     because a vector and its negation have the same absolute mean."""
     few = rows.join(sizes, list(scope)).groupBy(*scope, "units", "observed").agg(
         F.array_sort(F.collect_list(F.struct(unit, value))).alias("_x"))
-    vectors = few.withColumn("_v", F.explode(F.sequence(
-        F.lit(0).cast("bigint"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("units") - 1).cast("int")) - 1)))
+    # blocks of at most 4,096 vectors are dealt out before they are spelled
+    one, block = F.lit(1).cast("bigint"), 12
+    left = lambda bits: F.call_function("shiftleft", one, bits.cast("int"))
+    high = F.greatest(F.col("units") - 1 - block, F.lit(0))
+    blocks = spread(few.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), left(high) - 1))))
+    vectors = blocks.select(
+        "*", F.explode(F.sequence(F.lit(0).cast("bigint"), left(F.least(F.col("units") - 1, F.lit(block))) - 1)).alias("_low")
+    ).withColumn("_v", F.col("_block") * (1 << block) + F.col("_low"))
     signed = F.transform(
         "_x", lambda x, i: F.when(
             (i > 0) & (F.call_function("shiftright", F.col("_v"), F.greatest(i - 1, F.lit(0))).bitwiseAND(
@@ -115,10 +120,8 @@ def _exact(rows, sizes, scope, unit, value, tolerance):
 
 
 def _sampled(rows, sizes, scope, unit, value, draws, seed, tolerance):
-    flipped = rows.join(sizes, list(scope)).withColumn(
-        "_r", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    sign = F.when(hash_int(row_hash(seed, "_r", unit)) % 2 == 1, -F.col(value)).otherwise(F.col(value))
-    means = flipped.groupBy(*scope, "units", "observed", "_r").agg(F.abs(F.sum(sign) / F.first("units")).alias("_m"))
+    sums = weighted_sums(rows, scope, unit, value, draws, seed, "sign")
+    means = sums.join(sizes, list(scope)).withColumn("_m", F.abs(F.col("total") / F.col("units")))
     hits = F.count_if(F.col("_m") >= F.col("observed") - F.lit(tolerance))
     return means.groupBy(*scope, "units").agg(((hits + 1) / F.lit(float(draws + 1))).alias("pvalue"))
 

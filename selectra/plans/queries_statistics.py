@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from selectra.functions.draws import PRIME, draws_sql, keys_sql
 from selectra.functions.scalar import ERFC_FIT
 from selectra.operators import aggregates, splits, statistics
 from selectra.operators.ranking import average_ranks
@@ -165,10 +166,11 @@ def _(t: Tables):
 
 
 def _boot_sql(units: str, seed: int = SEED) -> str:
-    return f"""placed AS (SELECT scope, entity, d, row_number() OVER (PARTITION BY scope ORDER BY
-        md5('{seed}|unit|' || CAST(entity AS VARCHAR)), entity) AS pos, count(*) OVER (PARTITION BY scope) AS n FROM {units}),
-    drawn AS (SELECT scope, r, CAST('0x' || substr(md5('{seed}|' || CAST(r AS VARCHAR) || '|' || CAST(pos AS VARCHAR)), 1, 8) AS BIGINT) % n + 1 AS pos
-      FROM placed, (SELECT unnest(range(1, {REPETITIONS + 1})) AS r)),
+    drawn = draws_sql("(SELECT scope, n, pos AS i, r, a, b FROM placed, reps)", "i")
+    return f"""placed AS MATERIALIZED (SELECT scope, entity, d, row_number() OVER (PARTITION BY scope ORDER BY entity) AS pos,
+        count(*) OVER (PARTITION BY scope) AS n FROM {units}),
+    reps AS MATERIALIZED {keys_sql(REPETITIONS, seed)},
+    drawn AS (SELECT scope, r, h % n + 1 AS pos FROM {drawn}),
     boot AS (SELECT scope, r, avg(d) AS m FROM drawn JOIN placed USING (scope, pos) GROUP BY ALL)"""
 
 
@@ -188,23 +190,18 @@ def _(t: Tables):
 
 
 def _poisson_weight(u: str) -> str:
-    import math
+    return " + ".join(f"CAST({u} >= {p!r}::DOUBLE AS INTEGER)" for p in splits.POISSON_CDF)
 
-    cdf, term, parts = 0.0, math.exp(-1.0), []
-    for k in range(10):
-        cdf += term
-        term /= k + 1
-        parts.append(f"CAST({u} >= {cdf!r}::DOUBLE AS INTEGER)")
-    return " + ".join(parts)
+
+_WEIGHED = draws_sql("(SELECT scope, r, a, b, d, entity FROM units, reps)", "entity")
 
 
 @query("bootstrap_ci_poisson", rounded_sql(sql(f"""
     SELECT scope, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM (
       SELECT scope, r, sum(w * d) / sum(w) AS m FROM (
         SELECT scope, r, d, {_poisson_weight("q")} AS w FROM (
-          SELECT scope, r, d, CAST('0x' || substr(md5('2027|' || CAST(r AS VARCHAR) || '|' || CAST(entity AS VARCHAR)), 1, 8) AS BIGINT)
-                 / 4294967296.0::DOUBLE AS q FROM units, (SELECT unnest(range(1, {REPETITIONS + 1})) AS r))) GROUP BY ALL) GROUP BY ALL""",
-    "cases", extra=_UNITS), "ci_low ci_high"))
+          SELECT scope, r, d, h / {PRIME}::DOUBLE AS q FROM {_WEIGHED})) GROUP BY ALL) GROUP BY ALL""",
+    "cases", extra=_UNITS + f", reps AS MATERIALIZED {keys_sql(REPETITIONS, SEED)}"), "ci_low ci_high"))
 def _(t: Tables):
     means = splits.poisson_bootstrap_means(_units(t), ["scope"], "entity", "d", REPETITIONS, SEED)
     return rounded(splits.percentile_interval(means, ["scope"]))
@@ -216,8 +213,8 @@ _CLUSTER = """units AS (SELECT scope, entity, round(avg(selected_minus_fixed), 9
     sized AS (SELECT scope, entity, d, row_number() OVER (PARTITION BY scope ORDER BY entity) - 1 AS i,
       count(*) OVER (PARTITION BY scope) AS n, abs(avg(d) OVER (PARTITION BY scope)) AS observed FROM units),
     sampled AS (SELECT scope, (count(*) FILTER (m >= o - 1e-15) + 1) / {DRAWS + 1}.0::DOUBLE AS p FROM (
-      SELECT scope, r, max(observed) AS o, abs(sum(CASE WHEN CAST('0x' || substr(md5('2027|' || CAST(r AS VARCHAR) || '|' || CAST(entity AS VARCHAR)), 1, 8) AS BIGINT) % 2 = 1
-        THEN -d ELSE d END) / max(n)) AS m FROM sized, (SELECT unnest(range(1, {DRAWS + 1})) AS r) GROUP BY scope, r) GROUP BY scope),
+      SELECT scope, r, max(observed) AS o, abs(sum(CASE WHEN h % 2 = 1 THEN -d ELSE d END) / max(n)) AS m
+      FROM {draws_sql("(SELECT scope, r, a, b, d, n, observed, entity FROM sized, reps)", "entity")} GROUP BY scope, r) GROUP BY scope),
     flips AS (SELECT * FROM sampled),
     holm AS (SELECT scope, max(least(1.0::DOUBLE, (m - k + 1) * p)) OVER (ORDER BY k) AS holm_pvalue FROM (
       SELECT *, row_number() OVER (ORDER BY p, scope) AS k, count(*) OVER () AS m FROM flips WHERE scope LIKE '%\\_%' ESCAPE '\\'))"""
