@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Bucketizer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
+from selectra.operators import trees
 from selectra.operators.aggregates import regression_metrics, share
 from selectra.operators.selection import score_cases
 from selectra.operators.splits import permute_units
+from selectra.session import materialise
 from selectra.sources.registries import BUDGETS, expand_budgets
 
 ScoreFn = Callable[[DataFrame], DataFrame]
@@ -61,18 +63,25 @@ class Fitted:
 
 
 @dataclass(frozen=True)
-class Averaged:
-    """The mean score of several scoring functions, in one pass over the rows."""
+class GrownTrees:
+    """A node table as a scoring function: a start and the sum of the trees' values, or their mean."""
 
-    members: tuple[PipelineModel, ...]
+    encoder: PipelineModel
+    nodes: DataFrame
+    start: float = 0.0
+    mean_of: int = 1
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        names = df.columns
-        scored = df
-        for i, model in enumerate(self.members):
-            scored = model.transform(scored).select(*names, *[f"_p{j}" for j in range(i)], F.col("prediction").alias(f"_p{i}"))
-        total = reduce(lambda a, b: a + b, [F.col(f"_p{i}") for i in range(len(self.members))])
-        return scored.select(*names, (total / len(self.members)).alias("score"))
+        x = vector_to_array("features")
+        rows = materialise(self.encoder.transform(df).select(
+            *df.columns, x.alias("x"), F.monotonically_increasing_id().alias("_row")))
+        sums = trees.tree_sums(rows, self.nodes)
+        score = F.lit(self.start) + F.col("_sum") / F.lit(float(self.mean_of))
+        return rows.join(sums, "_row").select(*df.columns, score.alias("score"))
+
+
+def tree_rows(encoder: PipelineModel, df: DataFrame, target: str) -> DataFrame:
+    return encoder.transform(df).select(vector_to_array("features").alias("x"), F.col(target).cast("double").alias("y"))
 
 
 def fit_ridge(train: DataFrame, features: FeatureSet, target: str, alpha: float = 1.0) -> Fitted:
@@ -90,42 +99,27 @@ def fit_ridge(train: DataFrame, features: FeatureSet, target: str, alpha: float
     return Fitted(Pipeline(stages=stages).fit(train))
 
 
-def fit_forest(train: DataFrame, features: FeatureSet, target: str, trees: int = 500, depth: int = 20,
+def fit_forest(train: DataFrame, features: FeatureSet, target: str, count: int = 500, depth: int = 20,
                leaf: int = 2, seed: int = 2027) -> Fitted:
-    model = RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf,
+    model = RandomForestRegressor(labelCol=target, numTrees=count, maxDepth=depth, minInstancesPerNode=leaf,
                                   featureSubsetStrategy="all", seed=seed, cacheNodeIds=True)
     return Fitted(Pipeline(stages=[*encode_stages(features), model]).fit(train))
 
 
 def fit_boosted(train: DataFrame, features: FeatureSet, target: str, rounds: int = 300, rate: float = 0.05,
-                depth: int = 4, seed: int = 2027) -> Fitted:
-    """Gradient boosting; the depth stands for the leaf limit, which MLlib lacks."""
-    model = GBTRegressor(labelCol=target, maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed)
-    return Fitted(Pipeline(stages=[*encode_stages(features), model]).fit(train))
-
-
-def fit_extra_trees(train: DataFrame, features: FeatureSet, target: str, trees: int = 500, cuts: int = 8,
-                    depth: int = 20, leaf: int = 2, seed: int = 2027) -> Averaged:
-    """Extremely randomised trees, approximated: every tree sees all rows, but
-    each number only through a few random cut points drawn for that tree."""
-    spans = train.agg(*[F.min(c).alias(f"lo_{c}") for c in features.numeric],
-                      *[F.max(c).alias(f"hi_{c}") for c in features.numeric]).first()
-    fitted = []
-    for t in range(trees):
-        draw = random.Random(f"{seed}|{t}")
-        splits, cut, names = [], [], []
-        for c in features.numeric:
-            lo, hi = float(spans[f"lo_{c}"]), float(spans[f"hi_{c}"])
-            edges = sorted({draw.uniform(lo, hi) for _ in range(cuts)} - {lo, hi}) if hi > lo else []
-            if edges:
-                splits.append([-float("inf"), *edges, float("inf")])
-                cut.append(c)
-                names.append(f"_b_{c}")
-        stages = [Bucketizer(splitsArray=splits, inputCols=cut, outputCols=names, handleInvalid="keep")] if cut else []
-        coarse = FeatureSet(features.name, tuple(names), features.categorical)
-        tree = DecisionTreeRegressor(labelCol=target, maxDepth=depth, minInstancesPerNode=leaf, seed=seed + t)
-        fitted.append(Pipeline(stages=[*stages, *encode_stages(coarse), tree]).fit(train))
-    return Averaged(tuple(fitted))
+                leaves: int = 15, l2: float = 1.0, leaf: int = 20) -> GrownTrees:
+    """Gradient boosting with a leaf limit and an L2 term on the leaf values."""
+    encoder = Pipeline(stages=encode_stages(features)).fit(train)
+    nodes, start = trees.grow_boosted(tree_rows(encoder, train, target),
+                                      trees.Boosting(rounds, rate, leaves, l2, leaf))
+    return GrownTrees(encoder, nodes, start)
+
+
+def fit_extra_trees(train: DataFrame, features: FeatureSet, target: str, count: int = 500, leaf: int = 2,
+                    seed: int = 2027) -> GrownTrees:
+    """Extremely randomised trees on all rows, without a depth limit."""
+    encoder = Pipeline(stages=encode_stages(features)).fit(train)
+    return GrownTrees(encoder, trees.grow_extra_trees(tree_rows(encoder, train, target), count, leaf, seed), 0.0, count)
 
 
 def fit_line(train: DataFrame, x: str, target: str) -> DataFrame:
