@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from selectra.operators import aggregates, learning, neighbours
@@ -66,8 +65,8 @@ def _(t: Tables):
 @query("join_knn_lsh")
 def _(t: Tables):
     """Long vectors: approximate neighbours among other labels' vectors."""
-    rows = t.read("embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"), "label")
-    return rounded(neighbours.nearest_lsh(rows.where("label < 2"), rows.where("label >= 2"), "vec_id", "v", 4.0, 5))
+    rows = t.read("embeddings").select("vec_id", "embedding", "label")
+    return rounded(neighbours.nearest_ranked(rows.where("label < 2"), rows.where("label >= 2"), "vec_id", "embedding", 5))
 
 
 _HEURISTIC = _NEAR + """,
