@@ -9,7 +9,10 @@ lists the pairs or wedges of a graph.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from selectra.functions.hashing import hash_int, hash_unit, row_hash
 from selectra.operators import small_graphs as small
@@ -62,6 +65,26 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("graph_id", F.inline(arcs))
 
 
+#: other ends of a node's edges that lie in one part: a hub's edges are dealt by the part of their other end
+PART_NODES = 4_096
+
+
+def _part(node) -> Column:
+    return F.floor((F.col(node) if isinstance(node, str) else node) / PART_NODES).cast("bigint")
+
+
+def attach(rows: DataFrame, end: str, other: str, values: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows with what ``values`` holds for their node ``end`` (and ``keys``), without a task that holds a hub's rows.
+
+    ``values`` has columns graph_id, ``end``, the keys and others. It first meets the few parts in which the node has
+    other ends, then the rows of each part.
+    """
+    on = ["graph_id", end, *keys]
+    dealt = rows.withColumn("_part", _part(other))
+    met = dealt.select(*on, "_part").distinct().join(values, on)
+    return dealt.join(met, [*on, "_part"]).drop("_part")
+
+
 def degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Degree of every vertex, 0 for isolated ones."""
     counted = both_ways(edges).groupBy("graph_id", F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
@@ -88,37 +111,47 @@ def neighbour_masks(edges: DataFrame) -> DataFrame:
         "graph_id", F.col("a").alias("node"), _block("b").alias("block")).agg(F.bit_or(_bit("b")).alias("mask"))
 
 
-def edge_triangles(edges: DataFrame) -> DataFrame:
-    """Common neighbours of the two ends of each edge.
+def oriented(edges: DataFrame) -> DataFrame:
+    """Each edge from the end of smaller degree (ties: smaller number) to the other, as (graph_id, a, b): nobody has
+    more than about the square root of twice the edges before it, hubs have the fewest."""
+    counted = both_ways(edges).withColumn("_part", _part("b")).groupBy("graph_id", "a", "_part").agg(
+        F.count(F.lit(1)).alias("_c")).groupBy("graph_id", "a").agg(F.sum("_c").alias("degree"))
+    of = lambda end, name: counted.select("graph_id", F.col("a").alias(end), F.col("degree").alias(name))
+    sized = attach(attach(edges, "u", "v", of("u", "_du")), "v", "u", of("v", "_dv"))
+    swap = F.struct("_du", "u") > F.struct("_dv", "v")
+    return sized.select("graph_id", F.when(swap, F.col("v")).otherwise(F.col("u")).alias("a"),
+                        F.when(swap, F.col("u")).otherwise(F.col("v")).alias("b"))
 
-    Every edge meets the mask rows of its end with fewer of them, which bounds
-    the work by the arboricity instead of the largest degree.
-    """
-    masks = neighbour_masks(edges)
-    sizes = masks.groupBy("graph_id", "node").agg(F.count(F.lit(1)).alias("_s"))
-    left = sizes.select("graph_id", F.col("node").alias("u"), F.col("_s").alias("_su"))
-    right = sizes.select("graph_id", F.col("node").alias("v"), F.col("_s").alias("_sv"))
-    sized = edges.join(left, ["graph_id", "u"]).join(right, ["graph_id", "v"])
-    swap = F.col("_su") > F.col("_sv")
-    ends = sized.select("graph_id", "u", "v", F.when(swap, F.col("v")).otherwise(F.col("u")).alias("_few"),
-                        F.when(swap, F.col("u")).otherwise(F.col("v")).alias("_many"))
-    few = masks.select("graph_id", F.col("node").alias("_few"), "block", F.col("mask").alias("_ma"))
-    many = masks.select("graph_id", F.col("node").alias("_many"), "block", F.col("mask").alias("_mb"))
-    met = ends.join(few, ["graph_id", "_few"]).join(many, ["graph_id", "_many", "block"])
-    return met.groupBy("graph_id", "u", "v").agg(
-        F.sum(F.bit_count(F.col("_ma").bitwiseAND(F.col("_mb")))).alias("common"))
+
+def _masks(arcs: DataFrame, node: str, other: str) -> DataFrame:
+    return arcs.groupBy("graph_id", F.col(node).alias("node"), _block(other).alias("block")).agg(
+        F.bit_or(_bit(other)).alias("mask"))
 
 
 def node_triangles(edges: DataFrame) -> DataFrame:
-    """Triangles through each node that has any: half the sum over its edges."""
-    return both_with(edge_triangles(edges), "common").groupBy("graph_id", F.col("a").alias("node")).agg(
-        (F.sum("common") / 2).cast("bigint").alias("triangles"))
+    """Triangles through each node that has any.
+
+    With edges pointing to higher degrees, a triangle has a first, a middle and a last node. Along a -> b, the common
+    later nodes of both count the triangles in which a is first and b in the middle; those after a and before b count
+    the triangles in which b is last. Only the later nodes of a, which are few, are met with the masks of b, and those
+    of a hub b are dealt by the part of a.
+    """
+    arcs = materialise(oriented(edges))
+    later = materialise(_masks(arcs, "a", "b"))
+    asked = materialise(attach(arcs, "a", "b", later.select("graph_id", F.col("node").alias("a"), "block", "mask")))
 
+    def common(side: DataFrame, name: str) -> DataFrame:
+        masks = side.select("graph_id", F.col("node").alias("b"), "block", F.col("mask").alias("_other"))
+        met = attach(asked, "b", "a", masks, ["block"])
+        return met.select("graph_id", "a", "b", F.bit_count(F.col("mask").bitwiseAND(F.col("_other"))).cast("bigint").alias(name))
 
-def both_with(edges: DataFrame, column: str) -> DataFrame:
-    arcs = F.array(F.struct(F.col("u").alias("a"), F.col(column).alias(column)),
-                   F.struct(F.col("v").alias("a"), F.col(column).alias(column)))
-    return edges.select("graph_id", F.inline(arcs))
+    inner = common(later, "_c").where("_c > 0")
+    outer = common(_masks(arcs, "b", "a"), "_c").where("_c > 0")
+    # part sums first: a hub is the end of very many edges
+    of = lambda df, end, other: df.groupBy("graph_id", F.col(end).alias("node"), _part(other).alias("_p")).agg(
+        F.sum("_c").alias("_c"))
+    every = of(inner, "a", "b").unionByName(of(inner, "b", "a")).unionByName(of(outer, "b", "a"))
+    return every.groupBy("graph_id", "node").agg(F.sum("_c").cast("bigint").alias("triangles"))
 
 
 def clustering(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -156,7 +189,7 @@ def assortativity_by_joins(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     d = degrees(vertices, edges)
     du = d.select("graph_id", F.col("node").alias("u"), F.col("degree").alias("_du"))
     dv = d.select("graph_id", F.col("node").alias("v"), F.col("degree").alias("_dv"))
-    products = edges.join(du, ["graph_id", "u"]).join(dv, ["graph_id", "v"]).groupBy("graph_id").agg(
+    products = attach(attach(edges, "u", "v", du), "v", "u", dv).groupBy("graph_id").agg(
         F.sum(F.col("_du") * F.col("_dv")).alias("_xy"))
     x = F.col("degree")
     moments = d.groupBy("graph_id").agg(
@@ -177,26 +210,41 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def components_by_joins(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """The same by label propagation, for graphs of any size.
+    """The same for graphs of any size, by alternating stars.
 
-    Each round takes the smallest label among the neighbours and then follows
-    the label one step (pointer jumping), so long paths shrink geometrically.
-    Every step is checkpointed: a frame used twice per round would otherwise
-    double the plan each time.
+    Edges point from the larger to the smaller node. A large star hangs every larger neighbour of a node on the smallest
+    node around it, a small star every smaller one; both keep the components, and after about as many rounds as the
+    logarithm of the longest path every node hangs on the smallest of its component. The centre of a giant component
+    has as many edges as nodes; they are dealt by the part of their other end (``attach``).
     """
-    arcs = materialise(both_ways(edges))
-    labels = materialise(vertices.select("graph_id", "node", F.col("node").alias("component")))
-    while True:
-        seen = labels.select("graph_id", F.col("node").alias("b"), F.col("component").alias("_c"))
-        offered = arcs.join(seen, ["graph_id", "b"]).groupBy("graph_id", F.col("a").alias("node")).agg(F.min("_c").alias("_o"))
-        lower = materialise(labels.join(offered, ["graph_id", "node"], "left").select(
-            "graph_id", "node", F.least("component", "_o").alias("component"), F.col("component").alias("_old")))
-        jump = lower.select("graph_id", F.col("node").alias("component"), F.col("component").alias("_j"))
-        stepped = materialise(lower.join(jump, ["graph_id", "component"]).select(
-            "graph_id", "node", F.col("_j").alias("component"), (F.col("_j") != F.col("_old")).alias("_moved")))
-        labels = stepped.drop("_moved")
-        if stepped.where("_moved").isEmpty():
-            return labels
+    links = materialise(edges.select("graph_id", F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).where("a > b"))
+    seen = _mark(links)
+    while seen[0]:
+        around = links.select("graph_id", "a", "b").unionByName(links.select("graph_id", F.col("b").alias("a"), F.col("a").alias("b")))
+        large = materialise(attach(around, "a", "b", _smallest(around)).where("b > a").select(
+            "graph_id", F.col("b").alias("a"), F.least("a", "_m").alias("b")).distinct())
+        small_ = attach(large, "a", "b", _smallest(large))
+        hung = F.array(F.struct(F.col("b").alias("a"), F.col("_m").alias("b")), F.struct("a", F.col("_m").alias("b")))
+        links = materialise(small_.select("graph_id", F.inline(hung)).where("a > b").distinct())
+        now = _mark(links)
+        if now == seen:
+            break
+        seen = now
+    hung = links.select("graph_id", F.col("a").alias("node"), F.col("b").alias("component"))
+    return vertices.select("graph_id", "node").join(hung, ["graph_id", "node"], "left").select(
+        "graph_id", "node", F.coalesce("component", "node").alias("component"))
+
+
+def _smallest(arcs: DataFrame) -> DataFrame:
+    """The smallest other end of each node, over part minima."""
+    parts = arcs.groupBy("graph_id", "a", _part("b").alias("_p")).agg(F.min("b").alias("_m"))
+    return parts.groupBy("graph_id", "a").agg(F.min("_m").alias("_m"))
+
+
+def _mark(links: DataFrame) -> tuple:
+    """Number and checksum of the edges: equal marks, equal edges."""
+    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("graph_id", "a", "b")),
+                           F.sum(F.xxhash64("a", "graph_id", "b") % 1_000_003)).first())
 
 
 def component_stats(components: DataFrame) -> DataFrame:
@@ -256,7 +304,7 @@ def paths_by_joins(vertices: DataFrame, edges: DataFrame, components: DataFrame
 
 def _bfs_level(state: DataFrame, arcs: DataFrame, key: list[str], level: int) -> DataFrame:
     moving = state.where("front <> 0").select("graph_id", "block", F.col("node").alias("a"), "front")
-    came = arcs.join(moving, ["graph_id", "a"]).groupBy(
+    came = attach(arcs, "a", "b", moving).groupBy(
         "graph_id", "block", F.col("b").alias("node")).agg(F.bit_or("front").alias("came"))
     joined = state.join(came, key, "full_outer")
     zero = F.lit(0).cast("bigint")
@@ -270,6 +318,60 @@ def _bfs_level(state: DataFrame, arcs: DataFrame, key: list[str], level: int) ->
         F.when(gained > 0, F.lit(level).cast("bigint")).otherwise(F.coalesce("far", zero)).alias("far"))
 
 
+def diameters(vertices: DataFrame, edges: DataFrame, components: DataFrame | None = None) -> DataFrame:
+    """(graph_id, diameter, searches) of the largest component by few searches.
+
+    A search from v gives every node w at distance d an eccentricity of at least max(d, ecc(v) - d) and at most
+    ecc(v) + d. All graphs search at once, each from the nodes that may lie farthest out (twice as many every round) and
+    from the one that may lie most central; a graph is done when no upper bound exceeds the largest distance seen. A
+    component of one node has a null diameter.
+    """
+    comp = components_by_joins(vertices, edges) if components is None else components
+    big = component_stats(comp).select("graph_id", F.col("largest_component").alias("component"))
+    inside = comp.join(big, ["graph_id", "component"]).select("graph_id", "node")
+    arcs = materialise(both_ways(edges).join(
+        inside.select("graph_id", F.col("node").alias("a")), ["graph_id", "a"], "left_semi"))
+    number = lambda v: F.lit(v).cast("bigint")
+    bounds = materialise(inside.withColumn("low", number(0)).withColumn("high", F.lit(None).cast("bigint")))
+    graphs_ = bounds.groupBy("graph_id").agg(F.count(F.lit(1)).alias("size"))
+    found = graphs_.select("graph_id", "size", number(0).alias("searches"), number(0).alias("best"))
+    found = materialise(found)
+    todo, together = found.where("size > 1").select("graph_id"), 1
+    while not todo.isEmpty():
+        open_ = bounds.join(todo, "graph_id")
+        outer = Window.partitionBy("graph_id").orderBy(F.desc_nulls_first("high"), "low", "node")
+        inner = Window.partitionBy("graph_id").orderBy("low", F.asc_nulls_last("high"), "node")
+        picked = open_.select("graph_id", "node", F.row_number().over(outer).alias("_o"), F.row_number().over(inner).alias(
+            "_i")).where((F.col("_o") <= together) | (F.col("_i") == 1)).select("graph_id", F.col("node").alias("source"))
+        together *= 2
+        distances = _search(picked, arcs)
+        reach = distances.groupBy("graph_id", "source").agg(F.max("d").alias("_e"))
+        told = distances.join(reach, ["graph_id", "source"]).groupBy("graph_id", "node").agg(
+            F.max(F.greatest("d", F.col("_e") - F.col("d"))).alias("_low"), F.min(F.col("_e") + F.col("d")).alias("_high"))
+        bounds = materialise(bounds.join(told, ["graph_id", "node"], "left").select(
+            "graph_id", "node", F.greatest("low", "_low").alias("low"), F.least("high", "_high").alias("high")))
+        gain = reach.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_n"), F.max("_e").alias("_m"))
+        found = materialise(found.join(gain, "graph_id", "left").select(
+            "graph_id", "size", (F.col("searches") + F.coalesce("_n", number(0))).alias("searches"),
+            F.greatest("best", "_m").alias("best")))
+        widest = bounds.groupBy("graph_id").agg(F.max("high").alias("_h"))
+        todo = materialise(found.join(widest, "graph_id").where("size > 1 AND _h > best").select("graph_id"))
+    return vertices.select("graph_id").distinct().join(found, "graph_id", "left").select(
+        "graph_id", F.when(F.col("size") > 1, F.col("best")).alias("diameter"), "searches")
+
+
+def _search(sources: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(graph_id, source, node, d): breadth-first distances from each source."""
+    front = materialise(sources.select("graph_id", "source", F.col("source").alias("node"), F.lit(0).cast("bigint").alias("d")))
+    levels = [front.limit(0), front]
+    while not levels[-1].isEmpty():
+        came = attach(arcs, "a", "b", levels[-1].withColumnRenamed("node", "a")).select(
+            "graph_id", "source", F.col("b").alias("node"), (F.col("d") + 1).alias("d")).distinct()
+        known = levels[-1].unionByName(levels[-2])  # a neighbour is at most one level away
+        levels.append(materialise(came.join(known, ["graph_id", "source", "node"], "left_anti")))
+    return reduce(DataFrame.unionByName, levels[1:-1])
+
+
 # Spectra ------------------------------------------------------------------------------
 
 def spectrum(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -136,6 +136,22 @@ class Tables:
         return self.graph_lines(nodes).select("graph_id").distinct().withColumn(
             "node", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nodes - 1).cast("bigint"))))
 
+    @property
+    def wide_edges(self) -> DataFrame:
+        """Two graphs that grow with the suppliers: in graph 0 suppliers meet line numbers (hubs) and the next supplier,
+        in graph 1 they form chains of twelve."""
+        s = F.col("l_suppkey").cast("bigint")
+        edge = lambda g, u, v: F.struct(F.lit(g).cast("bigint").alias("graph_id"), F.least(u, v).alias("u"), F.greatest(u, v).alias("v"))
+        made = F.filter(F.array(
+            F.when(F.col("l_quantity") >= 40, edge(0, F.col("l_linenumber").cast("bigint"), s + 10)),
+            F.when(s % 4 != 0, edge(0, s + 10, s + 11)), F.when(s % 12 != 11, edge(1, s, s + 1))), lambda e: e.isNotNull())
+        return self.read("lineitem").select(F.inline(made)).distinct()
+
+    @property
+    def wide_vertices(self) -> DataFrame:
+        ends = self.wide_edges.select("graph_id", F.explode(F.array("u", "v")).alias("node"))
+        return ends.distinct()
+
     def counts(self, nodes: int = CUT_NODES) -> DataFrame:
         return self.graph_lines(nodes).groupBy("graph_id", "mask").agg(F.sum("freq").alias("freq"))
 
@@ -258,6 +274,12 @@ for _n, _tag in ((NODES, ""), (CUT_NODES, "10")):
         SELECT graph_id, node FROM (SELECT DISTINCT graph_id FROM lines{_tag}), (SELECT unnest(range({_n})) AS node)""")
     CTES[f"counts{_tag}"] = ((f"lines{_tag}",), f"""
         SELECT graph_id, mask, CAST(sum(freq) AS BIGINT) AS freq FROM lines{_tag} GROUP BY ALL""")
+CTES["wide_edges"] = ((), """
+    SELECT DISTINCT 0::BIGINT AS graph_id, CAST(l_linenumber AS BIGINT) AS u, l_suppkey + 10 AS v FROM lineitem WHERE l_quantity >= 40
+    UNION SELECT 0, l_suppkey + 10, l_suppkey + 11 FROM lineitem WHERE l_suppkey % 4 <> 0
+    UNION SELECT 1, l_suppkey, l_suppkey + 1 FROM lineitem WHERE l_suppkey % 12 <> 11""")
+CTES["wide_vertices"] = (("wide_edges",), "SELECT graph_id, u AS node FROM wide_edges UNION SELECT graph_id, v FROM wide_edges")
+CTES["wide_arcs"] = (("wide_edges",), "SELECT graph_id, u AS a, v AS b FROM wide_edges UNION ALL SELECT graph_id, v, u FROM wide_edges")
 CTES["arcs"] = (("edges",), "SELECT graph_id, u AS a, v AS b FROM edges UNION ALL SELECT graph_id, v, u FROM edges")
 CTES["degrees"] = (("vertices", "arcs"), """
     SELECT v.graph_id, v.node, count(a.b) AS degree FROM vertices v

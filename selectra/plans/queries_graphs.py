@@ -249,6 +249,56 @@ def _(t: Tables):
     return aggregates.histogram(graphs.degree_stats(t.vertices(), t.edges()), "num_edges", 8)
 
 
+# graphs that grow with the data: hubs, a giant component, long chains ------------------------------
+
+_WIDE_WALK = """walk(graph_id, source, target, d) AS (SELECT graph_id, node, node, 0 FROM wide_vertices
+      UNION SELECT w.graph_id, w.source, a.b, w.d + 1 FROM walk w JOIN wide_arcs a ON a.graph_id = w.graph_id AND a.a = w.target
+      WHERE w.d < CASE w.graph_id WHEN 0 THEN 6 ELSE 12 END),
+    shortest AS (SELECT graph_id, source, target, min(d) AS d FROM walk GROUP BY ALL),
+    labels AS (SELECT graph_id, target AS node, min(source) AS component FROM shortest GROUP BY ALL),
+    sizes AS (SELECT graph_id, component, count(*) AS size FROM labels GROUP BY ALL),
+    big AS (SELECT graph_id, component FROM (SELECT graph_id, component, row_number() OVER (
+        PARTITION BY graph_id ORDER BY size DESC, component) AS k FROM sizes) WHERE k = 1)"""
+
+
+@query("wide_components", sql("SELECT graph_id, node, component FROM labels", "wide_vertices", "wide_arcs", extra=_WIDE_WALK, recursive=True))
+def _(t: Tables):
+    """Alternating stars on a graph with hubs and a giant component, and on chains."""
+    return graphs.components_by_joins(t.wide_vertices, t.wide_edges)
+
+
+@query("wide_clustering", rounded_sql(sql("""
+    SELECT graph_id, CAST(sum(triangles) // 3 AS BIGINT) AS triangle_count,
+           sum(triangles) / 3.0::DOUBLE / greatest(1, count(*)::DOUBLE * (count(*) - 1) * (count(*) - 2) / 6) AS triangle_density,
+           avg(CASE WHEN degree < 2 THEN 0 ELSE 2.0::DOUBLE * triangles / (degree * (degree - 1)) END) AS average_clustering,
+           coalesce(2.0::DOUBLE * sum(triangles) / nullif(sum(degree * (degree - 1)), 0), 0) AS transitivity
+    FROM (SELECT v.graph_id, v.node, (SELECT count(*) FROM wide_arcs a WHERE a.graph_id = v.graph_id AND a.a = v.node) AS degree,
+                 (SELECT count(*) FROM wide_arcs a JOIN wide_arcs b ON b.graph_id = a.graph_id AND b.a = a.b
+                  JOIN wide_arcs c ON c.graph_id = a.graph_id AND c.a = b.b AND c.b = a.a
+                  WHERE a.graph_id = v.graph_id AND a.a = v.node) // 2 AS triangles FROM wide_vertices v) GROUP BY ALL""",
+    "wide_vertices", "wide_arcs"), "triangle_density average_clustering transitivity"))
+def _(t: Tables):
+    """Triangles by edges that point to higher degrees, hubs dealt by the part of their neighbours."""
+    return rounded(graphs.clustering_by_joins(t.wide_vertices, t.wide_edges))
+
+
+@query("wide_paths", rounded_sql(sql("""
+    SELECT g.graph_id, avg(s.d) AS average_shortest_path_length, CAST(max(s.d) AS BIGINT) AS diameter
+    FROM big g JOIN labels l USING (graph_id, component) JOIN shortest s ON s.graph_id = g.graph_id AND s.source = l.node AND s.target > s.source
+    GROUP BY ALL""", "wide_vertices", "wide_arcs", extra=_WIDE_WALK, recursive=True), "average_shortest_path_length"))
+def _(t: Tables):
+    return rounded(graphs.paths_by_joins(t.wide_vertices, t.wide_edges))
+
+
+@query("graph_diameter", sql("""
+    SELECT g.graph_id, CAST(max(s.d) AS BIGINT) AS diameter
+    FROM big g JOIN labels l USING (graph_id, component) JOIN shortest s ON s.graph_id = g.graph_id AND s.source = l.node
+    GROUP BY ALL""", "wide_vertices", "wide_arcs", extra=_WIDE_WALK, recursive=True))
+def _(t: Tables):
+    """Diameters by a few searches whose eccentricity bounds close."""
+    return graphs.diameters(t.wide_vertices, t.wide_edges).select("graph_id", "diameter")
+
+
 # every part is a checked query of its own; the whole is their join
 _STRUCTURE = f"SELECT * FROM ({SQL['agg_degree_stats']})" + "".join(f" JOIN ({SQL[name]}) USING (graph_id)" for name in (
     "triangle_count", "triangle_density", "local_clustering_avg", "transitivity", "degree_assortativity",

@@ -170,3 +170,43 @@ def test_random_edges_of_tiny_graphs(spark):
     specs = spark.createDataFrame([(1, 1, 1.0, 3), (2, 2, 1.0, 3), (3, 0, 1.0, 3)],
                                   "graph_id bigint, num_nodes bigint, probability double, seed bigint")
     assert [tuple(r) for r in graphs.random_edges(specs).collect()] == [(2, 0, 1)]
+
+
+def star_and_clique(n=2000, clique=30):
+    """One hub with very many leaves and a clique among some of them."""
+    return n, [(0, i) for i in range(1, n)] + list(itertools.combinations(range(1, clique + 1), 2))
+
+
+def test_no_task_holds_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "PART_NODES", 256)
+    n, edges = star_and_clique()
+    v, e = frames(spark, {1: (n, edges)})
+    row = graphs.clustering_by_joins(v, e).first()
+    assert row["triangle_count"] == 30 * 29 * 28 // 6 + 30 * 29 // 2
+    assert {r["component"] for r in graphs.components_by_joins(v, e).collect()} == {0}
+    # the rows that meet on one key while a hub's values are attached
+    arcs = graphs.both_ways(e)
+    dealt = arcs.withColumn("_part", graphs._part("b")).groupBy("a", "_part").count().agg({"count": "max"}).first()[0]
+    assert dealt <= 256
+    before = graphs.oriented(e).groupBy("a").count().agg({"count": "max"}).first()[0]
+    assert before <= 30  # the hub has nobody before it
+
+
+def test_alternating_stars(spark):
+    made = {1: (200, [(i, i + 1) for i in range(199)]), 2: (50, [(0, i) for i in range(1, 50)]),
+            3: (40, [(i, 39) for i in range(39)]), 4: (5, []), 5: (90, [(i, i + 45) for i in range(45)])}
+    got = {(r["graph_id"], r["node"]): r["component"] for r in graphs.components_by_joins(*frames(spark, made)).collect()}
+    assert {got[(1, i)] for i in range(200)} == {0} and {got[(2, i)] for i in range(50)} == {0}
+    assert {got[(3, i)] for i in range(40)} == {0} and [got[(4, i)] for i in range(5)] == list(range(5))
+    assert all(got[(5, i)] == got[(5, i + 45)] == i for i in range(45)) and len(got) == 385
+
+
+def test_few_searches_close_the_diameter(spark):
+    draw = random.Random(6)
+    tree = [(draw.randrange(max(0, i - 8), i), i) for i in range(1, 70)]
+    made = {1: (70, tree), 2: (40, [p for p in itertools.combinations(range(40), 2) if draw.random() < 0.12]),
+            3: (12, [(i, i + 1) for i in range(11)]), 4: (4, []), 5: (9, [(i, (i + 1) % 9) if i < 8 else (0, 8) for i in range(9)])}
+    rows = {r["graph_id"]: r for r in graphs.diameters(*frames(spark, made)).collect()}
+    for g, (n, edges) in made.items():
+        assert rows[g]["diameter"] == brute(n, edges)["diameter"], g
+    assert rows[1]["searches"] <= 15 and rows[2]["searches"] < 40 and rows[3]["searches"] <= 4
