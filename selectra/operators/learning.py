@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from selectra.operators import trees
@@ -99,11 +99,11 @@ def fit_ridge(train: DataFrame, features: FeatureSet, target: str, alpha: float
     return Fitted(Pipeline(stages=stages).fit(train))
 
 
-def fit_forest(train: DataFrame, features: FeatureSet, target: str, count: int = 500, depth: int = 20,
-               leaf: int = 2, seed: int = 2027) -> Fitted:
-    model = RandomForestRegressor(labelCol=target, numTrees=count, maxDepth=depth, minInstancesPerNode=leaf,
-                                  featureSubsetStrategy="all", seed=seed, cacheNodeIds=True)
-    return Fitted(Pipeline(stages=[*encode_stages(features), model]).fit(train))
+def fit_forest(train: DataFrame, features: FeatureSet, target: str, count: int = 500, leaf: int = 2,
+               seed: int = 2027) -> GrownTrees:
+    """Random forest: drawn rows, the best of all cuts, no depth limit."""
+    encoder = Pipeline(stages=encode_stages(features)).fit(train)
+    return GrownTrees(encoder, trees.grow_forest(tree_rows(encoder, train, target), count, leaf, seed), 0.0, count)
 
 
 def fit_boosted(train: DataFrame, features: FeatureSet, target: str, rounds: int = 300, rate: float = 0.05,

@@ -1,6 +1,6 @@
-"""Regression trees grown by aggregates: extremely randomised trees, and boosting with a leaf limit.
+"""Regression trees grown by aggregates: extremely randomised trees, forests, and boosting with a leaf limit.
 
-Both work on rows of ``x array<double>, y double``. A tree is rows of a node table: tree, node, feature (-1 at a leaf),
+All work on rows of ``x array<double>, y double``. A tree is rows of a node table: tree, node, feature (-1 at a leaf),
 cut (``x[feature] <= cut`` goes left), value and rows. A node's id is a hash of its path, so that a child's id follows
 from its parent's, at any depth.
 """
@@ -259,6 +259,216 @@ def grow_extra_trees(rows: DataFrame, trees: int, leaf: int = 2, seed: int = 202
     return materialise(below)
 
 
+# Forests of exact cuts ----------------------------------------------------------------------
+
+#: quantile bins in nodes above TASK_ROWS rows (below, every cut between two values is tried); nodes of one aggregate
+UPPER_BINS, UPPER_NODES = 64, 2_000
+
+
+def drawn_weights(seed: int, tree: int, key: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often a tree draws each distinct row (Poisson, of mean ``copies``), and how many of its copies it draws. The
+    draws depend on the row alone, not on where it lies."""
+    of_tree = _mixed(_mixed(np.full(1, seed, np.uint64)) + np.uint64(tree))
+    of_row = _mixed(key.view(np.uint64) ^ of_tree)
+    u = lambda rows, j: (_mixed(of_row[rows] + np.uint64(j)) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+    weight, held = np.zeros(len(key)), np.zeros(len(key))
+    few = copies <= 30
+    for j in range(int(copies[few].max(initial=0))):
+        rows = np.flatnonzero(few & (copies > j))
+        times = np.searchsorted(POISSON, u(rows, j), side="right")
+        weight[rows] += times
+        held[rows] += times > 0
+    many = np.flatnonzero(~few)
+    if len(many):
+        bell = np.sqrt(-2 * np.log(1 - u(many, 0))) * np.cos(2 * np.pi * u(many, 1))
+        weight[many] = np.maximum(1.0, np.rint(copies[many] + np.sqrt(copies[many]) * bell))
+        held[many] = np.minimum(weight[many], np.rint(copies[many] * (1 - math.exp(-1))))
+    return weight, held
+
+
+POISSON = np.array([math.exp(-1.0) * sum(1.0 / math.factorial(j) for j in range(k + 1)) for k in range(16)])
+
+
+def exact_cuts(x: np.ndarray, y: np.ndarray, w: np.ndarray, n: np.ndarray, starts: np.ndarray, leaf: int):
+    """Per run of rows, the feature and cut of least squared error (-1 where none), tried between all values."""
+    sizes = np.diff(np.append(starts, len(y)))
+    run = np.repeat(np.arange(len(starts)), sizes)
+    all_w, all_s, all_n = (np.add.reduceat(v, starts)[run] for v in (w, w * y, n))
+    best = np.full(len(starts), -np.inf)
+    feature, cut = np.full(len(starts), -1), np.zeros(len(starts))
+    for f in range(x.shape[1]):
+        order = np.lexsort((x[:, f], run))
+        v, sums = x[order, f], []
+        for part in (w[order], (w * y)[order], n[order]):
+            c = np.cumsum(part)
+            sums.append(c - np.repeat(c[starts] - part[starts], sizes))
+        left_w, left_s, left_n = sums
+        last = np.append((v[1:] == v[:-1]) | (run[1:] != run[:-1]), True)
+        good = ~last & (left_n >= leaf) & (all_n - left_n >= leaf)
+        if not good.any():
+            continue
+        score = np.where(good, left_s ** 2 / np.maximum(left_w, 1e-300)
+                         + (all_s - left_s) ** 2 / np.maximum(all_w - left_w, 1e-300), -np.inf)
+        top = np.maximum.reduceat(score, starts)
+        at = np.flatnonzero((score == top[run]) & good)
+        runs, first = np.unique(run[at], return_index=True)
+        better = top[runs] > best[runs]
+        runs, at = runs[better], at[first[better]]
+        best[runs], feature[runs] = top[runs], f
+        middle = (v[at] + v[at + 1]) / 2
+        cut[runs] = np.where(middle < v[at + 1], middle, v[at])
+    level = all_s[starts] ** 2 / all_w[starts]
+    return np.where(best > level * (1 + 1e-12) + 1e-12 * np.abs(level), feature, -1), cut
+
+
+def grow_forest_subtree(tree, node, x, y, w, n, leaf: int) -> Iterator[tuple]:
+    nodes, starts = np.array([node], np.int64), np.zeros(1, np.int64)
+    while len(nodes):
+        sizes = np.diff(np.append(starts, len(y)))
+        feature, cut = exact_cuts(x, y, w, n, starts, leaf)
+        cut = np.where(feature >= 0, cut, 0.0)
+        yield (np.full(len(nodes), tree, np.int32), nodes, feature.astype(np.int32), cut,
+               np.add.reduceat(w * y, starts) / np.add.reduceat(w, starts), np.add.reduceat(n, starts).astype(np.int64))
+        run = np.repeat(np.arange(len(nodes)), sizes)
+        stays = feature[run] >= 0
+        x, y, w, n, run = x[stays], y[stays], w[stays], n[stays], run[stays]
+        side = 2 * run + (x[np.arange(len(run)), feature[run]] > cut[run])
+        order = np.argsort(side, kind="stable")
+        x, y, w, n = x[order], y[order], w[order], n[order]
+        sides, starts = np.unique(side[order], return_index=True)
+        nodes = child(nodes[sides // 2], sides % 2) if len(sides) else nodes[:0]
+
+
+def _forest_batch(batch: pa.RecordBatch):
+    return (_features(batch.column(0)), batch.column(1).to_numpy(), batch.column(2).to_numpy(),
+            batch.column(3).to_numpy())
+
+
+def _upper_histograms(batches, upper: Upper, front: dict, edges: list, seed: int) -> Iterator[pa.RecordBatch]:
+    width = len(edges)
+    size = width * UPPER_BINS
+    total = np.zeros((3, len(front["tree"]) * size))
+    for batch in batches:
+        x, y, key, copies = _forest_batch(batch)
+        bins = np.stack([np.searchsorted(e, x[:, i], side="left") for i, e in enumerate(edges)], axis=1)
+        for tree, at in upper.places(x):
+            a, b = np.searchsorted(front["tree"], [tree, tree + 1])
+            if a == b:
+                continue
+            nodes = front["node"][a:b]
+            found = np.minimum(np.searchsorted(nodes, at), b - a - 1)
+            w, n = drawn_weights(seed, tree, key, copies)
+            mine = np.flatnonzero((nodes[found] == at) & (w > 0))
+            cells = ((a + found[mine]) * size)[:, None] + np.arange(width) * UPPER_BINS + bins[mine]
+            for k, v in enumerate((n, w, w * y)):
+                np.add.at(total[k], cells.ravel(), np.repeat(v[mine], width))
+    filled = np.flatnonzero(total[0])
+    yield pa.RecordBatch.from_arrays([pa.array(filled), *[pa.array(t[filled]) for t in total]], ["cell", "n", "w", "s"])
+
+
+def _grow_forest_upper(rows: DataFrame, count: int, edges: list, trees: int, leaf: int, seed: int):
+    upper, done, small = Upper(trees), [], []
+    front = {"tree": np.arange(trees, dtype=np.int32), "node": np.full(trees, ROOT, np.int64), "rows": np.full(trees, count)}
+    size = len(edges) * UPPER_BINS
+    while True:
+        big = front["rows"] > TASK_ROWS
+        small.append({c: front[c][~big] for c in ("tree", "node")})
+        front = {c: v[big] for c, v in front.items()}
+        if not big.any():
+            break
+        if sum(len(level["tree"]) for level in upper.levels) + len(front["tree"]) > MOST_UPPER_NODES:
+            raise ValueError("too many nodes above TASK_ROWS rows: raise it, or grow fewer trees")
+        order = np.lexsort((front["node"], front["tree"]))
+        front = {c: v[order] for c, v in front.items()}
+        feature, cut, left, parts = [], [], [], []
+        for start in range(0, len(order), UPPER_NODES):
+            part = {c: v[start:start + UPPER_NODES] for c, v in front.items()}
+            got = rows.mapInArrow(lambda b, part=part: _upper_histograms(b, upper, part, edges, seed),
+                                  "cell bigint, n double, w double, s double").groupBy("cell").agg(
+                F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("s").alias("s")).toArrow()
+            k = len(part["tree"])
+            n, w, s = np.zeros((3, k * size))
+            for v, c in ((n, "n"), (w, "w"), (s, "s")):
+                v[got.column("cell").to_numpy()] = got.column(c).to_numpy()
+            n, w, s = (v.reshape(k, len(edges), UPPER_BINS) for v in (n, w, s))
+            all_n, all_w, all_s = (v[:, 0].sum(1) for v in (n, w, s))
+            ln, lw, ls = (v.cumsum(2)[:, :, :-1] for v in (n, w, s))
+            rn, rw, rs = (t[:, None, None] - v for t, v in ((all_n, ln), (all_w, lw), (all_s, ls)))
+            score = np.where((ln >= leaf) & (rn >= leaf), ls ** 2 / np.maximum(lw, 1e-300) + rs ** 2 / np.maximum(rw, 1e-300),
+                             -np.inf).reshape(k, -1)
+            top = score.argmax(1)
+            f, bin_ = np.divmod(top, UPPER_BINS - 1)
+            level = all_s ** 2 / np.maximum(all_w, 1e-300)
+            good = score[np.arange(k), top] > level * (1 + 1e-12) + 1e-12 * np.abs(level)
+            feature.append(np.where(good, f, -1))
+            cut.append(np.array([edges[i][min(b, len(edges[i]) - 1)] if g else 0.0 for i, b, g in zip(f, bin_, good)]))
+            left.append(ln[np.arange(k), f, bin_])
+            parts.append((all_s / np.maximum(all_w, 1e-300), all_n))
+        feature, cut, left = (np.concatenate(v) for v in (feature, cut, left))
+        value, held = (np.concatenate(v) for v in zip(*parts))
+        done.append((front["tree"], front["node"], feature.astype(np.int32), cut, value, held.astype(np.int64)))
+        inner = np.flatnonzero(feature >= 0)
+        upper.levels.append({"tree": front["tree"][inner], "node": front["node"][inner],
+                             "feature": feature[inner], "cut": cut[inner]})
+        front = {"tree": np.concatenate([front["tree"][inner]] * 2),
+                 "node": np.concatenate([child(front["node"][inner], side) for side in (0, 1)]),
+                 "rows": np.concatenate([left[inner], held[inner] - left[inner]])}
+    waiting = {c: np.concatenate([part[c] for part in small]) for c in ("tree", "node")}
+    order = np.lexsort((waiting["node"], waiting["tree"]))
+    return upper, {c: v[order] for c, v in waiting.items()}, done
+
+
+def _dealt_drawn(batches, upper: Upper, waiting: dict, seed: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, _, key, copies = _forest_batch(batch)
+        for tree, at in upper.places(x):
+            a, b = np.searchsorted(waiting["tree"], [tree, tree + 1])
+            if a == b:
+                continue
+            nodes = waiting["node"][a:b]
+            w, n = drawn_weights(seed, tree, key, copies)
+            mine = np.flatnonzero((nodes[np.minimum(np.searchsorted(nodes, at), b - a - 1)] == at) & (w > 0))
+            if len(mine):
+                took = pa.array(mine)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(mine), tree, np.int32)), pa.array(at[mine]), batch.column(0).take(took),
+                     batch.column(1).take(took), pa.array(w[mine]), pa.array(n[mine])], ["tree", "node", "x", "y", "w", "n"])
+
+
+def _grown_drawn(group: pa.Table, leaf: int) -> pa.Table:
+    tree, node = group.column("tree")[0].as_py(), group.column("node")[0].as_py()
+    x, y, w, n = _features(group.column("x")), *(group.column(c).to_numpy() for c in "ywn")
+    order = np.lexsort((y, *x.T[::-1]))
+    levels = list(grow_forest_subtree(tree, node, x[order], y[order], w[order], n[order], leaf))
+    return pa.table([np.concatenate(c) for c in zip(*levels)], schema=_NODES)
+
+
+def grow_forest(rows: DataFrame, trees: int, leaf: int = 2, seed: int = 2027) -> DataFrame:
+    """The node table of a random forest: every tree draws rows with replacement (Poisson counts of the distinct rows)
+    and takes the best of all cuts, without a depth limit. Nodes of more than TASK_ROWS rows are cut at quantiles by one
+    aggregate a level for all trees, smaller ones exactly, each subtree in one task."""
+    rows = materialise(rows.where(F.col("y").isNotNull()).groupBy("x", "y").agg(F.count("*").alias("copies")).select(
+        "x", "y", F.xxhash64("x", "y").alias("key"), "copies"))
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("width")).first()
+    spark = rows.sparkSession
+    if not size["n"]:
+        return spark.createDataFrame([], NODES)
+    edges = []
+    if size["n"] > TASK_ROWS:
+        steps = [k / UPPER_BINS for k in range(1, UPPER_BINS)]
+        cuts = rows.agg(*[F.percentile_approx(F.col("x")[i], steps, 100 * UPPER_BINS).alias(f"q{i}")
+                          for i in range(size["width"])]).first()
+        edges = [np.unique(cuts[f"q{i}"])[:UPPER_BINS - 1] for i in range(size["width"])]
+    upper, waiting, done = _grow_forest_upper(rows, size["n"], edges, trees, leaf, seed)
+    below = (rows.mapInArrow(lambda b: _dealt_drawn(b, upper, waiting, seed),
+                             "tree int, node bigint, x array<double>, y double, w double, n double")
+             .groupBy("tree", "node").applyInArrow(lambda g: _grown_drawn(g, leaf), NODES))
+    if done:
+        table = pa.table([np.concatenate(c) for c in zip(*done)], schema=_NODES)
+        below = below.unionByName(spark.createDataFrame(table, NODES))
+    return materialise(below)
+
+
 # Boosting ---------------------------------------------------------------------------------
 
 #: bins of a feature; distinct binned rows up to which the driver sums their histograms; rounds between checkpoints

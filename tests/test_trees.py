@@ -193,3 +193,67 @@ def test_no_rows(spark):
     assert trees.grow_extra_trees(empty, 5).count() == 0
     nodes, base = trees.grow_boosted(empty)
     assert nodes.count() == 0 and base == 0.0
+
+
+def forest_tree_by_recursion(rows, weights, leaf):
+    out = {}
+
+    def grow(node, part):
+        sw, s = sum(weights[i][0] for i in part), sum(weights[i][0] * rows[i][1] for i in part)
+        best = None
+        for f in range(3):
+            values = sorted({rows[i][0][f] for i in part})
+            for lo, hi in zip(values, values[1:]):
+                left, right = [i for i in part if rows[i][0][f] <= lo], [i for i in part if rows[i][0][f] > lo]
+                if min(sum(weights[i][1] for i in side) for side in (left, right)) < leaf:
+                    continue
+                score = sum(sum(weights[i][0] * rows[i][1] for i in side) ** 2 / sum(weights[i][0] for i in side)
+                            for side in (left, right))
+                if score > s * s / sw * (1 + 1e-12) and (best is None or score > best[0]):
+                    best = (score, f, (lo + hi) / 2)
+        out[node] = (-1 if best is None else best[1], 0.0 if best is None else best[2], s / sw)
+        if best:
+            for side in (0, 1):
+                grow(int(trees.child(node, side)[0]), [i for i in part if (rows[i][0][best[1]] > best[2]) == bool(side)])
+
+    grow(trees.ROOT, [i for i in range(len(rows)) if weights[i][0] > 0])
+    return out
+
+
+def test_forest_equals_recursion(spark):
+    copies = {}
+    for x, y in dyadic_rows(240):
+        copies[tuple(x), y] = copies.get((tuple(x), y), 0) + 1
+    rows = [(list(x), y) for x, y in copies]
+    df = spark.createDataFrame(dyadic_rows(240), SCHEMA).repartition(3)
+    keys = {(tuple(r.x), r.y): r.k for r in df.distinct().select("x", "y", F.xxhash64("x", "y").alias("k")).collect()}
+    got = {}
+    for r in trees.grow_forest(df, 4, seed=6).collect():
+        got.setdefault(r.tree, {})[r.node] = (r.feature, r.cut, pytest.approx(r.value))
+    for tree in range(4):
+        w, n = trees.drawn_weights(6, tree, np.array([keys[tuple(x), y] for x, y in rows]), np.array(list(copies.values())))
+        assert got[tree] == forest_tree_by_recursion(rows, list(zip(w, n)), 2)
+
+
+def test_forest_above_the_task_size(spark, monkeypatch):
+    """Levels of histograms first, exact subtrees below: about as good as exact cuts alone."""
+    draw = np.random.default_rng(1)
+    x = draw.uniform(size=(1500, 3))
+    rows = [([float(v) for v in r], float(np.sin(6 * r[0]) + r[1] * (r[2] > 0.5))) for r in x]
+    df = spark.createDataFrame(rows, SCHEMA)
+    asked = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "_row bigint, x array<double>")
+    errors = []
+    for size in (4096, 200):
+        monkeypatch.setattr(trees, "TASK_ROWS", size)
+        nodes = trees.grow_forest(df, 10)
+        got = {r["_row"]: r["_sum"] / 10 for r in trees.tree_sums(asked, nodes).collect()}
+        errors.append(np.mean([(got[i] - y) ** 2 for i, (_, y) in enumerate(rows)]))
+    assert max(errors) < 0.01 and errors[1] < 2 * errors[0]
+
+
+def test_draws_are_poisson_for_any_number_of_copies():
+    key = np.arange(20_000, dtype=np.int64) * 7919
+    for copies in (1, 5, 400):
+        w, n = trees.drawn_weights(3, 1, key, np.full(len(key), copies))
+        assert w.mean() == pytest.approx(copies, rel=0.03) and w.var() == pytest.approx(copies, rel=0.06)
+        assert (n <= w).all() and n.mean() == pytest.approx(copies * (1 - np.exp(-1)), rel=0.05)
