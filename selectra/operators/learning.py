@@ -13,9 +13,10 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from selectra.operators import trees
-from selectra.operators.aggregates import regression_metrics, share
-from selectra.operators.selection import score_cases
+from selectra.operators.aggregates import cube_summary, regression_metrics, selection_metrics, share
+from selectra.operators.selection import fixed_by_case, score_cases
 from selectra.operators.splits import permute_units
+from selectra.operators.statistics import clustered_stats
 from selectra.session import materialise
 from selectra.sources.registries import BUDGETS, expand_budgets
 
@@ -168,12 +169,72 @@ def compare_models(train: DataFrame, validation: DataFrame, features: FeatureSet
                    models: Mapping[str, Callable[..., ScoreFn]] = MODELS, target: str = "quality",
                    options: Mapping[str, Mapping] | None = None) -> tuple[DataFrame, dict[str, ScoreFn]]:
     """Fit every model on train and rank them by validation regret."""
-    train, validation = train.persist(), validation.persist()
+    train, validation = materialise(train), materialise(validation)
     fitted = {n: fit(train, features, target, **(options or {}).get(n, {})) for n, fit in models.items()}
     rows = [evaluate(s, validation, target).withColumn("model", F.lit(n)) for n, s in fitted.items()]
     return rank_models(reduce(DataFrame.unionByName, rows)), fitted
 
 
+def by_error(results: DataFrame) -> DataFrame:
+    """Best first by prediction error alone."""
+    return results.orderBy("rmse", "model")
+
+
+@dataclass(frozen=True)
+class Chosen:
+    """The outcome of a comparison: all results, the name of the best model, and the fitted models."""
+
+    results: DataFrame
+    name: str
+    fitted: Mapping[str, ScoreFn]
+
+
+def choose(train: DataFrame, validation: DataFrame, features: FeatureSet,
+           models: Mapping[str, Callable[..., ScoreFn]] = MODELS, target: str = "quality",
+           order: Callable[[DataFrame], DataFrame] = rank_models) -> Chosen:
+    """Compare all models on the validation entities; one row names the winner."""
+    results, fitted = compare_models(train, validation, features, models, target)
+    results = materialise(order(results))
+    return Chosen(results, order(results).first()["model"], fitted)
+
+
+@dataclass(frozen=True)
+class FinalJob:
+    """Everything a final selection job hands on, as frames by name, and the frozen model behind them."""
+
+    model: ScoreFn
+    tables: Mapping[str, DataFrame]
+
+
+def finalise(rows: DataFrame, features: FeatureSet, ablations: Sequence[FeatureSet], groups: Sequence["FeatureGroup"],
+             chosen: Chosen | None = None, models: Mapping[str, Callable[..., ScoreFn]] = MODELS,
+             repetitions: int = 30, resamples: int = 10_000, seed: int = 2027, target: str = "quality") -> FinalJob:
+    """The whole job on candidate rows with a split: compare on validation, choose, ablate and permute the winner, refit
+    it on train and validation, and only then score the test entities once, against fixed, random and oracle choices."""
+    part = lambda *names: rows.where(F.col("split").isin(*names))
+    train, validation, test = part("train"), part("validation"), part("test")
+    chosen = chosen or choose(train, validation, features, models, target)
+    fit = models[chosen.name]
+    ablation = ablate(fit, train, validation, ablations, target)
+    importance = permutation_importance(validation, chosen.fitted[chosen.name], groups, repetitions, seed, quality=target)
+    model = fit(part("train", "validation"), features, target)
+    scored = materialise(model(test))
+    fixed = fixed_by_case(expand_budgets(train), quality=target)
+    cases = materialise(score_cases(expand_budgets(scored), fixed, quality=target))
+    summary = cube_summary(cases, ["budget", "context"], selection_metrics())
+    errors = scored.agg(*[c.alias(n) for n, c in regression_metrics(target, "score").items()]).first().asDict()
+    counts = rows.groupBy("split").agg(F.countDistinct("entity").alias("entities"))
+    facts = [F.lit(chosen.name).alias("selected_model"), F.lit(len(features.numeric) + len(features.categorical)).alias("features"),
+             F.lit("train+validation").alias("fitted_on"), F.lit(repetitions).alias("permutation_repetitions"),
+             F.lit(resamples).alias("bootstrap_repetitions"), F.lit(seed).alias("seed")]
+    sizes = counts.groupBy().pivot("split", ["train", "validation", "test"]).agg(F.first("entities"))
+    return FinalJob(model, {
+        "model_comparison": chosen.results, "feature_ablation": ablation, "permutation_importance": importance,
+        "fixed_choices": fixed, "test_scores": scored, "test_cases": cases, "test_summary": summary,
+        "test_statistics": clustered_stats(cases, repetitions=resamples, sampled=resamples, seed=seed),
+        "manifest": sizes.select("*", *[F.lit(v).alias(n) for n, v in errors.items()], *facts)})
+
+
 def ablate(fit: Callable[..., ScoreFn], train: DataFrame, validation: DataFrame,
            feature_sets: Sequence[FeatureSet], target: str = "quality", **options) -> DataFrame:
     """The same model on several feature sets, least regret first."""
@@ -199,7 +260,7 @@ def permuted_variants(df: DataFrame, groups: Sequence[FeatureGroup], repetitions
     from the donor.  ``candidate_id`` and ``feasibility_cost`` stay as they are,
     so a permuted descriptor never changes what is affordable.
     """
-    base = df.withColumn("candidate_id", F.col("candidate")).withColumn("feasibility_cost", F.col("shots"))
+    base = materialise(df.withColumn("candidate_id", F.col("candidate")).withColumn("feasibility_cost", F.col("shots")))
     frames = []
     for unit in ("entity", "context", "candidate"):
         mine = [g for g in groups if g.unit == unit]
@@ -211,7 +272,7 @@ def permuted_variants(df: DataFrame, groups: Sequence[FeatureGroup], repetitions
 def _unit_variants(base: DataFrame, groups, unit: str, repetitions: int, seed) -> DataFrame:
     columns = sorted({c for g in groups for c in g.columns})
     names = F.array(*[F.lit(g.name) for g in groups])
-    own = base.select(F.col(unit).alias("_unit"), *[F.col(c).alias(f"_d_{c}") for c in columns]).dropDuplicates(["_unit"])
+    own = base.groupBy(F.col(unit).alias("_unit")).agg(*[F.min(c).alias(f"_d_{c}") for c in columns])
     variants = own.withColumn("feature_group", F.explode(names)).withColumn(
         "repetition", F.explode(F.sequence(F.lit(1), F.lit(repetitions))))
     per_variant = F.concat_ws("|", F.lit(str(seed)), F.col("feature_group"), F.col("repetition").cast("string"))

@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from selectra.operators.aggregates import replicate_means
+from selectra.operators.graphs import graph_features
 from selectra.operators.learning import line_scorer
 from selectra.operators.ranking import running_total
 from selectra.operators.selection import fixed_by_case, score_cases
@@ -122,6 +123,24 @@ class Tables:
             F.round(F.avg("l_extendedprice"), 9).alias("f_price"), F.round(F.avg("l_quantity"), 9).alias("f_quantity"),
             F.round(F.avg("l_discount"), 9).alias("f_discount"))
 
+    @property
+    def entity_edges(self) -> DataFrame:
+        """One graph of twelve nodes per entity, out of its largest runs."""
+        a, b = F.col("l_partkey") % NODES, F.col("l_orderkey") % NODES
+        return self.read("lineitem").where("l_quantity >= 48").select(
+            F.col("l_suppkey").alias("graph_id"), F.least(a, b).cast("bigint").alias("u"),
+            F.greatest(a, b).cast("bigint").alias("v")).where("u < v").distinct()
+
+    @cached_property
+    def structure(self) -> DataFrame:
+        """The structural features of every entity's graph, and its family."""
+        vertices = self.entities.select(F.col("entity").alias("graph_id"), F.explode(F.sequence(
+            F.lit(0).cast("bigint"), F.lit(NODES - 1).cast("bigint"))).alias("node"))
+        features = graph_features(vertices, self.entity_edges).withColumnRenamed("graph_id", "entity")
+        family = self.read("supplier").select(F.col("s_suppkey").alias("entity"), F.concat(
+            F.lit("F"), (F.col("s_nationkey") % 4).cast("string")).alias("family"))
+        return materialise(features.join(family, "entity").na.fill(0.0).na.fill(0))
+
     def graph_lines(self, nodes: int) -> DataFrame:
         a, b = F.col("l_suppkey") % nodes, F.col("l_partkey") % nodes
         return self.read("lineitem").select(

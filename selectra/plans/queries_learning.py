@@ -11,19 +11,22 @@ from selectra.operators.selection import score_cases
 from selectra.plans.bindings import SEED, Tables, sql
 from selectra.plans.catalog import query
 from selectra.plans.shaping import rounded, rounded_sql
+from selectra.session import shared_dir
 from selectra.sources.registries import expand_budgets
+from selectra.sources.sinks import write_tables
 
 FEATURES = ("f_price", "f_quantity", "f_discount")
-FULL = FeatureSet("full", ("depth", "shots", *FEATURES), ("optimizer", "candidate", "context"))
+STRUCTURE = ("num_nodes", "num_edges", "density", "average_degree", "degree_std", "min_degree", "max_degree", "triangle_count",
+             "average_clustering", "transitivity", "component_count", "largest_component_fraction", "spectral_radius",
+             "adjacency_spectral_gap", "algebraic_connectivity", "laplacian_spectral_radius", "triangle_density",
+             "degree_assortativity", "average_shortest_path_length", "diameter")
+FULL = FeatureSet("full", ("depth", "shots", *STRUCTURE), ("optimizer", "candidate", "family", "context"))
 ABLATIONS = (
     FULL,
-    FULL.without("without_structure", FEATURES),
+    FULL.without("without_structure", (*STRUCTURE, "family")),
     FULL.without("without_context", ("context",)),
     FULL.without("without_candidate", ("candidate",)),
 )
-# smaller ensembles than the defaults keep the registered runs short
-SIZES = {"random_forest": {"trees": 20, "depth": 8}, "extra_trees": {"trees": 8, "depth": 8},
-         "boosted_trees": {"rounds": 12, "rate": 0.1, "depth": 3}}
 
 
 def n_rows():
@@ -105,7 +108,19 @@ def _(t: Tables):
 # L: models ------------------------------------------------------------------------------------
 
 def model_rows(t: Tables, *splits: str):
-    return t.part(*splits).join(t.features, "entity")
+    return t.part(*splits).join(t.structure, "entity")
+
+
+_chosen: dict[tuple[str, str], learning.Chosen] = {}
+
+
+def chosen(t: Tables) -> learning.Chosen:
+    """The comparison of all four models at their published sizes; worked out once per session and folder, as several
+    queries carry its winner on."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _chosen:
+        _chosen[key] = learning.choose(model_rows(t, "train"), model_rows(t, "validation"), FULL)
+    return _chosen[key]
 
 
 @query("linear_scorer", rounded_sql(sql("""
@@ -126,7 +141,7 @@ def _(t: Tables):
 
 
 def _scored_by(t: Tables, name: str):
-    model = learning.MODELS[name](model_rows(t, "train"), FULL, "quality", **SIZES.get(name, {}))
+    model = learning.MODELS[name](model_rows(t, "train"), FULL, "quality")
     return rounded(model(model_rows(t, "validation", "test")).select("entity", "split", "context", "candidate", "quality", "score"))
 
 
@@ -147,31 +162,55 @@ def _(t: Tables):
 
 @query("model_selection")
 def _(t: Tables):
-    ranked, _ = learning.compare_models(model_rows(t, "train"), model_rows(t, "validation"), FULL, options=SIZES)
-    return rounded(ranked)
+    """All four models by validation regret."""
+    return rounded(chosen(t).results)
 
 
 @query("model_ranking")
 def _(t: Tables):
     """The single model that wins on validation regret."""
-    pair = {n: learning.MODELS[n] for n in ("ridge", "random_forest")}
-    ranked, _ = learning.compare_models(model_rows(t, "train"), model_rows(t, "validation"), FULL, pair, options=SIZES)
-    return rounded(ranked.limit(1))
+    return rounded(learning.rank_models(chosen(t).results).limit(1))
 
 
 @query("feature_ablation")
 def _(t: Tables):
-    return rounded(learning.ablate(learning.fit_ridge, model_rows(t, "train"), model_rows(t, "validation"), ABLATIONS))
+    """The winner on the published feature sets."""
+    fit = learning.MODELS[chosen(t).name]
+    return rounded(learning.ablate(fit, model_rows(t, "train"), model_rows(t, "validation"), ABLATIONS))
+
+
+def refitted(t: Tables, name: str):
+    return learning.MODELS[name](model_rows(t, "train", "validation"), FULL, "quality")
 
 
 @query("refit_and_evaluate")
 def _(t: Tables):
-    """Refit on train and validation, then one evaluation on the test entities."""
-    model = learning.fit_forest(model_rows(t, "train", "validation"), FULL, "quality", **SIZES["random_forest"])
-    cases = score_cases(expand_budgets(model(model_rows(t, "test"))), t.fixed)
+    """The winner refitted on train and validation, then one evaluation on the test entities."""
+    cases = score_cases(expand_budgets(refitted(t, chosen(t).name)(model_rows(t, "test"))), t.fixed)
     return rounded(aggregates.cube_summary(cases, ["budget", "context"], aggregates.selection_metrics()))
 
 
+@query("rmse_selection")
+def _(t: Tables):
+    """The other published way: the model of least validation error, refitted, and its picks per context without
+    budgets against the oracle's."""
+    name = learning.by_error(chosen(t).results).first()["model"]
+    cases = score_cases(refitted(t, name)(model_rows(t, "test")), case=("entity", "context"))
+    picks = cases.withColumn("model", F.lit(name))
+    return rounded(picks.groupBy("model", "context").agg(
+        n_rows().alias("cases"), F.avg("selected_quality").alias("selected_mean"), F.avg("oracle_quality").alias("oracle_mean"),
+        F.avg("regret").alias("mean_regret"), aggregates.share(F.col("selected_is_oracle")).alias("oracle_accuracy"),
+        aggregates.share(F.col("oracle_in_top3")).alias("oracle_top3_accuracy")))
+
+
+@query("final_job")
+def _(t: Tables):
+    """The final job as one plan; its tables are written below the shared folder, and its manifest is the result."""
+    job = learning.finalise(model_rows(t, "train", "validation", "test"), FULL, ABLATIONS, MODEL_GROUPS, chosen(t), seed=SEED)
+    write_tables(job.tables, shared_dir(t.spark, "final-job"))
+    return rounded(job.tables["manifest"])
+
+
 GROUPS = (
     *[FeatureGroup(c, (c,), "entity") for c in FEATURES],
     FeatureGroup("all_structure", FEATURES, "entity"),
@@ -179,7 +218,12 @@ GROUPS = (
     FeatureGroup("descriptors", ("depth", "optimizer", "shots"), "candidate"),
     FeatureGroup("candidate", ("candidate",), "candidate"),
 )
-IMPORTANCE_REPETITIONS = 10
+MODEL_GROUPS = (
+    *[FeatureGroup(c, (c,), "entity") for c in STRUCTURE],
+    FeatureGroup("all_structure", (*STRUCTURE, "family"), "entity"), FeatureGroup("family", ("family",), "entity"),
+    *GROUPS[-3:],
+)
+IMPORTANCE_REPETITIONS = 30
 
 
 def hand_score():
@@ -237,7 +281,7 @@ _IMPORTANCE = "base AS (SELECT p.*, f_price, f_quantity, f_discount FROM perf_sp
 
 
 def importance(t: Tables):
-    rows = model_rows(t, "validation")
+    rows = t.part("validation").join(t.features, "entity")
     return learning.permutation_importance(rows, learning.weighted_score(hand_score()), GROUPS, IMPORTANCE_REPETITIONS, SEED)
 
 
@@ -257,9 +301,10 @@ def _(t: Tables):
 
 @query("permutation_importance_model")
 def _(t: Tables):
-    """The same measure for a fitted model."""
-    model = learning.fit_ridge(model_rows(t, "train"), FULL, "quality")
-    return rounded(learning.permutation_importance(model_rows(t, "validation"), model, GROUPS, 5, SEED))
+    """The same measure for the fitted winner and its structural features."""
+    best = chosen(t)
+    return rounded(learning.permutation_importance(
+        model_rows(t, "validation"), best.fitted[best.name], MODEL_GROUPS, IMPORTANCE_REPETITIONS, SEED))
 
 
 @query("regret_quantiles", rounded_sql(sql("""

@@ -10,8 +10,6 @@ QUERIES, SQL = contract.queries(), contract.oracle_sql()
 VIEWS = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
          "conversations").split()
 DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
-# rows-only: no SQL form, and slow; covered by the tests of their operators
-SKIPPED = {"model_selection", "model_ranking", "extra_trees", "feature_ablation", "permutation_importance_model"}
 # an inequality join with a dimension table is the feature itself
 INEQUALITY = {"join_theta_budget"}
 
@@ -28,7 +26,7 @@ def normal(row, order):
     return tuple(repr(row[c]) if isinstance(row[c], float) else str(row[c]) for c in order)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SKIPPED])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
