@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from selectra.operators.selection import keep_last
-from selectra.sources.readers import scan_or_empty
+from selectra.operators.stored import SPLIT_ROWS, KeyedTable
 
 
 def completed_keys(runs: DataFrame, key: Sequence[str], success: Column) -> DataFrame:
@@ -53,17 +53,12 @@ def replace_entities(old: DataFrame, fresh: DataFrame, entity: str) -> DataFrame
 
 
 def upsert_table(batch: DataFrame, path: str, key: Sequence[str], sequence: Sequence[str],
-                 buckets: int = 64, bucket: str = "key_bucket") -> None:
-    """Merge a batch into a parquet table laid out by key hash.
+                 split_rows: int = SPLIT_ROWS, batch_id: int | None = None) -> KeyedTable:
+    """Merge a batch into a stored table in which the last row of every key wins (``stored.KeyedTable``).
 
-    Only the buckets the batch touches are read and rewritten (dynamic partition
-    overwrite), and merging the same batch twice changes nothing, so the write
+    Only the leaves the batch touches are read and rewritten. Merging the same batch twice changes nothing, so the write
     may be retried.
     """
-    spark = batch.sparkSession
-    placed = batch.withColumn(bucket, F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
-    old = scan_or_empty(spark, path, placed.schema)
-    touched = placed.select(bucket).distinct()
-    merged = upsert(old.join(touched, bucket, "left_semi").select(*placed.columns), placed, [*key, bucket], sequence)
-    (merged.repartition(bucket).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(bucket).parquet(path))
+    table = KeyedTable(batch.sparkSession, path, key, batch.schema, split_rows)
+    table.merge(batch, lambda old, new: upsert(old, new, key, sequence), batch_id)
+    return table

@@ -65,12 +65,12 @@ def _(t: Tables):
 @query("upsert_table", rounded_sql(sql("""
     SELECT entity, candidate, context, replicate, price, version FROM last_rows""", "runs", extra=_LAST), "price"))
 def _(t: Tables):
-    """The stored form: three batches merged into a bucketed table, one of them twice."""
+    """The stored form: three batches merged into a table whose leaves split as it grows, one of them twice."""
     path, rows = shared_dir(t.spark, "runs-table"), _rows(t)
     early, late = F.col("measured_at") < "1999-01-01", F.col("measured_at") >= "2000-06-01"
     for part in (rows.where(early), rows.where(late), rows.where(~early & ~late), rows.where(late)):
-        incremental.upsert_table(part, path, KEY, SEQUENCE, buckets=8)
-    return rounded(t.spark.read.parquet(path).select(*KEY, "price", "version"))
+        table = incremental.upsert_table(part, path, KEY, SEQUENCE, split_rows=20_000)
+    return rounded(table.read().select(*KEY, "price", "version"))
 
 
 @query("replace_entity", sql("""
@@ -135,5 +135,5 @@ def _(t: Tables):
     """The latest event per user and type, merged batch by batch into a keyed table."""
     path = shared_dir(t.spark, "latest")
     rows = event_stream(t).select("user_id", "event_type", "ts", "event_id", "value")
-    jobs.upsert_stream(rows, path, ["user_id", "event_type"], ["ts", "event_id"], "latest", buckets=8)
-    return rounded(t.spark.read.parquet(path).select("user_id", "event_type", "value"))
+    latest = jobs.upsert_stream(rows, path, ["user_id", "event_type"], ["ts", "event_id"], "latest")
+    return rounded(latest.select("user_id", "event_type", "value"))

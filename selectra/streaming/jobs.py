@@ -4,10 +4,10 @@ Every job reads a file stream, checkpoints below the shared folder and drains
 what is there (``availableNow``); results land in parquet.
 
 Totals over all that has arrived (``distinct_keys``, ``window_means``,
-``completeness``) keep no state in the stream: each micro-batch leaves its own
-partial result, overwritten when it is retried, and the partial results are
-merged when they are read.  So they equal the batch result in any order of
-arrival.  ``dedupe`` and ``windowed_means`` emit while the stream runs, with
+``completeness``) keep no state in the stream: the partial result of each
+micro-batch is merged once into a stored keyed table, so that what is read does
+not grow with the number of batches.  They equal the batch result in any order
+of arrival.  ``dedupe`` and ``windowed_means`` emit while the stream runs, with
 state that expires by a watermark; rows later than that are not in their result.
 """
 
@@ -20,8 +20,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from selectra.operators.incremental import upsert_table
 from selectra.operators.rules import evaluate
+from selectra.operators.stored import SPLIT_ROWS, KeyedTable
 from selectra.session import shared_dir
-from selectra.sources.readers import scan_or_empty
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 100) -> DataFrame:
@@ -75,23 +75,25 @@ def windowed_means(stream: DataFrame, key: Sequence[str], value: str, time: str,
             .select(F.col("window.start").alias("window_start"), *key, "n", "mean"))
 
 
-def drain_partials(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], name: str,
-                   checkpoint: str | None = None, target: str | None = None) -> DataFrame:
-    """The partial results of all micro-batches so far, a folder per batch."""
+def drain_merged(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], key: Sequence[str],
+                 merged: Callable[[DataFrame], DataFrame], name: str, checkpoint: str | None = None,
+                 target: str | None = None, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """The partial results of all micro-batches so far, merged per key into one stored table as they come; a batch that
+    is retried is merged once."""
     spark = stream.sparkSession
-    target = target or shared_dir(spark, f"{name}-out")
     schema = partial(spark.createDataFrame([], stream.schema)).schema
+    table = KeyedTable(spark, target or shared_dir(spark, f"{name}-out"), key, schema, split_rows)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        partial(batch).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        table.merge(partial(batch), lambda old, new: merged(old.unionByName(new)), batch_id)
 
     _drain(stream.writeStream.foreachBatch(write), checkpoint or shared_dir(spark, f"{name}-ckpt"))
-    return scan_or_empty(spark, target, schema).select(*schema.names)
+    return table.read()
 
 
 def distinct_keys(stream: DataFrame, key: Sequence[str], name: str, **folders: str) -> DataFrame:
     """Each key that has arrived, once."""
-    return drain_partials(stream, lambda rows: rows.select(*key).distinct(), name, **folders).distinct()
+    return drain_merged(stream, lambda rows: rows.select(*key).distinct(), key, DataFrame.distinct, name, **folders)
 
 
 def window_means(stream: DataFrame, key: Sequence[str], value: str, time: str, name: str, window: str = "1 day",
@@ -102,15 +104,17 @@ def window_means(stream: DataFrame, key: Sequence[str], value: str, time: str, n
             F.count(F.lit(1)).alias("_rows"), F.count(value).alias("_values"), F.sum(value).alias("_sum")).select(
             F.col("_window.start").alias("window_start"), *key, "_rows", "_values", "_sum")
 
-    merged = drain_partials(stream, sums, name, **folders).groupBy("window_start", *key).agg(
-        F.sum("_rows").alias("n"), F.try_divide(F.sum("_sum"), F.sum("_values")).alias("mean"))
-    return merged.select("window_start", *key, "n", "mean")
+    def added(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("window_start", *key).agg(*[F.sum(c).alias(c) for c in ("_rows", "_values", "_sum")])
+
+    table = drain_merged(stream, sums, ["window_start", *key], added, name, **folders)
+    return table.select("window_start", *key, F.col("_rows").alias("n"), F.try_divide("_sum", "_values").alias("mean"))
 
 
 def completeness(stream: DataFrame, entity: str, item: str, expected: Sequence, name: str, **folders: str) -> DataFrame:
     """Entities for which every expected item has arrived, and the number of items."""
-    seen = drain_partials(stream, lambda rows: rows.where(F.col(item).isin(*expected)).select(entity, item).distinct(),
-                          name, **folders)
+    seen = drain_merged(stream, lambda rows: rows.where(F.col(item).isin(*expected)).select(entity, item).distinct(),
+                        [entity, item], DataFrame.distinct, name, **folders)
     return seen.groupBy(entity).agg(F.countDistinct(item).alias("items")).where(F.col("items") == len(set(expected)))
 
 
@@ -128,11 +132,14 @@ def monitor_rules(stream: DataFrame, rules: Mapping[str, Column], name: str, che
 
 
 def upsert_stream(stream: DataFrame, path: str, key: Sequence[str], sequence: Sequence[str], name: str,
-                  checkpoint: str | None = None, buckets: int = 64,
-                  prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
-    """Merge arriving batches into a keyed table; the same function as the batch upsert."""
+                  checkpoint: str | None = None, split_rows: int = SPLIT_ROWS,
+                  prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Merge arriving batches into a keyed table; the same function as the batch upsert. Returns the table."""
+    schema = prepare(stream.sparkSession.createDataFrame([], stream.schema)).schema
+    table = KeyedTable(stream.sparkSession, path, key, schema, split_rows)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        upsert_table(prepare(batch), path, key, sequence, buckets)
+        upsert_table(prepare(batch), path, key, sequence, split_rows, batch_id)
 
     _drain(stream.writeStream.foreachBatch(write), checkpoint or shared_dir(stream.sparkSession, f"{name}-ckpt"))
+    return table.read()

@@ -60,8 +60,8 @@ def test_upsert_table_is_idempotent(spark):
     rows = lambda *r: spark.createDataFrame(list(r), "k bigint, seq bigint, v string")
     first, second = rows((1, 1, "a"), (2, 1, "b"), (2, 1, "b")), rows((2, 2, "c"), (3, 2, "d"))
     for batch in (first, second, second, first):
-        incremental.upsert_table(batch, path, ["k"], ["seq"], buckets=4)
-    got = sorted((r["k"], r["v"]) for r in spark.read.parquet(path).collect())
+        table = incremental.upsert_table(batch, path, ["k"], ["seq"], split_rows=2)
+    got = sorted((r["k"], r["v"]) for r in table.read().collect())
     assert got == [(1, "a"), (2, "c"), (3, "d")]
 
 
