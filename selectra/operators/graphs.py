@@ -521,6 +521,30 @@ def mask_cut(edges: DataFrame, masks: DataFrame) -> DataFrame:
         "graph_id", *rest, F.when(F.col("_edges").isNull(), F.lit(0)).otherwise(crossing).cast("bigint").alias("cut"))
 
 
+def label_blocks(sides: DataFrame) -> DataFrame:
+    """Labellings (graph_id, label, node, side 0/1) as blocks of 60 bits: (graph_id, label, block, bits)."""
+    one = F.when(F.col("side") == 1, _bit("node")).otherwise(F.lit(0).cast("bigint"))
+    return sides.groupBy("graph_id", "label", _block("node").alias("block")).agg(F.bit_or(one).alias("bits"))
+
+
+def block_cut(edges: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(graph_id, label, cut): crossing edges of labellings given as blocks, for graphs of any size.
+
+    Edges between the same two blocks ride along as one array (at most 3,600), and meet only those two blocks of a
+    labelling. A node without a bit is on side 0, a graph without edges has cut 0.
+    """
+    ends = F.struct((F.col("u") % BITS).cast("int").alias("u"), (F.col("v") % BITS).cast("int").alias("v"))
+    lists = edges.groupBy("graph_id", _block("u").alias("_a"), _block("v").alias("_b")).agg(F.collect_list(ends).alias("_edges"))
+    every = blocks.select("graph_id", "label").distinct()
+    side = lambda b, bits: blocks.select("graph_id", "label", F.col("block").alias(b), F.col("bits").alias(bits))
+    asked = every.join(lists, "graph_id").join(side("_a", "_x"), ["graph_id", "label", "_a"], "left").join(
+        side("_b", "_y"), ["graph_id", "label", "_b"], "left").na.fill(0, ["_x", "_y"])
+    bit = lambda bits, end: F.call_function("shiftright", F.col(bits), end).bitwiseAND(_one())
+    crossing = F.size(F.filter("_edges", lambda e: bit("_x", e["u"]) != bit("_y", e["v"]))).cast("bigint")
+    cuts = asked.groupBy("graph_id", "label").agg(F.sum(crossing).alias("cut"))
+    return every.join(cuts, ["graph_id", "label"], "left").na.fill(0, ["cut"])
+
+
 def adjacency_rows(edges: DataFrame, nodes: int = MAX_EXACT_NODES) -> DataFrame:
     """One row per graph: column a<k> is the mask of the larger neighbours of node k."""
     bit = F.call_function("shiftleft", _one(), F.col("v").cast("int"))

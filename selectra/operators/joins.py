@@ -14,19 +14,30 @@ def assert_unique(df: DataFrame, key: Sequence[str], what: str) -> None:
         raise ContractViolation(f"{what}: duplicate rows for {list(key)}")
 
 
+def once_per_key(df: DataFrame, key: Sequence[str], what: str) -> DataFrame:
+    """One row per key; a key with more rows is an error of the job that reads the result, so that nothing is read
+    twice to find out. The rows meet in the shuffle of the join that follows."""
+    rest = [c for c in df.columns if c not in key]
+    again = F.raise_error(F.lit(f"{what}: duplicate rows for {list(key)}"))
+    row = F.first(F.struct(F.lit(True).alias("_there"), *[F.col(c) for c in rest]))
+    kept = df.groupBy(*key).agg(F.when(F.count(F.lit(1)) > 1, again.cast("boolean")).otherwise(True).alias("_once"), row.alias("_row"))
+    return kept.where("_once").select(*key, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
 def many_to_one(left: DataFrame, right: DataFrame, key: Sequence[str], check: bool = True) -> DataFrame:
-    """Attach features: the right key is unique and no left row stays without."""
-    if check:
-        assert_unique(right, key, "feature side")
-        if not left.join(right, list(key), "left_anti").isEmpty():
-            raise ContractViolation("missing features after the join")
-    return left.join(right, list(key), "left")
+    """Attach features: the right key is unique and no left row stays without. Both are checked in the one join; a
+    breach raises when the result is read."""
+    if not check:
+        return left.join(right, list(key), "left")
+    features = once_per_key(right, key, "feature side").withColumn("_found", F.lit(True))
+    lost = F.raise_error(F.lit("missing features after the join")).cast("boolean")
+    joined = left.join(features, list(key), "left")
+    return joined.where(F.when(F.col("_found").isNull(), lost).otherwise(True)).drop("_found")
 
 
 def one_to_one(left: DataFrame, right: DataFrame, key: Sequence[str], check: bool = True) -> DataFrame:
     if check:
-        assert_unique(left, key, "left side")
-        assert_unique(right, key, "right side")
+        left, right = once_per_key(left, key, "left side"), once_per_key(right, key, "right side")
     return left.join(right, list(key))
 
 
@@ -44,8 +55,15 @@ def semi(df: DataFrame, ids: DataFrame, key: Sequence[str]) -> DataFrame:
     return df.join(ids.select(*key), list(key), "left_semi")
 
 
+#: rows that a table of limits may have
+MOST_LIMITS = 10_000
+
+
 def within_limit(df: DataFrame, limits: DataFrame, cost: str, limit: str) -> DataFrame:
-    """Inequality join with a dimension table; the size of the table decides the plan."""
+    """Inequality join with a dimension table of at most MOST_LIMITS rows: every row meets every limit that it keeps, so
+    a long table of limits is an error instead of a join that grows with both sides."""
+    if limits.limit(MOST_LIMITS + 1).count() > MOST_LIMITS:
+        raise ValueError(f"more than {MOST_LIMITS} limits")
     return df.join(limits, F.col(cost) <= F.col(limit))
 
 

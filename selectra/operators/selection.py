@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import NumericType
 
 CASE = ("entity", "context", "budget")
+#: buckets whose counts lead to a page
+PAGE_BUCKETS = 256
 
 
 def ranked(candidates: DataFrame, case: Sequence[str] = CASE, candidate: str = "candidate",
@@ -158,10 +161,27 @@ def unknown_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
 
 
 def page(df: DataFrame, order: Sequence[str], batch: int, size: int) -> DataFrame:
-    """The batch-th page (from 1) of the table in the given total order."""
+    """The batch-th page (from 1) of the table in the given total order (nulls first).
+
+    Rows are counted by ordered buckets of the first column; only the buckets that the page touches are sorted, however
+    deep it lies. A column that is no number, and one whose values are all equal, are sorted whole.
+    """
     if batch < 1 or size < 1:
         raise ValueError("batch and size start at 1")
-    return df.orderBy(*order).offset((batch - 1) * size).limit(size)
+    first, skip = order[0], (batch - 1) * size
+    if not isinstance(df.schema[first].dataType, NumericType):
+        return df.orderBy(*order).offset(skip).limit(size)
+    cuts = sorted(set(df.approxQuantile(first, [i / PAGE_BUCKETS for i in range(1, PAGE_BUCKETS)], 0.25 / PAGE_BUCKETS)))
+    # how many cuts lie below the value; nulls come before all
+    bucket = F.when(F.col(first).isNull(), -1).otherwise(F.size(F.filter(F.lit(cuts), lambda c: c < F.col(first)))) if cuts else F.lit(0)
+    counts, before, touched = dict(df.groupBy(bucket.alias("b")).count().collect()), 0, []
+    start = 0
+    for b in sorted(counts):
+        if before + counts[b] > skip and before < skip + size:
+            start = before if not touched else start
+            touched.append(b)
+        before += counts[b]
+    return df.where(bucket.isin(touched or [-2])).orderBy(*order).offset(max(0, skip - start)).limit(size)
 
 
 def filter_cases(df: DataFrame, **wanted: str) -> DataFrame:

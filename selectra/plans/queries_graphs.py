@@ -299,6 +299,26 @@ def _(t: Tables):
     return graphs.diameters(t.wide_vertices, t.wide_edges).select("graph_id", "diameter")
 
 
+_WIDE_SIDES = """freqs AS (SELECT CAST(l_linenumber AS BIGINT) AS label, count(*) AS freq FROM lineitem GROUP BY ALL),
+    wide_sides AS (SELECT graph_id, node, label, freq, (node * 31 + label * 17) % 7 % 2 AS side FROM wide_vertices, freqs),
+    wide_cuts AS (SELECT a.graph_id, a.label, any_value(a.freq) AS freq, count(*) FILTER (a.side <> b.side) AS cut
+      FROM wide_edges e JOIN wide_sides a ON a.graph_id = e.graph_id AND a.node = e.u
+      JOIN wide_sides b ON b.graph_id = e.graph_id AND b.node = e.v AND b.label = a.label GROUP BY a.graph_id, a.label)"""
+
+
+@query("agg_weighted_counts_wide", rounded_sql(sql("""
+    SELECT graph_id, CAST(sum(cut * freq) AS DOUBLE) / sum(freq) AS expected, max(cut) AS best, CAST(sum(freq) AS BIGINT) AS total
+    FROM wide_cuts GROUP BY ALL""", "wide_vertices", "wide_edges", extra=_WIDE_SIDES), "expected"))
+def _(t: Tables):
+    """The same for graphs of any size: seven labellings, each as often as its line number."""
+    freqs = t.read("lineitem").groupBy(F.col("l_linenumber").cast("bigint").alias("label")).agg(n_rows().alias("freq"))
+    labels = F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(7).cast("bigint")))
+    sides = t.wide_vertices.withColumn("label", labels).withColumn(
+        "side", (F.col("node") * 31 + F.col("label") * 17) % 7 % 2)
+    cuts = graphs.block_cut(t.wide_edges, graphs.label_blocks(sides)).join(freqs, "label")
+    return rounded(aggregates.weighted_expectation(cuts, ["graph_id"], "cut", "freq"))
+
+
 # every part is a checked query of its own; the whole is their join
 _STRUCTURE = f"SELECT * FROM ({SQL['agg_degree_stats']})" + "".join(f" JOIN ({SQL[name]}) USING (graph_id)" for name in (
     "triangle_count", "triangle_density", "local_clustering_avg", "transitivity", "degree_assortativity",

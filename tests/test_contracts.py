@@ -26,10 +26,13 @@ def test_report_and_fail_fast(spark):
 def test_cardinality_promises(spark):
     left = spark.createDataFrame([(1, "a"), (2, "b")], "k bigint, x string")
     twice = spark.createDataFrame([(1, 1), (1, 2), (2, 3)], "k bigint, y bigint")
-    with pytest.raises(ContractViolation):
-        joins.one_to_one(left, twice, ["k"])
-    with pytest.raises(ContractViolation):
-        joins.many_to_one(left, twice.where("y = 3"), ["k"])
+    for broken, reason in ((joins.one_to_one(left, twice, ["k"]), "right side: duplicate rows"),
+                           (joins.one_to_one(twice, left, ["k"]), "left side: duplicate rows"),
+                           (joins.many_to_one(left, twice, ["k"]), "feature side: duplicate rows"),
+                           (joins.many_to_one(left, twice.where("y = 3"), ["k"]), "missing features")):
+        for read in (lambda df: df.collect(), lambda df: df.count()):  # whatever is read of it
+            with pytest.raises(Exception, match=reason):
+                read(broken)
     with pytest.raises(ContractViolation, match="outcome"):
         joins.training_table(left.withColumn("depth", F.lit(1)), left, ["k"], ["depth"])
 
@@ -150,3 +153,32 @@ def test_stream_totals_equal_the_batch_with_a_late_file(spark, tmp_path):
     many = [str(i) for i in range(70)]  # more items than the bits of a mask
     assert jobs.completeness(stream(), "user", "kind", many, "c").count() == 0
     assert [r["user"] for r in jobs.completeness(stream(), "user", "kind", ["a", "b", "c"], "e").collect()] == [1]
+
+
+@pytest.mark.parametrize("buckets", [256, 3])
+def test_pages_are_found_by_counts(spark, monkeypatch, buckets):
+    from selectra.operators import selection
+
+    monkeypatch.setattr(selection, "PAGE_BUCKETS", buckets)
+    values = [None] * 5 + [7.0] * 40 + [float(i % 23) for i in range(60)]  # nulls, a hot value, ties
+    df = spark.createDataFrame([(i, v, str(v)) for i, v in enumerate(values)], "id bigint, x double, t string").repartition(4)
+    whole = [i for i, _ in sorted(enumerate(values), key=lambda p: (p[1] is not None, p[1] or 0.0, p[0]))]
+    for batch in range(1, 13):
+        got = [r["id"] for r in selection.page(df, ["x", "id"], batch, 10).collect()]
+        assert got == whole[(batch - 1) * 10:batch * 10], batch
+    assert selection.page(df.where("id < 0"), ["x", "id"], 1, 10).count() == 0
+    assert [r["id"] for r in selection.page(df, ["t", "id"], 1, 3).collect()] == sorted(range(105), key=lambda i: (str(float(values[i])) if values[i] is not None else "None", i))[:3]
+
+
+def test_limits_are_few(spark, monkeypatch):
+    monkeypatch.setattr(joins, "MOST_LIMITS", 2)
+    rows = spark.createDataFrame([(1,), (5,)], "cost bigint")
+    limits = spark.createDataFrame([(3,), (9,)], "most bigint")
+    assert joins.within_limit(rows, limits, "cost", "most").count() == 3
+    with pytest.raises(ValueError, match="more than 2"):
+        joins.within_limit(rows, limits.union(limits), "cost", "most")
+
+
+def test_fingerprint_sees_the_last_digit(spark):
+    one = lambda x: sinks.fingerprint(spark.createDataFrame([(x,)], "x double")).first()["content_sha256"]
+    assert one(0.1) != one(0.1 + 2 ** -56) and one(1e300) != one(1.0000000000000002e300) and one(None) != one(0.0)

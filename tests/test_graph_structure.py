@@ -210,3 +210,17 @@ def test_few_searches_close_the_diameter(spark):
     for g, (n, edges) in made.items():
         assert rows[g]["diameter"] == brute(n, edges)["diameter"], g
     assert rows[1]["searches"] <= 15 and rows[2]["searches"] < 40 and rows[3]["searches"] <= 4
+
+
+def test_cuts_of_wide_labellings(spark):
+    """Two hundred nodes, which no single mask holds."""
+    draw = random.Random(12)
+    n = 200
+    edges = [p for p in itertools.combinations(range(n), 2) if draw.random() < 0.03]
+    labellings = {k: [draw.randrange(2) for _ in range(n)] for k in range(5)} | {9: [0] * n}
+    _, e = frames(spark, {1: (n, edges)})
+    sides = spark.createDataFrame([(g, k, i, s) for g, count in ((1, n), (2, 3)) for k, label in labellings.items()
+                                   for i, s in enumerate(label[:count])], "graph_id bigint, label bigint, node bigint, side int")
+    got = {(r["graph_id"], r["label"]): r["cut"] for r in graphs.block_cut(e, graphs.label_blocks(sides)).collect()}
+    assert got == {(1, k): sum(label[u] != label[v] for u, v in edges) for k, label in labellings.items()} | {
+        (2, k): 0 for k in labellings}
