@@ -602,8 +602,47 @@ def random_edges(specs: DataFrame, probability: str = "probability", seed: str =
     return rows.select("graph_id", "u", F.explode(hit).alias("v"))
 
 
-def regular_edges(specs: DataFrame, degree: int = 4, seed: str = "seed") -> DataFrame:
-    """A simple ``degree``-regular graph per spec (graph_id, num_nodes, seed).
+def regular_edges(specs: DataFrame, degree: int = 4, seed: str = "seed", rounds: int = 4) -> DataFrame:
+    """A simple ``degree``-regular graph per spec (graph_id, num_nodes, seed): a circulant, then rounds of seeded edge
+    switches (``switched``), by which every regular graph can come out."""
+    start = circulant_edges(specs, degree, seed)
+    return switched(start, specs.select("graph_id", F.col(seed).alias("_seed")), rounds)
+
+
+def switched(edges: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
+    """Random switches that keep every degree: two edges a-b, c-d become a-d, c-b or a-c, b-d.
+
+    A round pairs all edges of a graph in seeded order and carries out, at once, the switches that stay clear of loops,
+    of the round's edges and of each other. ``seeds`` has a row (graph_id, _seed) per graph.
+    """
+    for r in range(rounds):
+        edges = materialise(edges)
+        label = lambda role: F.concat_ws("|", F.col("_seed").cast("string"), F.lit(role), F.lit(str(r)))
+        placed = hash_rank(edges.join(seeds, "graph_id"), ["u", "v"], label("pair"), ["graph_id"], "_pos", "_n")
+        pairs = placed.groupBy("graph_id", F.floor((F.col("_pos") - 1) / 2).cast("bigint").alias("_k")).agg(
+            F.count(F.lit(1)).alias("_c"), F.first("_seed").alias("_seed"),
+            F.min(F.struct("_pos", "u", "v")).alias("_e"), F.max(F.struct("_pos", "u", "v")).alias("_f"))
+        across = hash_int(row_hash(label("way"), "_k")) % 2 == 0
+        a, b, c, d = (F.col(x) for x in ("_e.u", "_e.v", "_f.u", "_f.v"))
+        edge = lambda x, y: F.struct(F.least(x, y).alias("u"), F.greatest(x, y).alias("v"))
+        one = F.when(across, edge(a, d)).otherwise(edge(a, c))
+        two = F.when(across, edge(c, b)).otherwise(edge(b, d))
+        asked = materialise(pairs.select("graph_id", "_k", "_e", "_f", "_c", one.alias("_x"), two.alias("_y")).withColumn(
+            "_fit", (F.col("_c") == 2) & (F.col("_x.u") < F.col("_x.v")) & (F.col("_y.u") < F.col("_y.v")) & (F.col("_x") != F.col("_y"))))
+        fresh = asked.where("_fit").select("graph_id", "_k", F.explode(F.array("_x", "_y")).alias("_s")).select("graph_id", "_k", "_s.u", "_s.v")
+        taken = fresh.join(edges, ["graph_id", "u", "v"], "left_semi").select("graph_id", "_k")
+        twice = fresh.groupBy("graph_id", "u", "v").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
+        clash = fresh.join(twice, ["graph_id", "u", "v"], "left_semi").select("graph_id", "_k")
+        bad = taken.unionByName(clash).distinct().withColumn("_bad", F.lit(True))
+        moved = asked.join(bad, ["graph_id", "_k"], "left").withColumn("_go", F.col("_fit") & F.col("_bad").isNull())
+        pick = lambda new, old: F.when(F.col("_go"), F.struct(f"{new}.u", f"{new}.v")).otherwise(F.struct(f"{old}.u", f"{old}.v"))
+        both = F.when(F.col("_c") == 2, F.array(pick("_x", "_e"), pick("_y", "_f"))).otherwise(F.array(F.struct("_e.u", "_e.v")))
+        edges = moved.select("graph_id", F.explode(both).alias("_s")).select("graph_id", "_s.u", "_s.v")
+    return edges
+
+
+def circulant_edges(specs: DataFrame, degree: int = 4, seed: str = "seed") -> DataFrame:
+    """A circulant per spec, the start of the switches.
 
     The nodes stand on a circle in seeded order; each meets those at degree/2
     consecutive distances from a seeded one on, and the opposite one when the

@@ -204,11 +204,40 @@ _CIRCLES = _PAIRS + """,
         % ((num_nodes - 1) // 2) AS step FROM customer_specs, (SELECT unnest(range(2)) AS j))"""
 
 
-@query("random_regular_edges", sql("""
-    SELECT a.graph_id, least(a.node, b.node) AS u, greatest(a.node, b.node) AS v FROM placed a JOIN steps s ON s.graph_id = a.graph_id
-    JOIN placed b ON b.graph_id = a.graph_id AND b.pos = (a.pos + s.step) % a.num_nodes""", "customer_specs", extra=_CIRCLES))
+SWITCH_ROUNDS = 4
+
+
+def _switch_sql(r: int) -> str:
+    """One round of edge switches: edges of round r to edges of round r + 1."""
+    tag = lambda role: f"CAST(s.seed AS VARCHAR) || '|{role}|{r}|'"
+    return f"""pos{r} AS (SELECT e.*, s.seed, row_number() OVER (PARTITION BY e.graph_id ORDER BY
+        md5({tag("pair")} || CAST(u AS VARCHAR) || '|' || CAST(v AS VARCHAR)), u, v) - 1 AS p FROM circle{r} e JOIN customer_specs s USING (graph_id)),
+    pair{r} AS (SELECT s.graph_id, s.p // 2 AS k, s.u AS a, s.v AS b, t.u AS c, t.v AS d,
+        CAST('0x' || substr(md5({tag("way")} || CAST(s.p // 2 AS VARCHAR)), 1, 8) AS BIGINT) % 2 = 0 AS across
+      FROM pos{r} s LEFT JOIN pos{r} t ON t.graph_id = s.graph_id AND t.p = s.p + 1 WHERE s.p % 2 = 0),
+    ask{r} AS (SELECT *, CASE WHEN across THEN least(a, d) ELSE least(a, c) END AS x1, CASE WHEN across THEN greatest(a, d) ELSE greatest(a, c) END AS y1,
+        CASE WHEN across THEN least(c, b) ELSE least(b, d) END AS x2, CASE WHEN across THEN greatest(c, b) ELSE greatest(b, d) END AS y2 FROM pair{r}),
+    fresh{r} AS (SELECT graph_id, k, unnest([x1, x2]) AS u, unnest([y1, y2]) AS v FROM ask{r}
+      WHERE c IS NOT NULL AND x1 < y1 AND x2 < y2 AND NOT (x1 = x2 AND y1 = y2)),
+    good{r} AS (SELECT graph_id, k FROM fresh{r} f GROUP BY graph_id, k EXCEPT (
+      SELECT graph_id, k FROM fresh{r} SEMI JOIN circle{r} USING (graph_id, u, v)
+      UNION SELECT graph_id, k FROM fresh{r} SEMI JOIN (SELECT graph_id, u, v FROM fresh{r} GROUP BY ALL HAVING count(*) > 1) USING (graph_id, u, v))),
+    circle{r + 1} AS MATERIALIZED (
+      SELECT f.graph_id, f.u, f.v FROM fresh{r} f SEMI JOIN good{r} USING (graph_id, k)
+      UNION ALL SELECT graph_id, unnest([a, c]) AS u, unnest([b, d]) AS v FROM pair{r} ANTI JOIN good{r} USING (graph_id, k) WHERE c IS NOT NULL
+      UNION ALL SELECT graph_id, a, b FROM pair{r} WHERE c IS NULL)"""
+
+
+_SWITCHED = _CIRCLES + """,
+    circle0 AS MATERIALIZED (SELECT a.graph_id, least(a.node, b.node) AS u, greatest(a.node, b.node) AS v FROM placed a
+      JOIN steps s ON s.graph_id = a.graph_id JOIN placed b ON b.graph_id = a.graph_id AND b.pos = (a.pos + s.step) % a.num_nodes),
+    """ + ",\n    ".join(_switch_sql(r) for r in range(SWITCH_ROUNDS))
+
+
+@query("random_regular_edges", sql(f"SELECT graph_id, u, v FROM circle{SWITCH_ROUNDS}", "customer_specs", extra=_SWITCHED))
 def _(t: Tables):
-    return graphs.regular_edges(t.customer_specs)
+    """Seeded regular graphs: circulants after rounds of edge switches."""
+    return graphs.regular_edges(t.customer_specs, rounds=SWITCH_ROUNDS)
 
 
 @query("random_regular_degrees", sql("""

@@ -224,3 +224,25 @@ def test_cuts_of_wide_labellings(spark):
     got = {(r["graph_id"], r["label"]): r["cut"] for r in graphs.block_cut(e, graphs.label_blocks(sides)).collect()}
     assert got == {(1, k): sum(label[u] != label[v] for u, v in edges) for k, label in labellings.items()} | {
         (2, k): 0 for k in labellings}
+
+
+def test_switches_reach_other_regular_graphs(spark):
+    """Degrees stay, graphs stay simple, and triangles and connectivity vary over the seeds."""
+    specs = spark.createDataFrame([(i, 14, 100 + i) for i in range(60)], "graph_id bigint, num_nodes bigint, seed bigint")
+    by = {}
+    for r in graphs.regular_edges(specs, 2, rounds=6).collect():
+        by.setdefault(r["graph_id"], []).append((r["u"], r["v"]))
+    pieces, seen = set(), set()
+    for edges in by.values():
+        assert len(set(edges)) == len(edges) == 14 and all(u < v for u, v in edges)
+        f = brute(14, edges)
+        assert f["min_degree"] == f["max_degree"] == 2
+        pieces.add(f["component_count"])
+        seen.add(tuple(sorted(edges)))
+    assert len(pieces) > 1 and len(seen) == 60
+    cubic = {}
+    for r in graphs.regular_edges(specs, 3, rounds=6).collect():
+        cubic.setdefault(r["graph_id"], []).append((r["u"], r["v"]))
+    features = [brute(14, edges) for edges in cubic.values()]
+    assert all(f["min_degree"] == f["max_degree"] == 3 for f in features)
+    assert len({f["triangle_count"] for f in features}) > 2
