@@ -198,7 +198,7 @@ _WEIGHED = draws_sql("(SELECT scope, r, a, b, d, entity FROM units, reps)", "ent
 
 @query("bootstrap_ci_poisson", rounded_sql(sql(f"""
     SELECT scope, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM (
-      SELECT scope, r, sum(w * d) / sum(w) AS m FROM (
+      SELECT scope, r, sum(w * d) / nullif(sum(w), 0) AS m FROM (
         SELECT scope, r, d, {_poisson_weight("q")} AS w FROM (
           SELECT scope, r, d, h / {PRIME}::DOUBLE AS q FROM {_WEIGHED})) GROUP BY ALL) GROUP BY ALL""",
     "cases", extra=_UNITS + f", reps AS MATERIALIZED {keys_sql(REPETITIONS, SEED)}"), "ci_low ci_high"))
