@@ -11,6 +11,11 @@ signs under further orders too. Equal sets are one node. Sets that share a fragm
 components are known, only pairs between different components are compared further. Where many share a fragment, sets
 that cannot link are taken out first: an n-gram that no other set of such a crowd has adds to no overlap there.
 
+What no such centre brings together meets in blocks of bounded size as sketches, one bit per bucket of hashes that tells
+whether the set has an odd number of n-grams there. Two sets differ in at least as many n-grams as their sketches in
+bits, so a sketch rules pairs out for certain and only the few that remain are counted by fragments. A block that finds
+many goes on with pairs that would join what it holds (a forest); what lies between components then meets once more.
+
 Cases: texts without words (null, empty, blank) have the empty set and link with nothing: they are their own component;
 fewer than n words are one n-gram; repeated rows and equal texts are one node with all their ids; a null id is never
 the smallest (a component of null ids alone has a null id); an empty table gives no rows; other columns are not read.
@@ -27,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from selectra.llm.shingles import components, mixed, rolled, word_hashes
-from selectra.session import materialise
+from selectra.session import materialise, spread
 
 #: ratio of neighbouring size classes; orders tried by sets with many empty fragments; fragments of the overlap count
 RATIO, ORDERS, FRAGMENTS = 1.5, 8, 8
-#: rounds in which a group is compared with a single member, before all that is left is compared
-STAR_ROUNDS = 4
+#: rounds in which a group is compared with a single member, before what is left meets in blocks
+STAR_ROUNDS = 2
+#: bits of a sketch per n-gram at least, the fewest bits, bytes of sketches of a block, pairs per set that are many
+SKETCH_BITS, LEAST_BITS, BLOCK_BYTES, MANY = 4, 512, 1 << 21, 4
 #: sets with a common fragment are a crowd above so many; times that sets which cannot link are taken out of crowds
 CROWD, SIFTINGS = 8, 2
 
@@ -108,49 +115,50 @@ def signatures(grams: np.ndarray, like: Likeness) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _nodes(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rest, size, key, node = batch.columns[:-1], [], [], []
-        for text in batch.column(batch.num_columns - 1):
-            grams = gram_set(text.as_py(), n)
-            size.append(len(grams))
-            key.append(node_of(grams) if len(grams) else None)
-            node.append(_number(key[-1]) if len(grams) else None)
-        yield pa.RecordBatch.from_arrays(
-            [*rest, pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(node, pa.int64())],
-            [*batch.schema.names[:-1], "_size", "_key", "_node"])
+def sketch(grams: np.ndarray) -> bytes:
+    """A bit per bucket of hashes: whether an odd number of the n-grams lie there."""
+    bits = LEAST_BITS
+    while bits < SKETCH_BITS * len(grams):
+        bits *= 2
+    # buckets of the low bits, so that the two halves of a sketch laid on each other are the sketch of half the bits
+    counts = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
-def _signed(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()  # copies within a task sign once
-    for batch in batches:
-        signs, nodes, counts, rows = [], [], [], 0
-        for text in batch.column(0):
-            grams = gram_set(text.as_py(), like.n)
-            node = _number(node_of(grams)) if len(grams) else None
-            if node is None or node in seen:
-                continue
-            if len(seen) >= 1_000_000:
-                seen.clear()
-            seen.add(node)
-            signs.append(signatures(grams, like).view(np.int64))
-            nodes.append(node)
-            counts.append(len(signs[-1]))
-            rows += counts[-1]
-            if rows >= 200_000:
-                yield _columns(signs, nodes, counts)
-                signs, nodes, counts, rows = [], [], [], 0
-        if signs:
-            yield _columns(signs, nodes, counts)
+def narrowed(bits: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (rows of bytes) laid on themselves until they are ``width`` bytes wide."""
+    while bits.shape[1] > width:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
 
 
-def _columns(signs, nodes, counts) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(signs)), pa.array(np.repeat(nodes, counts))],
-                                      ["sign", "node"])
+def _signed(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
+    """Size, key and number of each text's set, and its signatures where a task meets the set for the first time."""
+    seen: set[int] = set()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part, size, key, node, signs = batch.slice(at, 1000), [], [], [], []
+            for text in part.column(part.num_columns - 1):
+                grams = gram_set(text.as_py(), like.n)
+                size.append(len(grams))
+                key.append(node_of(grams) if len(grams) else None)
+                node.append(_number(key[-1]) if len(grams) else None)
+                if node[-1] is None or node[-1] in seen:
+                    signs.append(None)
+                    continue
+                if len(seen) >= 1_000_000:
+                    seen.clear()
+                seen.add(node[-1])
+                signs.append(signatures(grams, like).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[:-1], pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(node, pa.int64()),
+                 pa.array(signs, pa.list_(pa.int64()))],
+                [*part.schema.names[:-1], "_size", "_key", "_node", "_signs"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """The fragments of a set as rows of (node, key, size, fragment, grams)."""
+    """The fragments of a set as rows of (node, key, size, fragment, grams), the first with the sketch of the set."""
     seen: set[bytes] = set()
     for batch in batches:
         rows = []
@@ -164,10 +172,11 @@ def _cut(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
             seen.add(key)
             part = (grams >> np.uint64(61)).astype(np.int64)
             cuts = np.searchsorted(part, np.arange(FRAGMENTS + 1))
-            rows += [(_number(key), key, len(grams), f, grams[cuts[f]:cuts[f + 1]].view(np.int64)) for f in range(FRAGMENTS)]
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 5, kinds)],
-                                         ["node", "key", "size", "fragment", "grams"])
+            rows += [(_number(key), key, len(grams), f, grams[cuts[f]:cuts[f + 1]].view(np.int64),
+                      None if f else sketch(grams)) for f in range(FRAGMENTS)]
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 6, kinds)],
+                                         ["node", "key", "size", "fragment", "grams", "sketch"])
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,11 +219,64 @@ def can_link(like: Likeness, met: Column, both_sizes: Column) -> Column:
     return (like.num + like.den) * met >= like.num * both_sizes
 
 
+def near_pairs(table: pa.Table, like: Likeness, whole: bool) -> pa.Table:
+    """(a, b): the pairs of two blocks (or of one) that sizes, ``met`` and sketches allow to link and that lie in
+    different components. Unless ``whole``, those beyond ``MANY`` a set only if they join two components of the blocks,
+    and a row of nulls then tells that some were left out."""
+    block, node, size, met = (table.column(c).to_numpy() for c in ("block", "node", "size", "met"))
+    label = np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
+    sketches = table.column("sketch").to_pylist()
+    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+    wide = np.array([len(x) for x in sketches])
+    rows_of, bits_of = {}, {}
+    for w in np.unique(wide).tolist():  # every sketch that is as wide or wider, narrowed
+        rows_of[w] = np.cumsum(wide >= w) - 1
+        bits_of[w] = np.concatenate([narrowed(np.frombuffer(x, np.uint8)[None], w) for x in sketches if len(x) >= w]
+                                    ).view(np.uint64)
+    there = np.flatnonzero(block == high)
+    out, left_out = [], False
+    for r in np.flatnonzero(block == low):
+        other = there[(there > r) if low == high else slice(None)]
+        other = other[label[other] != label[r]]
+        both = size[other] + size[r]
+        need = -(-like.num * both // (like.num + like.den))  # the least overlap that links
+        fits = np.minimum(met[other], met[r]) >= need
+        other, most = other[fits], (both - 2 * need)[fits]
+        apart = np.zeros(len(other), np.int64)
+        for w in np.unique(np.minimum(wide[other], wide[r])).tolist():
+            mine = np.minimum(wide[other], wide[r]) == w
+            bits = bits_of[w]
+            apart[mine] = np.bitwise_count(bits[rows_of[w][other[mine]]] ^ bits[rows_of[w][r]]).sum(1, dtype=np.int64)
+        other, apart = other[apart <= most], apart[apart <= most]
+        if not whole and len(out) + len(other) > MANY * len(node):
+            left_out = True
+            other = other[np.argsort(apart, kind="stable")]
+            other = other[np.unique(label[other], return_index=True)[1]]  # the nearest of each component
+            label[np.isin(label, label[other])] = label[r]
+        out += [(node[r], node[o]) for o in other]
+    pairs = np.sort(np.array(out, np.int64).reshape(-1, 2), 1)
+    found = pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+    none = pa.table({"a": pa.array([None], pa.int64()), "b": pa.array([None], pa.int64())})
+    return pa.concat_tables([found, none]) if left_out else found
+
+
+def left_pairs(rest: DataFrame, sketches: DataFrame, like: Likeness, whole: bool) -> DataFrame:
+    """The pairs (a, b) of members of a group that may still link, and a pair of nulls if more are left. A group is dealt to blocks of about ``BLOCK_BYTES``
+    of sketches and every two of its blocks meet in a task."""
+    members = rest.join(sketches, "node")
+    blocks = members.groupBy("sign").agg(F.ceil(F.sum(F.length("sketch")) / BLOCK_BYTES).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "sign").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "sign", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node",
+        "component", "size", "met", "sketch")
+    return spread(met, "sign", "low", "high").groupBy("sign", "low", "high").applyInArrow(lambda t: near_pairs(t, like, whole), "a bigint, b bigint")
+
+
 def node_components(texts: DataFrame, nodes: DataFrame, like: Likeness) -> DataFrame:
     """(node, component) of the nodes that link with another one. ``texts`` has doc_id and text, ``nodes`` has
-    doc_id, _text (a hash of the text), _key and _node of the same rows."""
+    doc_id, _text (a hash of the text), _key, _node and _signs of the same rows."""
     width = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    signed = (texts.select("text").mapInArrow(lambda b: _signed(b, like), "sign bigint, node bigint")
+    signed = (nodes.where("_signs IS NOT NULL").select(F.explode("_signs").alias("sign"), F.col("_node").alias("node"))
               .repartition(width, "sign"))
     groups = signed.groupBy("sign").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     members = materialise(signed.join(groups, "sign").select("sign", "node").distinct())
@@ -227,9 +289,9 @@ def node_components(texts: DataFrame, nodes: DataFrame, like: Likeness) -> DataF
                       "left_semi")
     parts = materialise(
         sets.select("text").mapInArrow(lambda b: _cut(b, like.n),
-                                       "node bigint, key binary, size bigint, fragment int, grams array<bigint>")
+                                       "node bigint, key binary, size bigint, fragment int, grams array<bigint>, sketch binary")
         .groupBy("key", "fragment").agg(F.first("node").alias("node"), F.first("size").alias("size"),
-                                        F.first("grams").alias("grams")))
+                                        F.first("grams").alias("grams"), F.first("sketch").alias("sketch")))
     crowds = members.groupBy("sign").agg((F.count("*") > CROWD).alias("crowded"))
     placed = materialise(members.join(crowds, "sign"))
     # partners in a crowd are all in crowds, so what those share bounds the overlap there
@@ -242,8 +304,9 @@ def node_components(texts: DataFrame, nodes: DataFrame, like: Likeness) -> DataF
     few = placed.where("NOT crowded").join(sizes, "node").select("sign", "node", "size", F.col("size").alias("met"))
     members = materialise(crowd.select("sign", "node", "size", "met").union(few))
     links = parts.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    sketches = parts.where("fragment = 0").select("node", "sketch")
     found, done = links, None
-    for turn in range(STAR_ROUNDS + 1):
+    for turn in range(STAR_ROUNDS + 2):
         if done is None:
             labelled = members.withColumn("component", F.col("node"))
         else:
@@ -260,18 +323,17 @@ def node_components(texts: DataFrame, nodes: DataFrame, like: Likeness) -> DataF
                 like, F.least("met", "centre.met"), F.col("size") + F.col("centre.size"))).select(
                 F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"))
         else:
-            side = lambda s: rest.select(
-                "sign", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "component", "size", "met")])
-            pairs = side("a").join(side("b"), "sign").where("a_node < b_node AND a_component <> b_component").where(
-                can_link(like, F.least("a_met", "b_met"), F.col("a_size") + F.col("b_size"))).select(
-                F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+            pairs = left_pairs(rest.drop("centre"), sketches, like, whole=turn > STAR_ROUNDS)
         pairs = materialise(pairs.distinct())
-        if pairs.isEmpty():
+        more = turn < STAR_ROUNDS or not pairs.where("a IS NULL").isEmpty()
+        pairs = pairs.where("a IS NOT NULL")
+        if not pairs.isEmpty():
+            new = materialise(verified(pairs, parts, like))
+            if not new.isEmpty():
+                found = materialise(found.union(new).distinct())
+                done = materialise(components(found))
+        if not more:
             break
-        new = materialise(verified(pairs, parts, like))
-        if not new.isEmpty():
-            found = materialise(found.union(new).distinct())
-            done = materialise(components(found))
     return done if done is not None else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
@@ -280,8 +342,8 @@ def join_groups(docs: DataFrame, like: Likeness) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     nodes = materialise(
         texts.select("doc_id", F.xxhash64("text").alias("_text"), "text")
-        .mapInArrow(lambda b: _nodes(b, like.n),
-                    "doc_id bigint, _text bigint, _size bigint, _key binary, _node bigint"))
+        .mapInArrow(lambda b: _signed(b, like), "doc_id bigint, _text bigint, _size bigint, _key binary, _node bigint, "
+                                                "_signs array<bigint>"))
     linked = node_components(texts, nodes, like)
     # per set its smallest id, then per component, then back; a set is one row here however many copies it has
     by_set = nodes.where("_key IS NOT NULL").groupBy("_key", "_node").agg(F.min("doc_id").alias("least"))
