@@ -1,13 +1,14 @@
 """Benchmark decontamination by the q-gram lemma: find passages within a budget of edits of a benchmark item.
 
 An item of m characters that occurs with at most k edits keeps m - q + 1 - k * q of its q-grams, on diagonals at most k
-apart. So the shared q-grams of a text are counted in overlapping bands of diagonals, bands with fewer are dropped, and
+apart. k is the stated share of m, and q the longest of 8, 4, 2 and 1 with which at least one q-gram is kept. So the shared q-grams of a text are counted in overlapping bands of diagonals, bands with fewer are dropped, and
 the others are verified by a banded alignment that gives the edits and the ends. The items are taken in blocks of a
 bounded size; each block goes to every executor and is searched in one narrow pass over the documents.
 
 Texts are compared without case and with runs of white space as one space; ends are given in the original text.
 
-Cases: null, empty or blank texts and items match nothing; items below q characters must occur as they are; repeated
+Cases: null, empty or blank texts and items match nothing; items below 8 characters whose share is
+no whole edit must occur as they are; repeated
 items and repeated rows are reported each for itself; of overlapping places of one item the best counts, then the first;
 long texts are searched in overlapping pieces; an empty table on either side gives no matches; other columns are kept.
 """
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+#: longest q-gram, a power of two
 Q = 8
 #: edits allowed, as a share of the item's characters
 EDITS = 0.10
@@ -48,16 +50,31 @@ def normal(text: str) -> tuple[np.ndarray, np.ndarray]:
     return codes[kept], kept
 
 
-def grams(codes: np.ndarray) -> np.ndarray:
+def grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
     """The 64-bit hash of the q-gram at each place; built up by doubling."""
     with np.errstate(over="ignore"):
         value, width = codes.astype(np.uint64), 1
-        for mix in _MIX[:3]:
+        while width < q:
+            mix = _MIX[width.bit_length() - 1]
             value = value[:-width] * mix + value[width:] if len(value) > width else value[:0]
             width *= 2
         return (value ^ (value >> np.uint64(31))) * _MIX[3]
 
 
+class Index:
+    """The q-grams of the items with one q: hashes in order, and the item and place of each."""
+
+    def __init__(self, q: int, members: list[int], codes: list[np.ndarray]):
+        self.q = q
+        each = [grams(codes[i], q) for i in members]
+        hashed, counts = np.concatenate(each), [len(g) for g in each]
+        order = np.argsort(hashed, kind="stable")
+        self.hashed, self.item = hashed[order], np.repeat(np.array(members, np.int64), counts)[order]
+        self.place = np.concatenate([np.arange(n) for n in counts])[order]
+        self.present = np.zeros(1 << _SLOTS, bool)
+        self.present[(self.hashed >> np.uint64(64 - _SLOTS)).astype(np.int64)] = True
+
+
 class Items:
     """A block of benchmark items, indexed by q-gram."""
 
@@ -69,17 +86,18 @@ class Items:
                 self.ids.append(item_id)
                 self.codes.append(codes)
         self.length = np.array([len(c) for c in self.codes], np.int64)
-        self.edits = np.clip(np.minimum((self.length * share).astype(np.int64), (self.length - Q) // Q), 0, None)
-        self.least = self.length - Q + 1 - self.edits * Q
-        each = [grams(c) for c in self.codes]
-        hashed = np.concatenate(each) if each else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(each)), [len(g) for g in each])
-        place = np.concatenate([np.arange(len(g)) for g in each]) if each else np.zeros(0, np.int64)
-        order = np.argsort(hashed, kind="stable")
-        self.hashed, self.item, self.place = hashed[order], item[order], place[order]
-        self.present = np.zeros(1 << _SLOTS, bool)
-        self.present[(self.hashed >> np.uint64(64 - _SLOTS)).astype(np.int64)] = True
-        self.short = [i for i, n in enumerate(self.length) if n < Q]
+        self.edits = np.minimum((self.length * share).astype(np.int64), np.maximum(self.length - 1, 0))
+        q = np.ones(len(self.codes), np.int64)
+        while True:  # twice as long while a q-gram is kept
+            longer = (2 * q <= Q) & (self.length - 2 * q + 1 - self.edits * 2 * q >= 1)
+            if not longer.any():
+                break
+            q[longer] *= 2
+        self.least = self.length - q + 1 - self.edits * q
+        exact = (self.length < Q) & (self.edits == 0)
+        self.short = np.flatnonzero(exact).tolist()
+        self.indexes = [Index(int(n), np.flatnonzero((q == n) & ~exact).tolist(), self.codes)
+                        for n in np.unique(q[~exact])]
 
     def search(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """Per text the (item_id, start, end, edits) of its matches."""
@@ -105,15 +123,28 @@ class Items:
         gap = np.zeros(1, np.uint32)  # occurs in no item, so no q-gram crosses it
         joined = np.concatenate([part for _, codes, _ in pieces for part in (codes, gap)])
         starts = np.cumsum([0] + [len(codes) + 1 for _, codes, _ in pieces])
-        hashed = grams(joined)
-        at = np.flatnonzero(self.present[(hashed >> np.uint64(64 - _SLOTS)).astype(np.int64)])
-        low = np.searchsorted(self.hashed, hashed[at], "left")
-        times = np.searchsorted(self.hashed, hashed[at], "right") - low
+        for index in self.indexes:
+            self._search_index(index, joined, starts, pieces, found)
+        for x in self.short:
+            wanted = self.codes[x].tobytes()
+            for number, codes, places in pieces:
+                raw, at = codes.tobytes(), -1
+                while (at := raw.find(wanted, at + 1)) >= 0:
+                    if at % 4 == 0:
+                        found[number].append((self.ids[x], int(places[at // 4]),
+                                              int(places[at // 4 + len(self.codes[x]) - 1]) + 1, 0))
+
+    def _search_index(self, index: Index, joined: np.ndarray, starts: np.ndarray,
+                      pieces: list[tuple[int, np.ndarray, np.ndarray]], found: list[list]) -> None:
+        hashed = grams(joined, index.q)
+        at = np.flatnonzero(index.present[(hashed >> np.uint64(64 - _SLOTS)).astype(np.int64)])
+        low = np.searchsorted(index.hashed, hashed[at], "left")
+        times = np.searchsorted(index.hashed, hashed[at], "right") - low
         at, low, times = at[times > 0], low[times > 0], times[times > 0]
         entry = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
-        place, item = np.repeat(at, times), self.item[entry]
+        place, item = np.repeat(at, times), index.item[entry]
         piece = np.searchsorted(starts, place, "right") - 1
-        diagonal = place - starts[piece] - self.place[entry] + self.length[item]
+        diagonal = place - starts[piece] - index.place[entry] + self.length[item]
         step = self.edits[item] + 1
         band = diagonal // step
         span = int(band.max(initial=0)) + 2
@@ -136,14 +167,6 @@ class Items:
             if place:
                 found[pieces[p][0]].append((self.ids[x], int(places[place[0]]), int(places[place[1] - 1]) + 1, place[2]))
             first = i + 1
-        for x in self.short:
-            wanted = self.codes[x].tobytes()
-            for number, codes, places in pieces:
-                raw, at = codes.tobytes(), -1
-                while (at := raw.find(wanted, at + 1)) >= 0:
-                    if at % 4 == 0:
-                        found[number].append((self.ids[x], int(places[at // 4]),
-                                              int(places[at // 4 + len(self.codes[x]) - 1]) + 1, 0))
 
     def _verify(self, codes: np.ndarray, item: int, low: int, high: int) -> tuple[int, int, int] | None:
         """The best place of the item that starts between the diagonals, if it needs few enough edits."""

@@ -146,6 +146,46 @@ def test_banded_alignment_equals_full_dynamic_programming():
         assert edits == min(row) and row[end] == edits
 
 
+@pytest.mark.parametrize("share", [0.1, 0.3])
+def test_items_of_every_length_are_found_with_all_edits_of_the_budget(share):
+    draw = random.Random(17)
+    for length in [*range(1, 64), 79, 80, 81, 200]:
+        item = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(length))
+        edits, changed = int(length * share), list(item)
+        for n in range(edits):  # spread evenly, which leaves the shortest equal runs
+            changed[(2 * n + 1) * length // (2 * edits)] = "#"
+        text = "0123 456789 " * 3 + "".join(changed) + " 9876 543210" * 3
+        found = decontamination.Items([(5, item)], share).search([text])[0]
+        assert [(m[0], m[3]) for m in found][:1] == [(5, edits)] or (found and found[0][3] <= edits), (length, edits)
+        assert not decontamination.Items([(5, item)], share).search(["0123 456789 " * 9])[0]
+
+
+def test_the_whole_search_equals_alignment_at_every_place():
+    draw = random.Random(23)
+    items = [(i, "".join(draw.choice("abcd ") for _ in range(n)).strip() or "a") for i, n in enumerate([9, 14, 22, 35, 48, 70])]
+    texts = []
+    for _ in range(60):
+        own = list(draw.choice(items)[1])
+        for _ in range(draw.randint(0, 6)):
+            at = draw.randrange(len(own) + 1)
+            own[at:at + draw.randint(0, 1)] = draw.choice(["", "x", "ab"])
+        texts.append("".join(draw.choice("efgh ") for _ in range(30)) + "".join(own) + "".join(draw.choice("efgh ") for _ in range(30)))
+    found = decontamination.Items(items, 0.1).search(texts)
+    for text, matches in zip(texts, found):
+        codes, _ = decontamination.normal(text)
+        for item_id, item in items:
+            wanted, _ = decontamination.normal(item)
+            row = [0] * (len(codes) + 1)
+            for i, w in enumerate(wanted, 1):
+                new = [i]
+                for j, t in enumerate(codes, 1):
+                    new.append(min(row[j - 1] + (w != t), row[j] + 1, new[j - 1] + 1))
+                row = new
+            within = min(row) <= int(len(wanted) * 0.1)
+            assert within == any(m[0] == item_id for m in matches), (item, text)
+            assert all(m[3] >= min(row) for m in matches if m[0] == item_id)
+
+
 def test_leaks_edge_cases(docs, nothing, benchmark):
     marked = decontamination.mark(docs, benchmark).collect()
     assert len(marked) == len(ROWS)
