@@ -1,5 +1,7 @@
 """The pipeline on small tables: what each stage keeps, and that every stage takes odd rows."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.conftest import ROWS, row
 
@@ -28,6 +30,19 @@ def test_stages_take_odd_rows(spark, docs, nothing):
         assert stage(spark, nothing, SMALL).count() == 0
 
 
+def test_stages_take_columns_named_like_their_own_results(spark, docs):
+    names = ["_rejected", "_score", "_leaks", "_key", "_blocks", "_deleted", "_chosen_id", "_chosen_text", "_text", "column_1"]
+    more = docs.select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, more, SMALL)
+        if name == "packing":
+            assert out.count() > 0
+            continue
+        assert out.columns == more.columns and out.dtypes == more.dtypes
+        rows = out.collect()
+        assert rows and all(r[n] == f"own {n}" for r in rows for n in names), name
+
+
 def test_contaminated_documents_go(spark, docs):
     items = [r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").limit(3).collect()]
     leaked = spark.createDataFrame([row(100 + i, f"before {t} after") for i, t in enumerate(items)], docs.schema)
