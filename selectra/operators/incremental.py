@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from selectra.operators.selection import keep_last
 from selectra.operators.stored import SPLIT_ROWS, KeyedTable
@@ -41,6 +41,29 @@ def missing_work(runs: DataFrame, entities: DataFrame, dimensions: Mapping[str,
         completed_keys(runs, key, success), key, "left_anti")
 
 
+def ingestion_report(runs: DataFrame, entities: DataFrame, entity: str, context: str, item: Sequence[str],
+                     expected: Mapping[str, int], success: Column, first: str) -> DataFrame:
+    """What an operator of the ingestion sees per entity and context: distinct items done, items missing, failed rows,
+    and a state. No other context of an entity may start before ``first`` is complete: until then it is blocked.
+
+    Every pair has a row, also those without runs; runs of other contexts are not counted.
+    """
+    tried = runs.groupBy(entity, context, *item).agg(
+        F.max(F.when(success, 1).otherwise(0)).alias("_done"), F.count_if(~success).alias("_failed"))
+    counts = tried.groupBy(entity, context).agg(F.sum("_done").alias("_d"), F.sum("_failed").alias("_f"))
+    grid = expected_grid(entities.select(entity).distinct(), {context: list(expected)})
+    wanted = F.create_map(*[F.lit(x) for pair in expected.items() for x in pair])[F.col(context)].cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    rows = grid.join(counts, [entity, context], "left").select(
+        entity, context, F.coalesce("_d", zero).alias("done"), wanted.alias("expected"),
+        F.greatest(wanted - F.coalesce("_d", zero), zero).alias("missing"),
+        F.coalesce("_f", zero).alias("failed_rows"))
+    # as many rows per entity as there are contexts
+    opened = F.max((F.col(context) == first) & (F.col("missing") == 0)).over(Window.partitionBy(entity))
+    return rows.withColumn("state", F.when(F.col("missing") == 0, "complete").when(
+        (F.col(context) != first) & ~opened, "blocked").when(F.col("done") == 0, "not started").otherwise("incomplete"))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], sequence: Sequence[str]) -> DataFrame:
     """Union of both, the last row of every key; ``new`` rows carry later sequence values."""
     return keep_last(old.unionByName(new), key, sequence)

@@ -44,6 +44,23 @@ def _(t: Tables):
     return incremental.missing_work(t.gap_runs, t.entities, {"context": CONTEXTS, "candidate": CANDIDATES}, "entity", t.success)
 
 
+@query("ingestion_report", sql("""
+    SELECT entity, context, done, expected, missing, failed_rows,
+           CASE WHEN missing = 0 THEN 'complete' WHEN context <> 'N' AND NOT opened THEN 'blocked'
+                WHEN done = 0 THEN 'not started' ELSE 'incomplete' END AS state
+    FROM (SELECT *, max(CASE WHEN context = 'N' AND missing = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY entity) = 1 AS opened FROM (
+      SELECT e.entity, c.context, coalesce(d.done, 0) AS done, 7::BIGINT AS expected,
+             greatest(7 - coalesce(d.done, 0), 0)::BIGINT AS missing, coalesce(d.failed_rows, 0) AS failed_rows
+      FROM entities e CROSS JOIN (VALUES ('N'), ('A'), ('R')) c(context)
+      LEFT JOIN (SELECT entity, context, count(DISTINCT candidate) FILTER (status = 'success') AS done,
+                        count(*) FILTER (status <> 'success') AS failed_rows FROM gap_runs GROUP BY entity, context) d
+        ON d.entity = e.entity AND d.context = c.context))""", "entities", "gap_runs"))
+def _(t: Tables):
+    """Every entity and context; N comes first, the others wait for it."""
+    return incremental.ingestion_report(
+        t.gap_runs, t.entities, "entity", "context", ["candidate"], {c: len(CANDIDATES) for c in ("N", "A", "R")}, t.success, "N")
+
+
 _LAST = """last_rows AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity, candidate, context, replicate
     ORDER BY measured_at DESC, price DESC, executions DESC, quality DESC, version DESC) AS k FROM runs) WHERE k = 1)"""
 

@@ -182,3 +182,18 @@ def test_limits_are_few(spark, monkeypatch):
 def test_fingerprint_sees_the_last_digit(spark):
     one = lambda x: sinks.fingerprint(spark.createDataFrame([(x,)], "x double")).first()["content_sha256"]
     assert one(0.1) != one(0.1 + 2 ** -56) and one(1e300) != one(1.0000000000000002e300) and one(None) != one(0.0)
+
+
+def test_ingestion_report_blocks_contexts_until_the_first_is_complete(spark):
+    runs = spark.createDataFrame(
+        [("g1", "base", c, "success") for c in "abc"] + [("g1", "noisy", "a", "success"), ("g1", "noisy", "a", "success"),
+         ("g1", "noisy", "b", "failed"), ("g2", "base", "a", "success"), ("g2", "noisy", "a", "success"),
+         ("g1", "other", "a", "success"), (None, "base", "a", "success")], "g string, x string, c string, status string")
+    entities = spark.createDataFrame([("g1",), ("g2",), ("g3",), ("g1",)], "g string")
+    report = incremental.ingestion_report(runs, entities, "g", "x", ["c"], {"base": 3, "noisy": 2}, F.col("status") == "success", "base")
+    assert sorted(map(tuple, report.collect())) == [
+        ("g1", "base", 3, 3, 0, 0, "complete"), ("g1", "noisy", 1, 2, 1, 1, "incomplete"),
+        ("g2", "base", 1, 3, 2, 0, "incomplete"), ("g2", "noisy", 1, 2, 1, 0, "blocked"),
+        ("g3", "base", 0, 3, 3, 0, "not started"), ("g3", "noisy", 0, 2, 2, 0, "blocked")]
+    assert incremental.ingestion_report(runs.limit(0), entities.limit(0), "g", "x", ["c"], {"base": 3}, F.col("status") == "success",
+                                        "base").count() == 0
