@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from selectra.operators import incremental, rules
-from selectra.plans.bindings import CANDIDATES, CONTEXTS, Tables, sql
+from selectra.operators import dataset, incremental, rules
+from selectra.plans.bindings import CANDIDATES, CONTEXTS, SEED, Tables, sql
 from selectra.plans.catalog import query
 from selectra.plans.shaping import rounded, rounded_sql
 from selectra.session import shared_dir
@@ -61,6 +61,44 @@ def _(t: Tables):
         t.gap_runs, t.entities, "entity", "context", ["candidate"], {c: len(CANDIDATES) for c in ("N", "A", "R")}, t.success, "N")
 
 
+# The learning dataset -------------------------------------------------------------------------
+
+DATASET = dataset.DatasetSpec(
+    "entity", "context", "candidate", ("depth", "optimizer", "shots"), "quality", CONTEXTS, len(CANDIDATES),
+    {"optimizer": {"COBYLA": 0, "SPSA": 1}, "context": {"A": 0, "N": 1, "R": 2}})
+
+_DATASET = """means AS (SELECT entity, context, candidate, depth, optimizer, shots, avg(quality) AS mean,
+      coalesce(stddev_samp(quality), 0) AS std, count(quality) AS n FROM gap_runs WHERE status = 'success' GROUP BY ALL),
+    common AS (SELECT entity FROM (SELECT entity, context, count(DISTINCT candidate) AS k FROM means GROUP BY entity, context)
+      GROUP BY entity HAVING count(*) FILTER (context IN ('A', 'N', 'R') AND k = 7) = 3),
+    assigned AS (SELECT entity, CASE WHEN r <= a THEN 'train' WHEN r <= a + b THEN 'validation' ELSE 'test' END AS split FROM (
+      SELECT entity, row_number() OVER (ORDER BY md5('2027|' || CAST(entity AS VARCHAR)), entity) AS r,
+             round_even(count(*) OVER () * CAST(0.70 AS DOUBLE), 0) AS a, round_even(count(*) OVER () * CAST(0.15 AS DOUBLE), 0) AS b
+      FROM common)),
+    dataset AS (SELECT m.*, split, f_price, f_quantity, f_discount, CASE optimizer WHEN 'COBYLA' THEN 0 ELSE 1 END::BIGINT AS optimizer_code,
+             CASE context WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END::BIGINT AS context_code
+      FROM means m JOIN assigned USING (entity) LEFT JOIN features USING (entity))"""
+
+
+def _dataset(t: Tables):
+    return dataset.build_dataset(t.gap_runs, t.features, DATASET, SEED, t.success)
+
+
+@query("dataset_build", rounded_sql(sql("SELECT * FROM dataset", "gap_runs", "features", extra=_DATASET),
+                                    "mean std f_price f_quantity f_discount"))
+def _(t: Tables):
+    """Replicate means, features, codes and splits of the entities that were measured everywhere."""
+    return rounded(_dataset(t))
+
+
+@query("dataset_population", sql("""
+    SELECT split, count(DISTINCT entity) AS entities, count(*) AS rows, count(*) FILTER (context = 'A') AS "rows_A",
+           count(*) FILTER (context = 'N') AS "rows_N", count(*) FILTER (context = 'R') AS "rows_R" FROM dataset GROUP BY split""",
+    "gap_runs", "features", extra=_DATASET))
+def _(t: Tables):
+    return dataset.population_report(_dataset(t), DATASET)
+
+
 _LAST = """last_rows AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity, candidate, context, replicate
     ORDER BY measured_at DESC, price DESC, executions DESC, quality DESC, version DESC) AS k FROM runs) WHERE k = 1)"""
 

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from selectra.operators import aggregates, incremental, joins, rules, statistics
+from selectra.operators import aggregates, dataset, incremental, joins, rules, statistics
 from selectra.operators.rules import ContractViolation
 from selectra.session import shared_dir
 from selectra.sources import readers, sinks
@@ -197,3 +197,21 @@ def test_ingestion_report_blocks_contexts_until_the_first_is_complete(spark):
         ("g3", "base", 0, 3, 3, 0, "not started"), ("g3", "noisy", 0, 2, 2, 0, "blocked")]
     assert incremental.ingestion_report(runs.limit(0), entities.limit(0), "g", "x", ["c"], {"base": 3}, F.col("status") == "success",
                                         "base").count() == 0
+
+
+def test_dataset_holds_the_common_population_alone(spark):
+    spec = dataset.DatasetSpec("g", "x", "c", ("d",), "y", ("n", "m"), 2, {"x": {"n": 0, "m": 1}})
+    runs = spark.createDataFrame(
+        [(g, x, c, 1, y, "success") for g in range(20) for x in "nm" for c in "ab" for y in (1.0, 3.0)]
+        + [(50, "n", "a", 1, 1.0, "success"), (50, "n", "b", 1, 1.0, "success"), (50, "m", "a", 1, 1.0, "success"),
+           (50, "m", "b", 1, 1.0, "failed"), (3, "other", "a", 1, 9.0, "success"), (None, "n", "a", 1, 1.0, "success")],
+        "g bigint, x string, c string, d int, y double, status string")
+    features = spark.createDataFrame([(g, float(g)) for g in range(1, 20)], "g bigint, f double")
+    rows = dataset.build_dataset(runs, features, spec, 7, F.col("status") == "success").collect()
+    assert len(rows) == 80 and {r.g for r in rows} == set(range(20))
+    assert all((r["mean"], r.n) == (2.0, 2) and abs(r["std"] - 2 ** 0.5) < 1e-12 for r in rows)
+    assert all(r.f == (None if r.g == 0 else float(r.g)) and r.x_code == "nm".index(r.x) for r in rows)
+    split = {r.g: r.split for r in rows}
+    assert sorted(split.values()).count("train") == 14 and list(split.values()).count("validation") == 3
+    assert all(split[r.g] == r.split for r in rows)
+    assert dataset.build_dataset(runs.limit(0), features, spec, 7).count() == 0
