@@ -37,7 +37,7 @@ from selectra.session import materialise, spread
 #: ratio of neighbouring size classes; orders tried by sets with many empty fragments; fragments of the overlap count
 RATIO, ORDERS, FRAGMENTS = 1.5, 8, 8
 #: rounds in which a group is compared with a single member, before what is left meets in blocks
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 #: bits of a sketch per n-gram at least, the fewest bits, bytes of sketches of a block, pairs per set that are many
 SKETCH_BITS, LEAST_BITS, BLOCK_BYTES, MANY = 4, 512, 1 << 21, 4
 #: sets with a common fragment are a crowd above so many; times that sets which cannot link are taken out of crowds
@@ -263,12 +263,12 @@ def near_pairs(table: pa.Table, like: Likeness, whole: bool) -> pa.Table:
 def left_pairs(rest: DataFrame, sketches: DataFrame, like: Likeness, whole: bool) -> DataFrame:
     """The pairs (a, b) of members of a group that may still link, and a pair of nulls if more are left. A group is dealt to blocks of about ``BLOCK_BYTES``
     of sketches and every two of its blocks meet in a task."""
-    members = rest.join(sketches, "node")
-    blocks = members.groupBy("sign").agg(F.ceil(F.sum(F.length("sketch")) / BLOCK_BYTES).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "sign").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sizes = rest.join(sketches.select("node", F.length("sketch").alias("bytes")), "node")
+    blocks = sizes.groupBy("sign").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
+    dealt = rest.join(blocks, "sign").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "sign", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node",
-        "component", "size", "met", "sketch")
+        "component", "size", "met").join(sketches, "node")
     return spread(met, "sign", "low", "high").groupBy("sign", "low", "high").applyInArrow(lambda t: near_pairs(t, like, whole), "a bigint, b bigint")
 
 
