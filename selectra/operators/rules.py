@@ -17,11 +17,21 @@ class ContractViolation(ValueError):
     """Raised in fail-fast mode."""
 
 
+def _column_status(df: DataFrame, required: Sequence[str]) -> list[tuple[str, str]]:
+    have, need = set(df.columns), set(required)
+    return [(c, "missing") for c in sorted(need - have)] + [(c, "extra") for c in sorted(have - need)]
+
+
 def column_report(df: DataFrame, required: Sequence[str]) -> DataFrame:
     """(column, status): 'missing' is fatal, 'extra' is only a warning."""
-    have, need = set(df.columns), set(required)
-    rows = [(c, "missing") for c in sorted(need - have)] + [(c, "extra") for c in sorted(have - need)]
-    return df.sparkSession.createDataFrame(rows, "column string, status string")
+    return df.sparkSession.createDataFrame(_column_status(df, required), "column string, status string")
+
+
+def counted_column_report(df: DataFrame, required: Sequence[str], count: str) -> DataFrame:
+    """The same with the number of rows that the answer is about, counted in one pass."""
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(s).alias("status")) for c, s in _column_status(df, required)])
+    return df.agg(F.count(F.lit(1)).alias(count)).select(
+        F.inline(rows.cast("array<struct<column:string,status:string>>")), count)
 
 
 def leakage_report(df: DataFrame, forbidden: Sequence[str]) -> list[str]:

@@ -191,12 +191,12 @@ _REQUIRED = ["entity", "context", "candidate", "replicate", "status", "quality",
 
 
 @query("rule_required_columns", sql("""
-    SELECT "column", status FROM (VALUES ('seed', 'missing'), ('best_quality', 'extra'), ('depth', 'extra'),
+    SELECT "column", status, n FROM (VALUES ('seed', 'missing'), ('best_quality', 'extra'), ('depth', 'extra'),
       ('executions', 'extra'), ('measured', 'extra'), ('measured_at', 'extra'), ('optimizer', 'extra'), ('optimum', 'extra'),
       ('price', 'extra'), ('reason', 'extra'), ('shots', 'extra'), ('total_cost', 'extra'), ('version', 'extra')
-    ) v("column", status)"""))
+    ) v("column", status), (SELECT count(*) AS n FROM lineitem)"""))
 def _(t: Tables):
-    return rules.column_report(t.runs, _REQUIRED)
+    return rules.counted_column_report(t.runs, _REQUIRED, "n")
 
 
 _DOMAINS = {"candidate": CANDIDATES[:6], "context": CONTEXTS, "optimizer": ("COBYLA", "SPSA"), "status": ("success",)}

@@ -215,3 +215,12 @@ def test_dataset_holds_the_common_population_alone(spark):
     assert sorted(split.values()).count("train") == 14 and list(split.values()).count("validation") == 3
     assert all(split[r.g] == r.split for r in rows)
     assert dataset.build_dataset(runs.limit(0), features, spec, 7).count() == 0
+
+
+def test_schema_answers_count_their_rows(spark, tables):
+    from selectra.plans.catalog import all_queries
+
+    report = all_queries()["rule_required_columns"](spark, tables.folder).collect()
+    assert {r["n"] for r in report} == {tables.read("lineitem").count()} and len(report) == 13
+    empty = rules.counted_column_report(spark.createDataFrame([], "a bigint"), ["a"], "n")
+    assert empty.columns == ["column", "status", "n"] and empty.collect() == []
