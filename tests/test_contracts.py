@@ -222,5 +222,7 @@ def test_schema_answers_count_their_rows(spark, tables):
 
     report = all_queries()["rule_required_columns"](spark, tables.folder).collect()
     assert {r["n"] for r in report} == {tables.read("lineitem").count()} and len(report) == 13
+    leaked = all_queries()["leakage_guard"](spark, tables.folder).collect()
+    assert {(r["leaked"], r["rows"]) for r in leaked} == {(c, tables.perf.count()) for c in ("depth", "optimizer")}
     empty = rules.counted_column_report(spark.createDataFrame([], "a bigint"), ["a"], "n")
     assert empty.columns == ["column", "status", "n"] and empty.collect() == []
