@@ -69,6 +69,19 @@ def test_extra_trees_equal_recursion(spark, monkeypatch, task_rows):
     assert len({tuple(sorted(nodes)) for nodes in got.values()}) > 1  # trees differ
 
 
+def test_small_tables_need_no_upper_levels(spark, monkeypatch):
+    """Some task sizes in all: blocks of whole trees, the last one not full, without an aggregate a level."""
+    monkeypatch.setattr(trees, "TASK_ROWS", 60)
+    monkeypatch.setattr(trees, "_grow_upper", None)
+    rows = dyadic_rows(400)
+    got = {}
+    for r in trees.grow_extra_trees(spark.createDataFrame(rows, SCHEMA).repartition(5), 20, leaf=2, seed=9).collect():
+        got.setdefault(r.tree, {})[r.node] = (r.feature, r.cut, pytest.approx(r.value), r.rows)
+    assert sorted(got) == list(range(20))
+    for tree in (0, 7, 8, 19):
+        assert got[tree] == extra_tree_by_recursion(rows, tree, 2, 9)
+
+
 def test_jobs_follow_the_depth_not_the_trees(spark):
     df = spark.createDataFrame(dyadic_rows(300), SCHEMA)
     counts = []
