@@ -264,6 +264,25 @@ def test_forest_above_the_task_size(spark, monkeypatch):
     assert max(errors) < 0.01 and errors[1] < 2 * errors[0]
 
 
+def test_forest_of_small_tables_is_grown_by_blocks(spark, monkeypatch):
+    """Blocks of trees from one copy of the rows give the same forest as rows dealt to every tree."""
+    monkeypatch.setattr(trees, "TASK_ROWS", 60)
+    df = spark.createDataFrame(dyadic_rows(400, hot=False), SCHEMA)
+    table = lambda: sorted(map(tuple, trees.grow_forest(df, 10).collect()))
+    monkeypatch.setattr(trees, "WHOLE_TIMES", 0)
+    dealt = table()
+    monkeypatch.setattr(trees, "WHOLE_TIMES", 8)
+    monkeypatch.setattr(trees, "_dealt_drawn", None)
+    assert table() == dealt and len({r[0] for r in dealt}) == 10
+
+
+def test_upper_levels_walk_only_the_trees_asked_for():
+    upper = trees.Upper(4, [{"tree": np.arange(4), "node": np.full(4, trees.ROOT), "feature": np.zeros(4, int), "cut": np.full(4, 0.5)}])
+    x = np.array([[0.0], [1.0]])
+    assert [t for t, _ in upper.places(x, np.array([2, 2, 3]))] == [2, 3]
+    assert [a.tolist() for _, a in upper.places(x, np.array([2]))] == [a.tolist() for t, a in upper.places(x) if t == 2]
+
+
 def test_draws_are_poisson_for_any_number_of_copies():
     key = np.arange(20_000, dtype=np.int64) * 7919
     for copies in (1, 5, 400):
