@@ -614,7 +614,11 @@ def switched(edges: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
 
     A round pairs all edges of a graph in seeded order and carries out, at once, the switches that stay clear of loops,
     of the round's edges and of each other. ``seeds`` has a row (graph_id, _seed) per graph.
+
+    Every side has rows in proportion to the graphs. Estimates from the scan take them for few, because they lie below
+    generators; the joins are merges, so that no side is gathered in the driver.
     """
+    seeds = seeds.hint("merge")
     for r in range(rounds):
         edges = materialise(edges)
         label = lambda role: F.concat_ws("|", F.col("_seed").cast("string"), F.lit(role), F.lit(str(r)))
@@ -630,11 +634,11 @@ def switched(edges: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
         asked = materialise(pairs.select("graph_id", "_k", "_e", "_f", "_c", one.alias("_x"), two.alias("_y")).withColumn(
             "_fit", (F.col("_c") == 2) & (F.col("_x.u") < F.col("_x.v")) & (F.col("_y.u") < F.col("_y.v")) & (F.col("_x") != F.col("_y"))))
         fresh = asked.where("_fit").select("graph_id", "_k", F.explode(F.array("_x", "_y")).alias("_s")).select("graph_id", "_k", "_s.u", "_s.v")
-        taken = fresh.join(edges, ["graph_id", "u", "v"], "left_semi").select("graph_id", "_k")
+        taken = fresh.join(edges.hint("merge"), ["graph_id", "u", "v"], "left_semi").select("graph_id", "_k")
         twice = fresh.groupBy("graph_id", "u", "v").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
-        clash = fresh.join(twice, ["graph_id", "u", "v"], "left_semi").select("graph_id", "_k")
+        clash = fresh.join(twice.hint("merge"), ["graph_id", "u", "v"], "left_semi").select("graph_id", "_k")
         bad = taken.unionByName(clash).distinct().withColumn("_bad", F.lit(True))
-        moved = asked.join(bad, ["graph_id", "_k"], "left").withColumn("_go", F.col("_fit") & F.col("_bad").isNull())
+        moved = asked.join(bad.hint("merge"), ["graph_id", "_k"], "left").withColumn("_go", F.col("_fit") & F.col("_bad").isNull())
         pick = lambda new, old: F.when(F.col("_go"), F.struct(f"{new}.u", f"{new}.v")).otherwise(F.struct(f"{old}.u", f"{old}.v"))
         both = F.when(F.col("_c") == 2, F.array(pick("_x", "_e"), pick("_y", "_f"))).otherwise(F.array(F.struct("_e.u", "_e.v")))
         edges = moved.select("graph_id", F.explode(both).alias("_s")).select("graph_id", "_s.u", "_s.v")
@@ -664,7 +668,7 @@ def circulant_edges(specs: DataFrame, degree: int = 4, seed: str = "seed") -> Da
         steps = F.when(F.col("_pos") <= n / 2, F.concat(steps, F.array((n / 2).cast("bigint")))).otherwise(steps)
     arcs = placed.withColumn("_step", F.explode(steps)).withColumn("_at", (F.col("_pos") - 1 + F.col("_step")) % n)
     ends = placed.select("graph_id", F.col("node").alias("_other"), (F.col("_pos") - 1).alias("_at"))
-    return arcs.join(ends, ["graph_id", "_at"]).select(
+    return arcs.join(ends.hint("merge"), ["graph_id", "_at"]).select(
         "graph_id", F.least("node", "_other").alias("u"), F.greatest("node", "_other").alias("v"))
 
 

@@ -42,6 +42,8 @@ def hash_rank(df: DataFrame, key: str | Sequence[str], seed, group: Sequence[str
     hashed = df.withColumn("_h", row_hash(seed, *keys)).withColumn("_b", F.substring("_h", 1, prefix))
     counts = hashed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"))
     offsets = with_offsets(counts, group, "_b", "_c", "_before", total)
+    if group:  # up to a row per key, which an estimate from the scan below generators takes for few
+        offsets = offsets.hint("merge")
     inner = Window.partitionBy(*group, "_b").orderBy("_h", *keys)
     return (
         hashed.join(offsets, [*group, "_b"])

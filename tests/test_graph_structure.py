@@ -246,3 +246,11 @@ def test_switches_reach_other_regular_graphs(spark):
     features = [brute(14, edges) for edges in cubic.values()]
     assert all(f["min_degree"] == f["max_degree"] == 3 for f in features)
     assert len({f["triangle_count"] for f in features}) > 2
+
+
+def test_regular_graphs_broadcast_nothing(spark):
+    """Rows out of generators look few to the planner; none of these joins may gather a side in the driver."""
+    specs = spark.createDataFrame([(i, 14, 100 + i) for i in range(5)], "graph_id bigint, num_nodes bigint, seed bigint")
+    for df in (graphs.circulant_edges(specs, 3), graphs.regular_edges(specs, 3, rounds=1)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
