@@ -155,21 +155,21 @@ class Tables:
         return self.graph_lines(nodes).select("graph_id").distinct().withColumn(
             "node", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nodes - 1).cast("bigint"))))
 
-    @property
+    @cached_property
     def wide_edges(self) -> DataFrame:
         """Two graphs that grow with the suppliers: in graph 0 suppliers meet line numbers (hubs) and the next supplier,
-        in graph 1 they form chains of twelve."""
+        in graph 1 they form chains of twelve. Kept, because the runs are very many more than these edges."""
         s = F.col("l_suppkey").cast("bigint")
         edge = lambda g, u, v: F.struct(F.lit(g).cast("bigint").alias("graph_id"), F.least(u, v).alias("u"), F.greatest(u, v).alias("v"))
         made = F.filter(F.array(
             F.when(F.col("l_quantity") >= 40, edge(0, F.col("l_linenumber").cast("bigint"), s + 10)),
             F.when(s % 4 != 0, edge(0, s + 10, s + 11)), F.when(s % 12 != 11, edge(1, s, s + 1))), lambda e: e.isNotNull())
-        return self.read("lineitem").select(F.inline(made)).distinct()
+        return materialise(self.read("lineitem").select(F.inline(made)).distinct())
 
-    @property
+    @cached_property
     def wide_vertices(self) -> DataFrame:
         ends = self.wide_edges.select("graph_id", F.explode(F.array("u", "v")).alias("node"))
-        return ends.distinct()
+        return materialise(ends.distinct())
 
     def counts(self, nodes: int = CUT_NODES) -> DataFrame:
         return self.graph_lines(nodes).groupBy("graph_id", "mask").agg(F.sum("freq").alias("freq"))
