@@ -254,3 +254,27 @@ def test_regular_graphs_broadcast_nothing(spark):
     for df in (graphs.circulant_edges(specs, 3), graphs.regular_edges(specs, 3, rounds=1)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_paths_through_hubs(spark, monkeypatch):
+    """Large components with hubs are counted by distances to the hubs, and give what all searches give."""
+    draw = random.Random(11)
+    made = {}
+    for g in range(4):  # hubs 0 to 2 with most nodes, chains, some random edges and a tail that hangs on one node
+        n = 200
+        edges = {(h, i) for h in range(3) for i in range(3, 190) if draw.random() < 0.95}
+        edges |= {(i, i + 1) for i in range(3, 199) if i % 5 or i >= 189}
+        edges |= {tuple(sorted(draw.sample(range(n), 2))) for _ in range(40 * g)}
+        made[g] = (n, sorted(edges))
+    made[6] = (60, [(i, i + 1) for i in range(59)])  # no hubs
+    made[7] = (60, [(0, i) for i in range(1, 60)])
+    v, e = frames(spark, made)
+    plain = {r["graph_id"]: r for r in graphs.paths_by_joins(v, e).collect()}
+    monkeypatch.setattr(graphs, "PART_NODES", 50)
+    taken, through = [], graphs._through_hubs
+    monkeypatch.setattr(graphs, "_through_hubs", lambda *a: taken.append(through(*a)) or taken[-1])
+    for r in graphs.paths_by_joins(v, e).collect():
+        want = brute(*made[r["graph_id"]])
+        assert r["average_shortest_path_length"] == pytest.approx(want["average_shortest_path_length"])
+        assert r == plain[r["graph_id"]] and r["diameter"] == want["diameter"]
+    assert {0, 7} <= {r["graph_id"] for r in taken[0].collect()} and 6 not in {r["graph_id"] for r in taken[0].collect()}
