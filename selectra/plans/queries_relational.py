@@ -619,12 +619,13 @@ def _(t: Tables):
 def _(t: Tables):
     """Labels read from the text form, checked against the mask form."""
     nodes = 10
-    bits = F.lpad(F.bin("mask"), nodes, "0")
-    rows = t.counts(nodes).withColumn("bits", bits).withColumn(
-        "node", F.explode(F.sequence(F.lit(0).cast(BIG), F.lit(nodes - 1).cast(BIG))))
-    label = scalar.bit_label("bits", "node", F.lit(nodes))
-    return rows.groupBy("graph_id", "node").agg(
-        F.sum(F.col("freq") * label).alias("ones"), F.sum("freq").alias("total"))
+    # the labels are summed per graph, so that the rows are never multiplied by the nodes
+    rows = t.graph_lines(nodes).withColumn("bits", F.lpad(F.bin("mask"), nodes, "0"))
+    label = lambda node: scalar.bit_label("bits", F.lit(node), F.lit(nodes))
+    sums = rows.groupBy("graph_id").agg(F.sum("freq").alias("total"), *[
+        F.sum(F.col("freq") * label(node)).alias(f"_{node}") for node in range(nodes)])
+    ones = F.array(*[F.struct(F.lit(node).cast(BIG).alias("node"), F.col(f"_{node}").alias("ones")) for node in range(nodes)])
+    return sums.select("graph_id", "total", F.inline(ones)).select("graph_id", "node", "ones", "total")
 
 
 @query("scope_split_label", sql("""
