@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from selectra.operators import learning, neighbours, splits
 from selectra.operators.learning import FeatureGroup
 from selectra.operators.ranking import average_ranks, exact_quantiles, hash_rank
+from tests.conftest import SMALL
 
 
 def test_exact_quantiles_with_a_hot_value(spark):
@@ -101,3 +103,22 @@ def test_importance_of_an_unused_feature_is_zero(spark, tables):
     score = learning.weighted_score(F.col("quality"))
     row = learning.permutation_importance(rows, score, [FeatureGroup("f_price", ("f_price",), "entity")], 3).first()
     assert row["mean_increase"] == 0.0 and row["baseline_regret"] == 0.0
+
+
+def test_labels_are_summed_before_they_are_spread_over_the_nodes(spark):
+    """The rows of the measured strings are not multiplied by the nodes."""
+    plan = contract.queries()["bitstring_labels"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # the plan is printed from its end
+
+
+def test_variants_are_spread_over_all_tasks_and_not_copied_per_budget(spark):
+    """Small rows that each become one row per variant must not be packed into a few tasks."""
+    rows = spark.createDataFrame(
+        [(e, c, f"C{k}", k, "X", 256 * (1 + k % 2), (e * 7 + k * 3) % 11 / 11.0, float(e)) for e in range(8) for c in "AN" for k in range(4)],
+        "entity bigint, context string, candidate string, depth bigint, optimizer string, shots bigint, quality double, f double")
+    groups = [learning.FeatureGroup("f", ("f",), "entity"), learning.FeatureGroup("context", ("context",), "context")]
+    plan = learning.permuted_variants(rows, groups, 3, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 4
+    scored = learning.permutation_importance(rows, learning.weighted_score(F.col("f") + F.col("quality")), groups, 3, 1)
+    assert "_fit" not in scored._jdf.queryExecution().logical().toString()
+    assert {r["feature_group"]: r["repetitions"] for r in scored.collect()} == {"f": 3, "context": 3}
