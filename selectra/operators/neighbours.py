@@ -223,27 +223,47 @@ def _met(asked: DataFrame, points: DataFrame, cells: Cells, key: str, kinds, nee
     return met.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= need)
 
 
+def _nearest_pairs(x: np.ndarray, p: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of places, with their distances, that hold the k nearest of each row of x and all that tie with them.
+
+    Squared distances as a matrix product are off by rounding, so what lies within twice their largest error is measured
+    again column by column. Where the error is unbounded or leaves too many pairs, all are measured that way.
+    """
+    with np.errstate(all="ignore"):
+        xx, pp = (x * x).sum(1), (p * p).sum(1)
+        gap = x @ (-2 * p.T) + pp[None, :] + xx[:, None]
+        error = 8 * (x.shape[1] + 8) * np.finfo(float).eps * (xx + pp.max()) + np.finfo(float).tiny
+    if np.isfinite(gap).all():
+        row, column = np.nonzero(gap <= (np.partition(gap, k - 1, axis=1)[:, k - 1] + 2 * error)[:, None])
+        if 8 * len(row) <= gap.size:
+            exact = np.zeros(len(row))
+            for c in range(x.shape[1]):
+                exact += (x[row, c] - p[column, c]) ** 2
+            return row, column, np.sqrt(exact)
+    gap = np.zeros((len(x), len(p)))
+    for c in range(x.shape[1]):
+        gap += (x[:, c][:, None] - p[:, c][None, :]) ** 2
+    gap = np.sqrt(gap)
+    row, column = np.nonzero(gap <= np.partition(gap, k - 1, axis=1)[:, k - 1][:, None])
+    return row, column, gap[row, column]
+
+
 def _closest(left: pa.Table, right: pa.Table, key: str, need: int) -> pa.Table:
     """The nearest rows of the right side for each of the left, compared in blocks."""
     rows, columns, distances = [], [], []
     if left.num_rows and right.num_rows:
         right = right.sort_by("neighbour")
         x, p = vectors(left.column("_x")), vectors(right.column("_x"))
-        step = max(1, 2_000_000 // len(p))
+        k, step = min(need, len(p)), max(1, 2_000_000 // len(p))
         for start in range(0, len(x), step):
-            part, gap = x[start:start + step], np.zeros((min(step, len(x) - start), len(p)))
-            for c in range(x.shape[1]):
-                gap += (part[:, c][:, None] - p[:, c][None, :]) ** 2
-            gap = np.sqrt(gap)
-            k = min(need, len(p))
-            row, column = np.nonzero(gap <= np.partition(gap, k - 1, axis=1)[:, k - 1][:, None])
-            order = np.lexsort((column, gap[row, column], row))
-            row, column = row[order], column[order]
+            row, column, gap = _nearest_pairs(x[start:start + step], p, k)
+            order = np.lexsort((column, gap, row))
+            row, column, gap = row[order], column[order], gap[order]
             nth = np.arange(len(row)) - np.searchsorted(row, row)
-            row, column = row[nth < k], column[nth < k]
-            rows.append(row + start)
-            columns.append(column)
-            distances.append(gap[row, column])
+            taken = nth < k
+            rows.append(row[taken] + start)
+            columns.append(column[taken])
+            distances.append(gap[taken])
     joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
     return pa.table({key: left.column(key).take(pa.array(joined(rows, np.int64))),
                      "neighbour": right.column("neighbour").take(pa.array(joined(columns, np.int64))),

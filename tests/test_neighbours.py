@@ -1,6 +1,7 @@
 """Neighbour search against brute force: clusters, hot points, far targets, split cells; recall of ranked buckets."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +118,35 @@ def test_targets_with_few_rows_near_go_on(spark):
     rows = neighbours.nearest_ranked(target, train, "id", "v", 5, 0.01).orderBy("rank").collect()
     assert [r.neighbour for r in rows] == [0, 1, 2, 3, 4]
     assert neighbours.nearest_ranked(target, train.where(F.col("id") < 0), "id", "v").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["plain", "whole numbers", "far from zero", "copies and infinity", "tiny"])
+def test_products_give_the_same_neighbours_as_columns(kind):
+    """Distances by matrix products only choose what is measured exactly: ties, offsets and scales change nothing."""
+    draw = np.random.default_rng(5)
+    x, p = draw.normal(size=(70, 16)), draw.normal(size=(300, 16))
+    if kind == "whole numbers":
+        x, p = np.round(x), np.round(p)
+    elif kind == "far from zero":
+        x, p = x + 1e8, p + 1e8
+    elif kind == "copies and infinity":
+        p[:100], x[:9], p[200] = p[0], p[0], np.inf
+    elif kind == "tiny":
+        x, p = x * 1e-170, p * 1e-170
+    gap = np.zeros((len(x), len(p)))
+    for c in range(16):
+        gap += (x[:, c][:, None] - p[:, c][None, :]) ** 2
+    gap = np.sqrt(gap)
+    table = lambda rows, name: pa.table({name: list(range(len(rows))), "_x": pa.array(rows.tolist(), pa.list_(pa.float64()))})
+    got = neighbours._closest(table(x, "t"), table(p, "neighbour"), "t", 5)
+    order = np.argsort(gap, axis=1, kind="stable")[:, :5]
+    assert got["t"].to_pylist() == np.repeat(np.arange(70), 5).tolist()
+    assert got["neighbour"].to_pylist() == order.ravel().tolist()
+    assert got["distance"].to_pylist() == np.take_along_axis(gap, order, 1).ravel().tolist()
+
+
+def test_few_pairs_are_measured_column_by_column():
+    """Of separated vectors hardly more than the wanted ones are measured a second time."""
+    draw = np.random.default_rng(6)
+    x, p = draw.normal(size=(50, 64)), draw.normal(size=(2000, 64))
+    assert len(neighbours._nearest_pairs(x, p, 5)[0]) == 250
