@@ -278,3 +278,22 @@ def test_paths_through_hubs(spark, monkeypatch):
         assert r["average_shortest_path_length"] == pytest.approx(want["average_shortest_path_length"])
         assert r == plain[r["graph_id"]] and r["diameter"] == want["diameter"]
     assert {0, 7} <= {r["graph_id"] for r in taken[0].collect()} and 6 not in {r["graph_id"] for r in taken[0].collect()}
+
+
+def test_graphs_of_one_part_are_joined_at_once(spark, monkeypatch):
+    """No node of a graph of one part can be a hub, so nothing is dealt by parts; larger graphs still are."""
+    v, e = frames(spark, sample_graphs())
+    parts, attach = [], graphs.attach
+
+    def noted(*a, **k):
+        parts.append(a[5] if len(a) > 5 else k.get("parts", True))
+        return attach(*a, **k)
+
+    monkeypatch.setattr(graphs, "attach", noted)
+    whole = {tuple(r) for r in graphs.structure_by_joins(v, e).collect()}
+    assert parts and not any(parts)
+    parts.clear()
+    monkeypatch.setattr(graphs, "PART_NODES", 4)
+    monkeypatch.setattr(graphs, "HUBS", 0)
+    assert {tuple(r) for r in graphs.structure_by_joins(v, e).collect()} == whole
+    assert parts and all(parts)
