@@ -8,6 +8,7 @@ kept words are bounded, and are met again where the bound empties them.
 from __future__ import annotations
 
 import functools
+import struct
 from collections.abc import Callable
 
 import numpy as np
@@ -41,26 +42,32 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
     tokenizer = Tokenizer.from_file(path)
     model, specials = tokenizer.model, [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    composed = normalizers.NFC()
+    composed = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+    special = regex.compile("|".join(map(regex.escape, specials)) or "(?!)")
 
     def of_part(part: str) -> bytes:
         plain = part.isascii() and part.isprintable()
         return of_spelled(part if plain else to_bytes.pre_tokenize_str(part)[0][0])
 
     def of_spelled(spelled: str) -> bytes:
-        return np.array([t.id for t in model.tokenize(spelled)], dtype="<u4").tobytes()
+        ids = [t.id for t in model.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     parts = _Kept(of_part, KEPT_WORDS)
-    lower = normalizers.Lowercase()
 
     def of_word(raw: bytes) -> bytes:
         word = raw.decode()
-        if any(s in word for s in specials):
+        if special.search(word):
             return np.array(tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if max(word) >= BEYOND:  # letters on which two libraries' tables may differ
+        if word.isascii():
+            word = word.lower()
+        elif max(word) >= BEYOND:  # letters on which two libraries' tables may differ
             pieces = tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(word))
             return b"".join(of_spelled(spelled) for spelled, _ in pieces)
-        word = word.lower() if word.isascii() else lower.normalize_str(composed.normalize_str(word))
+        else:
+            word = composed.normalize_str(word)
+        if word.isalpha():  # one run of letters
+            return parts[word]
         return b"".join(map(parts.__getitem__, PRE_TOKENS.findall(word)))
 
     words = _Kept(of_word, KEPT_WORDS)
