@@ -122,3 +122,10 @@ def test_variants_are_spread_over_all_tasks_and_not_copied_per_budget(spark):
     scored = learning.permutation_importance(rows, learning.weighted_score(F.col("f") + F.col("quality")), groups, 3, 1)
     assert "_fit" not in scored._jdf.queryExecution().logical().toString()
     assert {r["feature_group"]: r["repetitions"] for r in scored.collect()} == {"f": 3, "context": 3}
+
+
+def test_edges_of_the_wide_graphs_are_made_once(spark, tables):
+    """Graph operators read their edges many times; the runs behind them are read once."""
+    assert tables.wide_edges is tables.wide_edges
+    for df in (tables.wide_edges, tables.wide_vertices):
+        assert "parquet" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
