@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from selectra.llm import decontamination, line_dedup, lm_scoring, ngram_join, substring_dedup
@@ -359,3 +360,75 @@ def test_shortest_runs_cover_every_long_enough_block():
         sides = [[(b"%d" % draw.getrandbits(60), 9) for _ in range(4)] + block + [(b"%d" % draw.getrandbits(60), 9)] for _ in (0, 1)]
         shared = line_dedup.runs(sides[0], 30) & line_dedup.runs(sides[1], 30)
         assert bool(shared) == (sum(n for _, n in block) >= 30)
+
+
+def test_passages_are_found_though_others_hold_each_of_their_runs(spark):
+    draw, rows = random.Random(15), []
+    own = lambda n: [f"w{draw.random()}" for _ in range(n)]
+    for n in range(10):
+        runs = [own(25) for _ in range(3)]
+        shared = lambda: own(20) + runs[0] + own(1) + runs[1] + own(1) + runs[2] + own(20)
+        rows += [(100 * n + i, " ".join(shared())) for i in (0, 1)]
+        rows += [(100 * n + 10 + 5 * r + i, " ".join(own(30) + runs[r] + own(30))) for r in range(3) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {frozenset((r.doc_id, r.other_id)): r.equal_words for r in substring_dedup.passages(docs).collect()}
+    assert found == {frozenset((100 * n, 100 * n + 1)): 75 for n in range(10)}
+
+
+def test_matches_in_parts_and_of_crowded_seeds(monkeypatch):
+    """Every document is matched with one of its class, every class with the first one, however the rows are cut."""
+    draw = random.Random(16)
+    rows = sorted({(seed, draw.randrange(60 if seed else 3), draw.randrange(40), draw.randrange(9))
+                   for seed in range(4) for _ in range(400 if seed < 2 else 12)})
+    table = pa.table([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(),) * 3 + (pa.int32(),))],
+                     ["seed", "context", "key", "place"])
+    for held in (10 ** 6, 50):
+        monkeypatch.setattr(substring_dedup, "HELD", held)
+        out = pa.Table.from_batches(list(substring_dedup._classes(table.to_batches(37)))).to_pylist()
+        stands = sorted((r["seed"], r["key"], r["place"]) for r in out if r["other"] is None)
+        assert {r[0] for r in stands} == {0, 1, 2, 3} and all(r["key"] != r["other"] for r in out)
+        at = {(s, k, p) for s, _, k, p in rows}
+        assert at == {(r["seed"], r["key"], r["place"]) for r in out}
+        sides = pa.table([pa.array(c, k) for c, k in zip(zip(*stands), (pa.int64(),) * 2 + (pa.int32(),))],
+                         ["seed", "key", "place"])
+        met = pa.Table.from_batches(list(substring_dedup._paired(sides.to_batches(37)))).to_pylist()
+        assert all(r["key"] != r["other"] for r in met)
+        few = [(k, p) for s, k, p in stands if s == 3]
+        pairs = {frozenset(((r["key"], r["place"]), (r["other"], r["there"]))) for r in met}
+        first = {k: min(p for j, p in few if j == k) for k, _ in few}
+        assert len(few) <= substring_dedup.FEW and all(
+            frozenset((a, b)) in pairs for a in few for b in few if a[0] != b[0] and first[b[0]] == b[1])
+
+
+def test_first_look_drops_no_passage():
+    draw, rows = random.Random(17), []
+    for _ in range(600):
+        base = np.array([draw.randrange(1 << 30) for _ in range(200)], np.uint32)
+        other = base.copy()
+        for i in range(200):
+            if draw.random() < draw.choice((0.02, 0.1, 0.3)):
+                other[i] = draw.randrange(1 << 30)
+        if draw.random() < 0.5:
+            other = np.delete(other, draw.randrange(200))
+        x = draw.randrange(20, 160)
+        other[x:x + substring_dedup.K] = base[x:x + substring_dedup.K]
+        a, b = base[draw.randrange(20):draw.randrange(170, 200)], other
+        x0 = int(np.flatnonzero(a == base[x])[0])
+        # one seed, or several of which the later ones may lie on another diagonal or beyond changed words
+        chain = [(x0 + 64, x + 128)]
+        while draw.random() < 0.5:
+            chain.append((chain[-1][0] + draw.randrange(1, 9), chain[-1][1] + draw.randrange(1, 9)))
+            if draw.random() < 0.8:
+                chain[-1] = (chain[-1][0], chain[-1][0] + chain[0][1] - chain[0][0])
+        chain = [c for n, c in enumerate(chain) if c[0] - 64 + 8 <= len(a) and c[1] - 128 + 8 <= len(b) and (
+            not n or c[0] > chain[n - 1][0] and c[1] > chain[n - 1][1])]
+        rows.append((1, 2, 3, 4, 64, 128, a.tobytes(), b.tobytes(), np.array(chain, np.int32).tobytes()))
+    kinds = (pa.int64(),) * 4 + (pa.int32(),) * 2 + (pa.binary(),) * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [str(i) for i in range(9)])
+    kept, sure = set(substring_dedup.hopeful(batch.slice(5), 50).tolist()), 0
+    for n, (*_, low, there, a, b, ends) in enumerate(rows[5:]):
+        chain = np.frombuffer(ends, np.int32).reshape(-1, 2) - np.array([low, there], np.int32)
+        found = list(substring_dedup.passing(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), chain, 50, 0.8))
+        assert not found or n in kept
+        sure += n not in kept
+    assert sure > 20
