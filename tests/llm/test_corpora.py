@@ -2,16 +2,19 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from selectra.llm import decontamination, line_dedup, lm_scoring, ngram_join, substring_dedup
 from selectra.llm.context_mixing import SPACE, Mixer, steps
 from selectra.llm.shingles import components
+from selectra.session import materialise
 from tests.llm.conftest import BASE, LONG, PASSAGE, ROWS, near, prose
 
 
@@ -432,3 +435,16 @@ def test_first_look_drops_no_passage():
         assert not found or n in kept
         sure += n not in kept
     assert sure > 20
+
+
+def test_materialised_steps_leave_no_shuffle_behind(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {name for name in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in name}
+    counted = spark.range(1000).groupBy((F.col("id") % 7).alias("a")).count()
+    before = held()
+    kept = materialise(counted)
+    until = time.monotonic() + 20  # they go in the background
+    while held() - before and time.monotonic() < until:
+        time.sleep(0.1)
+    assert held() <= before and sorted(kept.collect()) == sorted(counted.collect())
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
