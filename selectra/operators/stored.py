@@ -20,6 +20,8 @@ from pyspark.sql.types import StructType
 SPLIT_ROWS = 1_000_000
 #: bits of a leaf at most; manifests kept, for readers who opened the table before the last merges
 MOST_BITS, KEPT_MANIFESTS = 20, 2
+#: prefixes of a depth per leaf there, up to which leaves are looked up in an array
+DENSE = 64
 
 
 @dataclass(frozen=True)
@@ -98,11 +100,15 @@ class KeyedTable:
         return self._read(self.manifest().leaves)
 
     def _place(self, leaves: Sequence[Leaf]) -> Column:
-        """The number of a row's leaf: per depth a map from prefix to leaf."""
+        """The number of a row's leaf: per depth an array by prefix, or a map where few of the prefixes are leaves."""
         hashed, found = F.xxhash64(*self.key), []
         for bits in sorted({leaf.bits for leaf in leaves}):
             prefix = F.call_function("shiftrightunsigned", hashed, F.lit(64 - bits)) if bits else F.lit(0).cast("bigint")
             of = {leaf.prefix: i for i, leaf in enumerate(leaves) if leaf.bits == bits}
+            if 1 << bits <= DENSE * len(of):  # looked up at once, while a map is searched entry by entry
+                numbers = F.split(F.lit(",".join(str(of.get(p, -1)) for p in range(1 << bits))), ",").cast("array<int>")
+                found.append(F.nullif(F.get(numbers, prefix.cast("int")), F.lit(-1)))
+                continue
             table = F.map_from_arrays(F.array(*[F.lit(p).cast("bigint") for p in of]), F.array(*map(F.lit, of.values())))
             found.append(F.try_element_at(table, prefix))
         return F.coalesce(*found)

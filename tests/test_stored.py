@@ -1,12 +1,13 @@
 """Stored keyed tables: growth by splitting, merges that touch few leaves, crashes, retries, reading cost."""
 
+import time
 from pathlib import Path
 
 import pytest
 from pyspark.sql import DataFrame, functions as F
 
 from selectra.operators.incremental import upsert
-from selectra.operators.stored import KeyedTable
+from selectra.operators.stored import KeyedTable, Leaf
 
 SCHEMA = "k bigint, seq bigint, v string, leaf string"
 
@@ -93,3 +94,20 @@ def test_hot_keys_and_null_keys(spark, tmp_path):
     assert t.read().count() == 41 and t.read().where(F.col("k").isNull()).count() == 1
     t.merge(hot, lambda old, new: DataFrame.distinct(old.unionByName(new)))
     assert t.read().where("k = 1").count() == 1
+
+
+def test_places_in_many_leaves_and_few_deep_ones(spark, tmp_path):
+    rows = spark.range(500).select(F.col("id").alias("k"), F.xxhash64("id").alias("hashed"))
+    table = KeyedTable(spark, str(tmp_path), ["k"], rows.select("k").schema)
+    # the prefixes 0 to 6 of three bits, and below the last one a few of sixteen bits: those that the first keys have
+    deep = sorted({(r.hashed % 2 ** 64) >> 48 for r in rows.collect() if (r.hashed % 2 ** 64) >> 61 == 7})[:5]
+    leaves = [Leaf(16, p) for p in deep] + [Leaf(3, p) for p in range(7)]
+    placed = rows.withColumn("leaf", table._place(leaves)).collect()
+    for r in placed:
+        top, low = (r.hashed % 2 ** 64) >> 61, (r.hashed % 2 ** 64) >> 48
+        assert r.leaf == (5 + top if top < 7 else deep.index(low) if low in deep else None)
+    assert len(deep) == 5
+    began = time.monotonic()
+    many = rows.withColumn("leaf", table._place([Leaf(14, p) for p in range(1 << 14)]))
+    assert time.monotonic() - began < 5  # a literal per leaf took 18 s
+    assert all(r.leaf == (r.hashed % 2 ** 64) >> 50 for r in many.collect())
