@@ -61,8 +61,8 @@ def runs(lines: list[tuple[bytes, int]], least: int) -> set[bytes]:
     begins = np.searchsorted(reach, reach[1:] - least, "right") - 1  # of the run up to each line
     pairs = {(i, j) for i, j in enumerate(ends.tolist()) if j <= len(lines)}
     pairs |= {(i, j + 1) for j, i in enumerate(begins.tolist()) if i >= 0}
-    found = {xxhash.xxh3_128_digest(b"".join(h for h, _ in lines[i:j])) for i, j in pairs}
-    return found
+    hashes = [h for h, _ in lines]
+    return {xxhash.xxh3_128_digest(b"".join(hashes[i:j])) for i, j in pairs}
 
 
 def _batch(keys, numbers, hashes, sizes) -> pa.RecordBatch:
@@ -185,9 +185,8 @@ def deletions(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     held = materialise(placed.join(shared, "line").select("key", "number", "place", "line", "chars", "owner", "holders"))
     owned = held.where(F.col("owner") != F.col("key")).select(F.col("key").alias("later"), F.col("owner").alias("earlier"))
     begun = texts.mapInArrow(lambda b: _runs(b, least), "key string, run binary")
-    first = (begun.groupBy("run").agg(F.min("key").alias("earlier"), F.max("key").alias("latest"))
-             .where("earlier <> latest").select("run", "earlier"))
-    blocks = begun.join(first, "run").where("key <> earlier").select(F.col("key").alias("later"), "earlier")
+    first = F.min("key").over(Window.partitionBy("run"))  # a window, so that the runs are made and shuffled once
+    blocks = begun.withColumn("earlier", first).where("key <> earlier").select(F.col("key").alias("later"), "earlier")
     pairs = owned.union(blocks).distinct()
     listed = held.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("number", "place", "line", "chars"))).alias("all"))
     joined = (pairs.join(listed.select(F.col("key").alias("later"), F.col("all").alias("later_lines")), "later")

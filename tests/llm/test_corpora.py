@@ -448,3 +448,8 @@ def test_materialised_steps_leave_no_shuffle_behind(spark):
         time.sleep(0.1)
     assert held() <= before and sorted(kept.collect()) == sorted(counted.collect())
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_runs_of_lines_are_made_once(docs):
+    plan = line_dedup.deletions(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("MapInArrow" in line and "run#" in line for line in plan.split("\n")) == 1
