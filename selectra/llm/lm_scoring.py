@@ -25,11 +25,13 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from selectra.llm.context_mixing import END, GATES, MAP_CELLS, PLACES, SLOTS, Mixer, levels, refine
+from selectra.llm.context_mixing import END, GATES, MAP_CELLS, ORDERS, PLACES, SLOTS, Mixer, levels, refine
 from selectra.session import materialise
 
 #: frequent words sent to every task; slots of a predictor for each pair at least; slots of a summed block
 HEAD_WORDS, SLOTS_PER_PAIR, BLOCK = 1 << 20, 2, 1 << 14
+#: pairs whose counts by slot are sent together, and of these the pairs that are spelled at once
+TALLIED, SPELLED = 100_000, 20_000
 #: words that a worker keeps values of; bytes of a short word, buckets of short words, and how many set the gate
 KEPT_WORDS, SHORT, SHORT_BUCKETS, MEMORY = 400_000, 3, 256, 6
 RATE, SMOOTH = 0.3, 0.1
@@ -173,14 +175,28 @@ def _unpacked(packed: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(slots, dtype=np.int64), np.stack([unset, ones])
 
 
+def tallied(mixer: Mixer, words: list[bytes], gates: np.ndarray, times: np.ndarray
+            ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``Mixer.tallies``, holding the single bits of ``SPELLED`` pairs only."""
+    parts = [list(mixer.tallies(words[i:i + SPELLED], gates[i:i + SPELLED], times[i:i + SPELLED]))
+             for i in range(0, len(words), SPELLED)]
+    for k in range(len(ORDERS)):
+        slots = np.concatenate([p[k][0] for p in parts])
+        counts = np.concatenate([p[k][1] for p in parts], 1)
+        for p in parts:
+            p[k] = None
+        slot, at = np.unique(slots, return_inverse=True)
+        yield slot, np.stack([np.bincount(at, c, len(slot)) for c in counts])
+
+
 def _slotted(batches: Iterator[pa.RecordBatch], mixer: Mixer) -> Iterator[pa.RecordBatch]:
     """Counts of (unset, set) bits by slot, in blocks of slots of a predictor."""
     words, gates, times = [], [], []
 
     def flush():
         order = sorted(range(len(words)), key=words.__getitem__)  # neighbours share their first steps
-        found = mixer.tallies([words[i] for i in order], np.concatenate(gates)[order],
-                              np.concatenate(times)[order].astype(np.float64))
+        found = tallied(mixer, [words[i] for i in order], np.concatenate(gates)[order],
+                        np.concatenate(times)[order].astype(np.float64))
         for k, (slot, counts) in enumerate(found):
             block, first = np.unique(slot // BLOCK, return_index=True)
             parts = np.append(first, len(slot))
@@ -194,7 +210,7 @@ def _slotted(batches: Iterator[pa.RecordBatch], mixer: Mixer) -> Iterator[pa.Rec
         words += batch.column(1).to_pylist()
         gates.append(batch.column(0).to_numpy())
         times.append(batch.column(2).to_numpy())
-        if len(words) >= 100_000:
+        if len(words) >= TALLIED:
             yield from flush()
             words, gates, times = [], [], []
     if words:

@@ -3,6 +3,7 @@
 import math
 import random
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -453,3 +454,21 @@ def test_materialised_steps_leave_no_shuffle_behind(spark):
 def test_runs_of_lines_are_made_once(docs):
     plan = line_dedup.deletions(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert sum("MapInArrow" in line and "run#" in line for line in plan.split("\n")) == 1
+
+
+def test_tallies_of_many_pairs_hold_the_bits_of_few():
+    draw = np.random.default_rng(2)
+    words = sorted({bytes(w) for w in draw.integers(97, 123, (100_000, 9), np.uint8)})
+    gates, times = draw.integers(0, 7, len(words)), draw.integers(1, 9, len(words)).astype(float)
+    mixer = Mixer.start(np.ones(256), 20)
+
+    def peak(tallies):
+        tracemalloc.start()
+        slots = [(slot.sum(), counts.sum()) for slot, counts in tallies]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return slots, most
+
+    (whole, most), (parts, less) = peak(mixer.tallies(words, gates, times)), peak(
+        lm_scoring.tallied(mixer, words, gates, times))
+    assert parts == whole and less < 0.75 * most
