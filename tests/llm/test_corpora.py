@@ -472,3 +472,45 @@ def test_tallies_of_many_pairs_hold_the_bits_of_few():
     (whole, most), (parts, less) = peak(mixer.tallies(words, gates, times)), peak(
         lm_scoring.tallied(mixer, words, gates, times))
     assert parts == whole and less < 0.75 * most
+
+
+def test_seeds_of_many_texts_are_those_of_each():
+    draw = np.random.default_rng(4)
+    words = [draw.integers(0, 1 << 62, n).astype(np.uint64) for n in (50, 51, 400, 63, 50)]
+    words += [np.concatenate([words[0], words[2]]), np.full(90, 7, np.uint64)]
+    got = substring_dedup.all_seeds(words, 50)
+    each = [(*substring_dedup.seeds(w), substring_dedup.contexts(w, substring_dedup.seeds(w)[1])) for w in words]
+    assert got[3].tolist() == [len(e[1]) for e in each]
+    assert all((g == np.concatenate(e)).all() for g, e in zip(got, zip(*each)))
+
+
+def test_passages_of_whole_chains_are_aligned_together(monkeypatch):
+    draw, rows, want = np.random.default_rng(6), [], []
+    for n in range(400):
+        base = draw.integers(0, 1 << 30, 300).astype(np.uint32)
+        other = np.where(draw.random(300) < draw.choice([0.0, 0.03, 0.1]), draw.integers(0, 1 << 30, 300), base).astype(np.uint32)
+        if n % 3 == 0:
+            other = np.delete(other, [60, 61] if n % 2 else [200])
+        a, b = base[20:280], other[draw.integers(0, 30):]
+        x = 100
+        y = int(np.flatnonzero(np.isin(b, a[x]))[0]) if a[x] in b else 110
+        chain = [(x + i, y + i + (i > 20) * int(draw.integers(0, 2))) for i in (0, 9, 25, 60)]
+        found = substring_dedup.aligned(a, b, np.array(chain))
+        want.append([int(v) for v in found])
+        rows.append((1, 2, None if n % 7 else 3, 4, 64, 128, a.tobytes(), b.tobytes(),
+                     (np.array(chain, np.int32) + np.array([64, 128], np.int32)).tobytes()))
+    kinds = (pa.int64(),) * 4 + (pa.int32(),) * 2 + (pa.binary(),) * 3
+    names = ["key", "other", "doc_id", "other_id", "low", "other_low", "words", "other_words", "ends"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+    assert substring_dedup.all_aligned(batch.slice(3))[0].T.tolist() == want[3:]
+    passing = [w for w in want if min(w[1] - w[0], w[3] - w[2]) >= 50 and w[4] >= 0.8 * max(w[1] - w[0], w[3] - w[2])]
+    assert 50 < len(passing) < 400
+
+    def never(*_):
+        raise AssertionError("aligned by itself")
+    monkeypatch.setattr(substring_dedup, "aligned", never)
+    keep = [n for n, w in enumerate(want) if w in passing]
+    out = pa.Table.from_batches(list(substring_dedup._found(iter([batch.take(pa.array(keep))]), 50, 0.8))).to_pylist()
+    assert [[r["first_word"] - 64, r["end_word"] - 64, r["other_first_word"] - 128, r["other_end_word"] - 128,
+             r["equal_words"]] for r in out] == [want[n] for n in keep]
+    assert [r["doc_id"] for r in out] == [rows[n][2] for n in keep]
