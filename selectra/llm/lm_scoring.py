@@ -283,6 +283,7 @@ def learn(docs: DataFrame) -> tuple[DataFrame, Mixer, np.ndarray]:
         tasks = pairs.mapInArrow(lambda b: _weighed(b, shared), "mass double, weights array<double>, seen array<double>")
         summed = tasks.select("mass", F.posexplode(F.concat(F.transform("weights", lambda w: w * F.col("mass")), "seen"))
                               ).groupBy("pos").agg(F.sum("col").alias("v"), F.sum("mass").alias("mass")).collect()
+        shared.destroy()  # every executor and the driver hold it on their disks
         values = np.zeros(len(summed))
         for r in summed:
             values[r["pos"]] = r["v"] / r["mass"] if r["pos"] < width else r["v"]
@@ -361,6 +362,7 @@ def score(docs: DataFrame) -> DataFrame:
     scored = materialise(source.mapInArrow(
         lambda b: _scored(b, shared), "row bigint, doc_id bigint, score double, logs double, known bigint, "
                                       "n_tokens bigint, rare array<binary>"))
+    shared.destroy()  # the scores are kept, so it is not read again
     rare = scored.select("row", F.explode("rare").alias("word")).join(words, "word", "left")
     joined = rare.groupBy("row").agg(
         F.sum(F.log10(F.coalesce(F.col("n"), F.lit(0)) + SMOOTH)).alias("more_logs"),
