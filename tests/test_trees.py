@@ -289,3 +289,18 @@ def test_draws_are_poisson_for_any_number_of_copies():
         w, n = trees.drawn_weights(3, 1, key, np.full(len(key), copies))
         assert w.mean() == pytest.approx(copies, rel=0.03) and w.var() == pytest.approx(copies, rel=0.06)
         assert (n <= w).all() and n.mean() == pytest.approx(copies * (1 - np.exp(-1)), rel=0.05)
+
+
+def test_forest_cuts_are_exact_above_the_task_size(spark, monkeypatch):
+    """Many values, targets of any digits: levels of aggregates and tasks of whole trees give the same forest."""
+    draw = np.random.default_rng(7)
+    x = np.column_stack([draw.normal(size=(900, 2)), draw.integers(0, 150, 900), draw.random(900) < 0.3])
+    rows = [([float(v) for v in r], float(np.sin(3 * r[0]) + draw.random())) for r in x]
+    df = spark.createDataFrame(rows + rows[:200], SCHEMA).repartition(5)
+    table = lambda: sorted(map(tuple, trees.grow_forest(df, 3).collect()))
+    whole = table()
+    monkeypatch.setattr(trees, "TASK_ROWS", 60)
+    monkeypatch.setattr(trees, "WHOLE_TIMES", 0)
+    monkeypatch.setattr(trees, "UPPER_NODES", 2)
+    monkeypatch.setattr(trees, "DEALT_ROWS", 2 * len(rows))
+    assert table() == whole and len({r[0] for r in whole}) == 3
