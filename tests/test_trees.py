@@ -304,3 +304,18 @@ def test_forest_cuts_are_exact_above_the_task_size(spark, monkeypatch):
     monkeypatch.setattr(trees, "UPPER_NODES", 2)
     monkeypatch.setattr(trees, "DEALT_ROWS", 2 * len(rows))
     assert table() == whole and len({r[0] for r in whole}) == 3
+
+
+def test_equal_rows_are_scored_once(spark, monkeypatch):
+    """More rows than a block holds: the sums are those of one block, and only distinct rows walk."""
+    rows = dyadic_rows(300)
+    nodes = trees.grow_extra_trees(spark.createDataFrame(rows, SCHEMA), 5, seed=3)
+    asked = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(rows * 2)], "_row bigint, x array<double>")
+    table = lambda: {r["_row"]: r["_sum"] for r in trees.tree_sums(asked, nodes).collect()}
+    whole, walked = table(), []
+    monkeypatch.setattr(trees, "SCORED_ROWS", 100)
+    grid = trees._grid_sums
+    monkeypatch.setattr(trees, "_grid_sums", lambda rows, count, *a: walked.append(count) or grid(rows, count, *a))
+    got = table()
+    assert set(got) == set(range(600)) and all(got[i] == pytest.approx(whole[i]) for i in got)
+    assert walked == [len({tuple(x) for x, _ in rows})]
