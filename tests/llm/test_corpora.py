@@ -405,6 +405,24 @@ def test_matches_in_parts_and_of_crowded_seeds(monkeypatch):
             frozenset((a, b)) in pairs for a in few for b in few if a[0] != b[0] and first[b[0]] == b[1])
 
 
+def test_passages_of_crowded_seeds_are_found_between_all(spark, monkeypatch):
+    """Two documents share a changed passage whose every seed stands in many others as well, each in words of its own."""
+    draw = random.Random(21)
+    own = lambda n: [f"w{draw.random()}" for _ in range(n)]
+    runs = [own(21) for _ in range(4)]
+    shared = lambda: [w for run in runs for w in run + own(1)]
+    rows = [(i, " ".join(own(30) + shared() + own(30))) for i in (1, 2)]
+    rows += [(10 + 500 * r + i, " ".join(own(40) + run + own(40))) for r, run in enumerate(runs) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    table = lambda: sorted(map(tuple, substring_dedup.passages(docs).collect()))
+    found = table()
+    assert {frozenset(r[:2]) for r in found} == {frozenset((1, 2))} and [r[6] for r in found] == [84]
+    monkeypatch.setattr(substring_dedup, "CROWD", 70)
+    monkeypatch.setattr(substring_dedup, "HANDED", 500)
+    monkeypatch.setattr(substring_dedup, "AT_ONCE", 200_000)
+    assert table() == found
+
+
 def test_first_look_drops_no_passage():
     draw, rows = random.Random(17), []
     for _ in range(600):
