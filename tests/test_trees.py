@@ -319,3 +319,16 @@ def test_equal_rows_are_scored_once(spark, monkeypatch):
     got = table()
     assert set(got) == set(range(600)) and all(got[i] == pytest.approx(whole[i]) for i in got)
     assert walked == [len({tuple(x) for x, _ in rows})]
+
+
+def test_boosting_gives_the_same_trees_on_both_sides(spark, monkeypatch):
+    """Targets of any digits: the driver's sums and the aggregates' are equal to the last digit."""
+    draw = np.random.default_rng(11)
+    x = np.column_stack([draw.normal(size=(700, 2)), draw.integers(0, 5, 700)])
+    df = spark.createDataFrame([([float(v) for v in r], float(np.sin(3 * r[0]) + draw.random() / 3)) for r in x], SCHEMA).repartition(5)
+    boosting, out = Boosting(rounds=4, rate=0.3, leaves=8), []
+    for cells in (200_000, 0):
+        monkeypatch.setattr(trees, "DRIVER_CELLS", cells)
+        nodes, base = trees.grow_boosted(df, boosting)
+        out.append((base, sorted(map(tuple, nodes.collect()))))
+    assert out[0] == out[1]
